@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import packing, secret_scan
+from postledger.llm import packing, pieces, quality, secret_scan, token_count
+from postledger.llm.exact_topk import exact_topk
+from postledger.llm.graph_ann import nearest
 from postledger.llm.jaccard_join import jaccard_components
 
 
@@ -39,10 +41,39 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    worth = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, worth).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_count": op4_token_count,
+    "op5_graph_ann": op5_graph_ann,
+    "op7_quality": op7_quality,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_pieces": op9_pieces,
 }
 
 SQL: dict[str, str] = {}
