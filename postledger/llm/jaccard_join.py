@@ -3,24 +3,28 @@
 Every document becomes the set of its distinct n-word shingles (64-bit
 hashes). Two documents link when 100 * |A & B| >= percent * |A | B|.
 
-Method. Each shingle flips one bit of a wide sketch that is laid out in
-blocks of 64 bits. An element in only one of two sets changes one bit, so the
+Method. Each shingle flips one bit of a wide, sparse sketch that is laid out
+in blocks; a block's pattern is kept as the exclusive or of the codes of its
+set bits. An element in only one of two sets changes one bit, so the
 sketches differ in at most |A ^ B| blocks: their Hamming distance bounds the
 symmetric difference from below. For linked sets of n <= m shingles that
 difference is at most (n + m) / 7 at 75 percent, so by the pigeonhole
 principle two linked documents agree in a block once each of them offers one
 block more than that, taken in an order fixed for all documents. Blocks with
-many set bits come first in that order (they are the selective ones), blocks
-without bits last. The number of blocks belongs to a size band: a document
+many shingles come first in that order (they are the selective ones), single
+bits of shingles that a sample finds in many documents late, blocks without
+bits last; the sample decides the order and so the cost, never the result. The number of blocks belongs to a size band: a document
 offers blocks in its own band, and in the band below if a smaller partner may
 lie there, so the smaller partner's band always decides.
 
-Documents that offer the same block are candidates. A bucket compares its
-members with its smallest and largest member first; links are joined to
-components, and only members outside a bucket's main component are compared
-with all others, behind bounds on size and on a 512-bit parity sketch. Every
-pair that could link two components is therefore verified, and no group of
-copies is expanded into all its pairs.
+Documents that offer the same block are candidates. Each is compared first
+with the smallest member of most of its buckets; links are joined to
+components, and only members that are not in the component of their bucket's
+smallest member are then compared with the others, behind bounds on size and
+on parity sketches (256 bits within the join, about two bits a shingle after
+it). Every pair that could link two components is therefore verified, and no
+group of copies is expanded into all its pairs. Filters of fixed size keep
+rows and texts that no candidate needs out of the shuffles.
 
 Defined results: a null or blank text has no shingles and links with nothing
 (component_id is its own id); a text with fewer than n words is one shingle;
@@ -43,8 +47,12 @@ from postledger.llm.common import components, cut, mix, small_batches
 
 WORDS = 5
 PERCENT = 75
-#: Longs of the parity sketch that prunes candidate pairs.
-LONGS = 8
+#: Longs of the parity sketch that prunes candidate pairs within the join.
+LONGS = 4
+#: Documents of the sample that finds common shingles, about, and how many are kept at most.
+SAMPLE, COMMON = 4096, 1 << 16
+#: Bits of the filters: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 _ONE = np.uint64(1)
 
 
@@ -75,63 +83,94 @@ def largest_partner(n: int, percent: int = PERCENT) -> int:
     return n * 100 // percent
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * LONGS - 1), minlength=64 * LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity_sketch(s: np.ndarray) -> bytes:
+    """About two bits a shingle, a power of two and at least 64 * LONGS."""
+    size = max(64 * LONGS, 2 << len(s).bit_length())
+    bits = np.bincount((s >> np.uint64(30)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def _offer(s: np.ndarray, band: int, need: int) -> np.ndarray:
-    """The first `need` blocks of s in the order that holds in this band, as 64-bit keys."""
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of `size` bytes of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    x, y = (fold(np.frombuffer(v, np.uint8), size) for v in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _blocks(band: int) -> int:
+    return int(2 ** (band + 1) / (1.0 if band == 4 else 1.8)) + 1
+
+
+def _offer(s: np.ndarray, band: int, need: int, late: np.ndarray) -> np.ndarray:
+    """The first `need` blocks of s in the order that holds in this band, as 64-bit keys; late: which shingles are common."""
     salt = np.uint64(band + 1)
+    code = mix(s ^ (salt << np.uint64(58)))  # of the bit that a shingle flips in its block
     if band < 4:  # few shingles: a block for each
-        return np.sort(mix(s ^ (salt << np.uint64(58))))[:need]
-    blocks = int(2 ** (band + 1) / (1.0 if band == 4 else 1.8)) + 1
-    block = (s >> np.uint64(6)) % np.uint64(blocks)
+        return code[np.lexsort((code, late))[:need]]
+    blocks = _blocks(band)
+    block = s % np.uint64(blocks)
     order = np.argsort(block, kind="stable")
     block = block[order]
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    pattern = np.bitwise_xor.reduceat(_ONE << (s[order] & np.uint64(63)), first)
+    count = np.diff(np.r_[first, len(s)])
     block = block[first]
-    full = pattern != 0
-    block, pattern = block[full], pattern[full]
-    key = mix(mix(pattern) ^ mix((block << np.uint64(6)) | salt))
-    rank = ((np.uint64(64) - np.bitwise_count(pattern).astype(np.uint64)) << np.uint64(57)) | (key >> np.uint64(7))
+    # the codes of a block's set bits, joined by exclusive or, stand for its pattern
+    key = mix(np.bitwise_xor.reduceat(code[order], first) ^ (block << np.uint64(6)))
+    rank = ((np.uint64(64) - np.minimum(count, 63).astype(np.uint64)) << np.uint64(57)) | (key >> np.uint64(7))
+    rank[(count == 1) & late[order][first]] |= _ONE << np.uint64(63)
     if need < len(key):
         return key[np.argpartition(rank, need - 1)[:need]]
     empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), block)[: need - len(key)]
     return np.r_[key, mix(mix((empty << np.uint64(6)) | salt))]
 
 
-def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def block_keys(s: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """common: sorted hashes of common shingles, at least one."""
     n = len(s)
+    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
     band = n.bit_length() - 1
-    keys = [_offer(s, band, difference_bound(n, largest_partner(n, percent), percent) + 1)]
+    keys = [_offer(s, band, difference_bound(n, largest_partner(n, percent), percent) + 1, late)]
     low = 1 << band
     if -(-n * percent // 100) < low:  # a partner may lie in the band below
-        keys.append(_offer(s, band - 1, difference_bound(n, low - 1, percent) + 1))
+        keys.append(_offer(s, band - 1, difference_bound(n, low - 1, percent) + 1, late))
     return np.concatenate(keys).astype(np.int64)
 
 
 def _features(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, cls, sk = [], [], np.zeros((b.num_rows, LONGS), np.int64)
+            ns, cls, whole, sk = [], [], [], np.zeros((b.num_rows, LONGS), np.int64)
             for i, t in enumerate(b.column(1).to_pylist()):
                 s = shingle_set(t or b"", words)
                 ns.append(len(s))
                 cls.append(class_id(s) if len(s) else None)
+                whole.append(parity_sketch(s) if len(s) else None)
                 if len(s):
-                    sk[i] = parity_sketch(s)
+                    sk[i] = fold(np.frombuffer(whole[-1], np.uint8), 8 * LONGS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(sk[:, k]) for k in range(LONGS))],
-                ["doc_id", "n", "cls", *(f"s{k}" for k in range(LONGS))],
+                [b.column(0), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(whole, pa.binary()), *(pa.array(sk[:, k]) for k in range(LONGS))],
+                ["doc_id", "n", "cls", "sketch", *(f"s{k}" for k in range(LONGS))],
             )
 
     return run
 
 
-def _keys(words: int, percent: int):
+def _shingles(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", words).astype(np.int64))], ["h"])
+
+    return run
+
+
+def _keys(words: int, percent: int, shingles: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.sort(shingles) if len(shingles) else np.zeros(1, np.uint64)
         seen: set[int] = set()  # of this task: copies offer their blocks once
         for b in batches:
             keys, ids = [], []
@@ -142,7 +181,7 @@ def _keys(words: int, percent: int):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
-                keys.append(block_keys(s, percent))
+                keys.append(block_keys(s, common, percent))
                 ids.append(np.full(len(keys[-1]), c, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "cls"])
@@ -188,6 +227,47 @@ def _near(a: str, b: str, percent: int) -> str:
     )
 
 
+def _within(percent: int):
+    """Keeps pairs whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(k).to_pylist() for k in range(4, 8))
+            keep = [hamming(p, q) <= difference_bound(i, j, percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:4]], ["ca", "cb", "ra", "rb"])
+
+    return run
+
+
+def _bitset(df: DataFrame, column) -> np.ndarray:
+    """FILTER_BITS bits, set at the hashes of a column; at most FILTER_BITS / 64 rows reach the driver."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = (
+        df.select(at.alias("at"))
+        .groupBy(F.expr("cast(at div 64 AS int)").alias("i"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("w"))
+        .toPandas()
+    )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _maybe(df: DataFrame, hash_of: str, bits: np.ndarray) -> DataFrame:
+    """Rows of df whose column may be in the filter (all that are, few others)."""
+    names = list(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            kept = b.filter(pa.array(keep.astype(bool)))
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
+
+    return df.withColumn("__at", F.pmod(F.xxhash64(hash_of), F.lit(FILTER_BITS))).mapInArrow(run, df.schema)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -197,67 +277,83 @@ def jaccard_components(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
     sketch = [f"s{k}" for k in range(LONGS)]
     feats = cut(
-        rows.mapInArrow(_features(words), "doc_id long, n long, cls long, " + ", ".join(f"{s} long" for s in sketch))
+        rows.mapInArrow(_features(words), "doc_id long, n long, cls long, sketch binary, " + ", ".join(f"{s} long" for s in sketch))
     )
     classes = cut(
-        feats.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *(F.max(s).alias(s) for s in sketch))
+        feats.where("cls IS NOT NULL")
+        .groupBy("cls")
+        .agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), *(F.max(s).alias(s) for s in sketch))
+    )
+    slim = classes.select("cls", "rep", "n", *sketch)
+
+    share = max(1, feats.count() // SAMPLE)
+    common = (
+        rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+        .select("text")
+        .mapInArrow(_shingles(words), "h long")
+        .groupBy("h")
+        .count()
+        .where("count >= 4")
+        .orderBy(F.desc("count"), "h")
+        .limit(COMMON)
+        .toPandas()["h"]
+        .to_numpy()
+        .astype(np.uint64)
     )
 
     by_key = Window.partitionBy("key")
     live = cut(
         rows.select("text")
-        .mapInArrow(_keys(words, percent), "key long, cls long")
-        .withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key), "members": F.count("*").over(by_key)})
+        .mapInArrow(_keys(words, percent, common), "key long, cls long")
+        .withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)})
         .where("lo <> hi")
+        .select("key", "cls", "lo")
     )
-
-    pair = lambda x, y: [F.least(x, y).alias("ca"), F.greatest(x, y).alias("cb")]
-    tested = cut(
-        reduce(DataFrame.unionByName, [live.where(f"cls <> {p}").select(*pair("cls", p)) for p in ("lo", "hi")])
-        .distinct()
-        .join(classes.alias("a"), F.expr("ca = a.cls"))
-        .join(classes.alias("b"), F.expr("cb = b.cls"))
-        .where(_near("a", "b", percent))
-        .selectExpr("ca", "cb", "a.rep AS ra", "b.rep AS rb")
-    )
+    pairs = cut(live.where("cls <> lo").groupBy("cls", "lo").count())
 
     def links(pairs: DataFrame) -> DataFrame:
-        ta = rows.selectExpr("doc_id AS ra", "text AS ta")
-        tb = rows.selectExpr("doc_id AS rb", "text AS tb")
-        both = pairs.join(ta, "ra").join(tb, "rb").select("ra", "rb", "ca", "cb", "ta", "tb")
+        """Verified links (ids of representatives) of pairs ca, cb."""
+        ends = ["ca", "cb", "a.rep AS ra", "b.rep AS rb"]
+        near = (
+            pairs.join(slim.alias("a"), F.expr("ca = a.cls"))
+            .join(slim.alias("b"), F.expr("cb = b.cls"))
+            .where(_near("a", "b", percent))
+            .select("ca", "cb")
+            .join(classes.alias("a"), F.expr("ca = a.cls"))
+            .join(classes.alias("b"), F.expr("cb = b.cls"))
+            .selectExpr(*ends, "a.n AS n", "b.n AS m", "a.sketch AS x", "b.sketch AS y")
+        )
+        near = cut(near.mapInArrow(_within(percent), "ca long, cb long, ra long, rb long"))
+        bits = _bitset(near.select(F.explode(F.array("ra", "rb")).alias("doc_id")), "doc_id")
+        texts = _maybe(rows, "doc_id", bits)
+        ta, tb = texts.selectExpr("doc_id AS ra", "text AS ta"), texts.selectExpr("doc_id AS rb", "text AS tb")
+        both = near.join(ta, "ra").join(tb, "rb").select("ra", "rb", "ca", "cb", "ta", "tb")
         return cut(both.mapInArrow(_linked(words, percent), "u long, v long"))
 
-    first = links(tested)
+    star = pairs.groupBy("cls").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
+    first = links(star.select(F.col("lo").alias("ca"), F.col("cls").alias("cb")))
     known = components(first)
 
-    # buckets of more than three members whose members are in several components
-    member = classes.join(known, classes.rep == known.node, "left").select("cls", "n", "rep", *sketch, F.coalesce("component", "rep").alias("label"))
-    open_rows = (
-        live.where("members > 3")
-        .select("key", "cls")
-        .distinct()
-        .join(member, "cls")
-        .withColumns({"x": F.min("label").over(by_key), "y": F.max("label").over(by_key)})
-        .where("x <> y")
-        .drop("x", "y")
+    # members that are not in the component of their bucket's smallest member, against the others of their buckets
+    label = cut(classes.join(known, classes.rep == known.node, "left").select("cls", F.coalesce("component", "rep").alias("label")))
+    apart = cut(
+        pairs.join(label.alias("a"), "cls")
+        .join(label.selectExpr("cls AS lo", "label AS lo_label"), "lo")
+        .where("label <> lo_label")
+        .select("cls", "lo")
     )
-    open_rows = cut(open_rows)
-    main = (
-        open_rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    )
-    minor = open_rows.join(main, "key").where("label <> main")
+    with_pair = live.select("key", "cls", "lo", F.xxhash64("cls", "lo").alias("pair"))
+    bits = _bitset(apart.select(F.xxhash64("cls", "lo").alias("pair")), "pair")
+    minor = cut(_maybe(with_pair, "pair", bits).join(apart, ["cls", "lo"], "left_semi").select("key", "cls"))
+    bits = _bitset(minor, "key")
+    member = slim.join(label, "cls")
+    open_rows = _maybe(live.select("key", "cls"), "key", bits).join(member, "cls")
     rest = cut(
-        minor.alias("a")
+        minor.join(member, "cls").alias("a")
         .join(open_rows.alias("b"), F.expr(f"a.key = b.key AND a.label <> b.label AND {_near('a', 'b', percent)}"))
-        .select(
-            F.least("a.cls", "b.cls").alias("ca"),
-            F.greatest("a.cls", "b.cls").alias("cb"),
-            F.when(F.expr("a.cls < b.cls"), F.col("a.rep")).otherwise(F.col("b.rep")).alias("ra"),
-            F.when(F.expr("a.cls < b.cls"), F.col("b.rep")).otherwise(F.col("a.rep")).alias("rb"),
-        )
+        .select(F.least("a.cls", "b.cls").alias("ca"), F.greatest("a.cls", "b.cls").alias("cb"))
         .distinct()
-        .join(tested, ["ca", "cb"], "left_anti")
-        .select("ca", "cb", "ra", "rb")
+        .join(star.select(F.col("lo").alias("ca"), F.col("cls").alias("cb")), ["ca", "cb"], "left_anti")
     )
     if not rest.isEmpty():
         known = components(first.unionByName(links(rest)))

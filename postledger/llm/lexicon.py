@@ -4,17 +4,16 @@ Texts are marked as the model does: a leading mark, spaces become marks. No
 piece holds a mark after another character (checked on loading), so the best
 segmentation of a text is that of its marked words one after another.
 
-Scores are added as 32-bit floats and a later candidate must be strictly
-better, as SentencePiece's unigram search does. While all sums are whole and
-below 2**24 that equals plain arithmetic; other words take the exact path.
+At an end, candidates are tried from the earliest start and a later one must
+be strictly better; a character without a piece costs ten more than the worst
+piece and becomes its UTF-8 bytes. These are the rules of the unigram model
+of the tokenizers library.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
-
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _loaded: dict[str, "Lexicon"] = {}
@@ -44,32 +43,25 @@ class Lexicon:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.longest = max(map(len, self.pieces))
         self.single = frozenset(p for p in self.pieces if len(p) == 1)
-        self.least = min(s for _, s in self.pieces.values())
-        # words made of these pieces keep whole sums far below 2**24
-        self.rare = frozenset(p for p, (_, s) in self.pieces.items() if s < -100_000 or s != int(s))
+        self.unknown = min(s for _, s in self.pieces.values()) - 10
 
     def plain(self, word: str) -> bool:
-        """Whether plain arithmetic gives SentencePiece's sums for this word."""
-        return len(word) <= 200 and self.single.issuperset(word) and MARK * 2 not in word
+        """Whether every character of a word has a piece of its own."""
+        return self.single.issuperset(word)
 
     def exact(self, word: str) -> list[int]:
-        """Ids of one marked word with 32-bit sums; characters without a piece become bytes."""
-        n, unknown = len(word), np.float32(self.least) - np.float32(10)
-        best, back = [np.float32(0)] + [None] * n, [None] * (n + 1)
+        """Ids of one marked word; characters without a piece become bytes."""
+        n = len(word)
+        best, back = [0.0] + [float("-inf")] * n, [(0, None)] * (n + 1)
         for at in range(n):
-            single = False
+            if word[at] not in self.single:
+                c = best[at] + self.unknown
+                if c > best[at + 1]:
+                    best[at + 1], back[at + 1] = c, (at, None)
             for end in range(at + 1, min(n, at + self.longest) + 1):
                 hit = self.pieces.get(word[at:end])
-                if hit is None:
-                    continue
-                c = np.float32(hit[1]) + best[at]
-                if best[end] is None or c > best[end]:
-                    best[end], back[end] = c, (at, hit[0])
-                single = single or end == at + 1
-            if not single:
-                c = unknown + best[at]
-                if best[at + 1] is None or c > best[at + 1]:
-                    best[at + 1], back[at + 1] = c, (at, None)
+                if hit is not None and best[at] + hit[1] > best[end]:
+                    best[end], back[end] = best[at] + hit[1], (at, hit[0])
         ids: list[int] = []
         while n:
             at, i = back[n]

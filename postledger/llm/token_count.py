@@ -3,7 +3,7 @@
 An Aho-Corasick automaton enumerates every vocabulary match in a marked word;
 the dynamic programme keeps two numbers for each place: the best score and
 how many pieces reach it. At one end the automaton gives longer matches
-first, and a later candidate must be strictly better, which is SentencePiece's
+first, and a later candidate must be strictly better, which is the tokenizer's
 rule for ties. Words repeat, so a worker remembers their counts, in two
 generations of bounded size.
 
