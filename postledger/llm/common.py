@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python; keeps batches of very long texts small.
 ARROW_ROWS = 256
+#: Bits of a row filter: 1 MB, whatever the input.
+FILTER_BITS = 1 << 23
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +54,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def bitset(df: DataFrame, column) -> np.ndarray:
+    """FILTER_BITS bits, set at the hashes of a column; at most FILTER_BITS / 64 rows reach the driver."""
+    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = (
+        df.select(at.alias("at"))
+        .groupBy(F.expr("cast(at div 64 AS int)").alias("i"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("w"))
+        .toPandas()
+    )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy()
+    return out.view(np.uint8)
+
+
+def maybe(df: DataFrame, hash_of: str, bits: np.ndarray) -> DataFrame:
+    """Rows of df whose column may be in the filter (all that are, few others)."""
+    names = list(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            kept = b.filter(pa.array(keep.astype(bool)))
+            if kept.num_rows:
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
+
+    return df.withColumn("__at", F.pmod(F.xxhash64(hash_of), F.lit(FILTER_BITS))).mapInArrow(run, df.schema)
+
+
 def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postledger.llm.common import components, cut, mix, small_batches
+from postledger.llm.common import bitset, components, cut, maybe, mix, small_batches
 
 WORDS = 5
 PERCENT = 75
@@ -51,8 +51,6 @@ PERCENT = 75
 LONGS = 4
 #: Documents of the sample that finds common shingles, about, and how many are kept at most.
 SAMPLE, COMMON = 4096, 1 << 16
-#: Bits of the filters: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
 _ONE = np.uint64(1)
 
 
@@ -239,35 +237,6 @@ def _within(percent: int):
     return run
 
 
-def _bitset(df: DataFrame, column) -> np.ndarray:
-    """FILTER_BITS bits, set at the hashes of a column; at most FILTER_BITS / 64 rows reach the driver."""
-    at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    words = (
-        df.select(at.alias("at"))
-        .groupBy(F.expr("cast(at div 64 AS int)").alias("i"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("w"))
-        .toPandas()
-    )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["i"].to_numpy()] = words["w"].to_numpy()
-    return out.view(np.uint8)
-
-
-def _maybe(df: DataFrame, hash_of: str, bits: np.ndarray) -> DataFrame:
-    """Rows of df whose column may be in the filter (all that are, few others)."""
-    names = list(df.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(b.num_columns - 1).to_numpy()
-            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            kept = b.filter(pa.array(keep.astype(bool)))
-            if kept.num_rows:
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names)
-
-    return df.withColumn("__at", F.pmod(F.xxhash64(hash_of), F.lit(FILTER_BITS))).mapInArrow(run, df.schema)
-
-
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -324,8 +293,8 @@ def jaccard_components(
             .selectExpr(*ends, "a.n AS n", "b.n AS m", "a.sketch AS x", "b.sketch AS y")
         )
         near = cut(near.mapInArrow(_within(percent), "ca long, cb long, ra long, rb long"))
-        bits = _bitset(near.select(F.explode(F.array("ra", "rb")).alias("doc_id")), "doc_id")
-        texts = _maybe(rows, "doc_id", bits)
+        bits = bitset(near.select(F.explode(F.array("ra", "rb")).alias("doc_id")), "doc_id")
+        texts = maybe(rows, "doc_id", bits)
         ta, tb = texts.selectExpr("doc_id AS ra", "text AS ta"), texts.selectExpr("doc_id AS rb", "text AS tb")
         both = near.join(ta, "ra").join(tb, "rb").select("ra", "rb", "ca", "cb", "ta", "tb")
         return cut(both.mapInArrow(_linked(words, percent), "u long, v long"))
@@ -343,11 +312,11 @@ def jaccard_components(
         .select("cls", "lo")
     )
     with_pair = live.select("key", "cls", "lo", F.xxhash64("cls", "lo").alias("pair"))
-    bits = _bitset(apart.select(F.xxhash64("cls", "lo").alias("pair")), "pair")
-    minor = cut(_maybe(with_pair, "pair", bits).join(apart, ["cls", "lo"], "left_semi").select("key", "cls"))
-    bits = _bitset(minor, "key")
+    bits = bitset(apart.select(F.xxhash64("cls", "lo").alias("pair")), "pair")
+    minor = cut(maybe(with_pair, "pair", bits).join(apart, ["cls", "lo"], "left_semi").select("key", "cls"))
+    bits = bitset(minor, "key")
     member = slim.join(label, "cls")
-    open_rows = _maybe(live.select("key", "cls"), "key", bits).join(member, "cls")
+    open_rows = maybe(live.select("key", "cls"), "key", bits).join(member, "cls")
     rest = cut(
         minor.join(member, "cls").alias("a")
         .join(open_rows.alias("b"), F.expr(f"a.key = b.key AND a.label <> b.label AND {_near('a', 'b', percent)}"))

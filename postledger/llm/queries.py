@@ -9,6 +9,7 @@ from postledger.llm import packing, pieces, quality, secret_scan, token_count
 from postledger.llm.exact_topk import exact_topk
 from postledger.llm.graph_ann import nearest
 from postledger.llm.jaccard_join import jaccard_components
+from postledger.llm.substrings import drop_repeats
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,6 +66,10 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -74,6 +79,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_exact_topk": op8_exact_topk,
     "op9_pieces": op9_pieces,
+    "op10_substrings": op10_substrings,
 }
 
 SQL: dict[str, str] = {}
