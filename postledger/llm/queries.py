@@ -9,6 +9,7 @@ from postledger.llm import packing, pieces, quality, secret_scan, token_count
 from postledger.llm.exact_topk import exact_topk
 from postledger.llm.graph_ann import nearest
 from postledger.llm.jaccard_join import jaccard_components
+from postledger.llm.line_dedup import dedup_lines
 from postledger.llm.substrings import drop_repeats
 
 
@@ -50,6 +51,12 @@ def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     worth = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -76,6 +83,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_count": op4_token_count,
     "op5_graph_ann": op5_graph_ann,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op8_exact_topk": op8_exact_topk,
     "op9_pieces": op9_pieces,
