@@ -18,10 +18,11 @@ offers blocks in its own band, and in the band below if a smaller partner may
 lie there, so the smaller partner's band always decides.
 
 Documents that offer the same block are candidates. Each is compared first
-with the smallest member of most of its buckets; links are joined to
-components, and only members that are not in the component of their bucket's
-smallest member are then compared with the others, behind bounds on size and
-on parity sketches (256 bits within the join, about two bits a shingle after
+with the smallest member of most of its buckets, then, if that leaves it apart
+from a bucket's smallest member, with a few drawn members; links are joined to
+components, and only members that are still apart are compared with all
+others of the bucket, behind bounds on size and
+on parity sketches (512 bits within the join, about two bits a shingle after
 it). Every pair that could link two components is therefore verified, and no
 group of copies is expanded into all its pairs. Filters of fixed size keep
 rows and texts that no candidate needs out of the shuffles.
@@ -48,7 +49,9 @@ from postledger.llm.common import bitset, components, cut, maybe, mix, small_bat
 WORDS = 5
 PERCENT = 75
 #: Longs of the parity sketch that prunes candidate pairs within the join.
-LONGS = 4
+LONGS = 8
+#: Members of its buckets that a class which is still apart is compared with before all of them.
+DRAWS = 6
 #: Documents of the sample that finds common shingles, about, and how many are kept at most.
 SAMPLE, COMMON = 4096, 1 << 16
 _ONE = np.uint64(1)
@@ -299,33 +302,61 @@ def jaccard_components(
         both = near.join(ta, "ra").join(tb, "rb").select("ra", "rb", "ca", "cb", "ta", "tb")
         return cut(both.mapInArrow(_linked(words, percent), "u long, v long"))
 
-    star = pairs.groupBy("cls").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
-    first = links(star.select(F.col("lo").alias("ca"), F.col("cls").alias("cb")))
-    known = components(first)
-
-    # members that are not in the component of their bucket's smallest member, against the others of their buckets
-    label = cut(classes.join(known, classes.rep == known.node, "left").select("cls", F.coalesce("component", "rep").alias("label")))
-    apart = cut(
-        pairs.join(label.alias("a"), "cls")
-        .join(label.selectExpr("cls AS lo", "label AS lo_label"), "lo")
-        .where("label <> lo_label")
-        .select("cls", "lo")
+    def labelled(known: DataFrame) -> DataFrame:
+        return cut(classes.join(known, classes.rep == known.node, "left").select("cls", F.coalesce("component", "rep").alias("label")))
+
+    def apart(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """key, cls of members that are not in the component of their bucket's smallest member; all rows of those buckets."""
+        away = cut(
+            pairs.join(label, "cls")
+            .join(label.selectExpr("cls AS lo", "label AS lo_label"), "lo")
+            .where("label <> lo_label")
+            .select("cls", "lo")
+        )
+        bits = bitset(away.select(F.xxhash64("cls", "lo").alias("pair")), "pair")
+        with_pair = live.select("key", "cls", "lo", F.xxhash64("cls", "lo").alias("pair"))
+        minor = cut(maybe(with_pair, "pair", bits).join(away, ["cls", "lo"], "left_semi").select("key", "cls"))
+        return minor, maybe(live.select("key", "cls"), "key", bitset(minor, "key"))
+
+    star = pairs.groupBy("cls").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo")).select(F.col("lo").alias("ca"), F.col("cls").alias("cb"))
+    found = links(star)
+    known = components(found)
+
+    # a few other members of their buckets for those that are still apart, one drawn in each bucket
+    label = labelled(known)
+    minor, buckets = apart(label)
+    drawn = buckets.groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", "key")).alias("other"))
+    draw = (
+        minor.join(drawn, "key")
+        .join(label, "cls")
+        .join(label.selectExpr("cls AS other", "label AS other_label"), "other")
+        .where("label <> other_label")
+        .select("cls", "other")
+        .distinct()
+        .withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.xxhash64("cls", "other"))))
+        .where(f"r <= {DRAWS}")
+        .select(F.least("cls", "other").alias("ca"), F.greatest("cls", "other").alias("cb"))
+        .distinct()
     )
-    with_pair = live.select("key", "cls", "lo", F.xxhash64("cls", "lo").alias("pair"))
-    bits = bitset(apart.select(F.xxhash64("cls", "lo").alias("pair")), "pair")
-    minor = cut(maybe(with_pair, "pair", bits).join(apart, ["cls", "lo"], "left_semi").select("key", "cls"))
-    bits = bitset(minor, "key")
+    draw = cut(draw)
+    tested = star.unionByName(draw)
+    if not draw.isEmpty():
+        found = found.unionByName(links(draw))
+        known = components(found)
+        label = labelled(known)
+        minor, buckets = apart(label)
+
+    # and every pair of a bucket that could still join two components
     member = slim.join(label, "cls")
-    open_rows = maybe(live.select("key", "cls"), "key", bits).join(member, "cls")
     rest = cut(
         minor.join(member, "cls").alias("a")
-        .join(open_rows.alias("b"), F.expr(f"a.key = b.key AND a.label <> b.label AND {_near('a', 'b', percent)}"))
+        .join(buckets.join(member, "cls").alias("b"), F.expr(f"a.key = b.key AND a.label <> b.label AND {_near('a', 'b', percent)}"))
         .select(F.least("a.cls", "b.cls").alias("ca"), F.greatest("a.cls", "b.cls").alias("cb"))
         .distinct()
-        .join(star.select(F.col("lo").alias("ca"), F.col("cls").alias("cb")), ["ca", "cb"], "left_anti")
+        .join(tested, ["ca", "cb"], "left_anti")
     )
     if not rest.isEmpty():
-        known = components(first.unionByName(links(rest)))
+        known = components(found.unionByName(links(rest)))
     in_class = classes.join(known, classes.rep == known.node).select("cls", "component")
     whole = classes.select("cls", "rep").join(in_class, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     return feats.select("doc_id", "n", "cls").join(whole, "cls", "left").select(
