@@ -35,7 +35,7 @@ CLOSING_ID = 1
 FILL_NODES = 400
 SEARCH_NODES = 2000
 #: Words that a worker remembers, in each of two generations.
-_REMEMBER = 250_000
+_REMEMBER = 600_000
 
 _encoders: dict[str, "_Encoder"] = {}
 
@@ -74,7 +74,8 @@ class _Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # the tokenizer reads lower case; in ASCII that can be done first, so that fewer pieces differ
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
         young, old = self.young, self.old
         if len(young) > _REMEMBER:
             self.old, self.young = young, {}
