@@ -61,11 +61,13 @@ def _found(kind: str):
 
 
 def credential_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """doc_id, text_hash, kind, start, end, reported; a row with null kind for a text without parts."""
+    """doc_id, text_hash, kind, start, end, reported; and one row with null kind for every text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     none = F.array().cast("array<struct<kind:int,gap:int,len:int,ok:boolean>>")
     found = [F.coalesce(_found(k), none) for k in _KINDS]
-    parts = F.concat(*found)
+    # one part without a kind keeps every text in the table
+    blank = F.lit(None).cast("int")
+    parts = F.concat(*found, F.array(F.struct(blank.alias("kind"), blank.alias("gap"), blank.alias("len"), F.lit(True).alias("ok"))))
     at = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     in_text = Window.partitionBy("doc_id", "text_hash").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     near = Window.partitionBy("doc_id", "text_hash", "scope").orderBy("start").rangeBetween(-reach, reach)
@@ -74,13 +76,13 @@ def credential_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     secret = F.sum(F.when(kind["assign"] | kind["hex"] | kind["key"], 1).otherwise(0)).over(near) > 0
     base = kind["assign"] | kind["access"] | kind["hex"]
     return (
-        rows.select("doc_id", "text_hash", F.posexplode_outer(parts).alias("i", "p"))
+        rows.select("doc_id", "text_hash", F.posexplode(parts).alias("i", "p"))
         .select("doc_id", "text_hash", "i", "p.*")
         .distinct()
         .repartition("doc_id", "text_hash")
         .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(at))
         .withColumn("start", F.col("end") - F.col("len"))
-        .where("ok OR kind IS NULL")
+        .where("ok")
         .withColumn("scope", F.sum(F.when(kind["break"], 1).otherwise(0)).over(in_text))
         .withColumn(
             "reported",
