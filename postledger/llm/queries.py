@@ -90,4 +90,34 @@ QUERIES = {
     "op10_substrings": op10_substrings,
 }
 
-SQL: dict[str, str] = {}
+def _secret_sql() -> str:
+    """The same parts and range frames over DuckDB's lists."""
+    names, parts = list(secret_scan.PATTERNS), []
+    for k, (name, (pattern, group, least)) in enumerate(secret_scan.PATTERNS.items()):
+        p = pattern.replace("'", "''")
+        mixed = " AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')" if name == "key" else ""
+        parts.append(
+            f"SELECT doc_id, {k} AS kind, a, a + n AS b FROM (SELECT doc_id, length(w[i]) AS n, x[i] AS v, "
+            "list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:i-1], lambda y: length(y))), 0) AS a "
+            f"FROM (SELECT doc_id, w, g, x, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS w, "
+            f"string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', {group}) AS x FROM d))) WHERE length(v) >= {least}{mixed}"
+        )
+    near = f"OVER (PARTITION BY doc_id, scope ORDER BY a RANGE BETWEEN {secret_scan.REACH} PRECEDING AND {secret_scan.REACH} FOLLOWING) > 0"
+    case = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END || ':' || a || ':' || b"
+    return (
+        "WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents), p AS (" + " UNION ALL ".join(parts) + "), "
+        "s AS (SELECT *, sum(CASE WHEN kind = 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a RANGE UNBOUNDED PRECEDING) AS scope FROM p), "
+        f"f AS (SELECT *, sum(CASE WHEN kind IN (1, 4) THEN 1 ELSE 0 END) {near} AS who, sum(CASE WHEN kind IN (0, 2, 3) THEN 1 ELSE 0 END) {near} AS what FROM s), "
+        "r AS (SELECT doc_id, kind, a, b, kind < 3 OR (kind = 3 AND who) OR (kind = 4 AND what) OR (kind = 5 AND who AND what) AS told FROM f) "
+        "SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, "
+        f"sha256(coalesce(string_agg({case}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, "
+        f"coalesce(string_agg({case}, ',' ORDER BY a, kind) FILTER (WHERE told), '') AS spans FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"
+    )
+
+
+SQL: dict[str, str] = {
+    "op1_secret_scan": _secret_sql(),
+    "op8_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z FROM embeddings WHERE embedding IS NOT NULL),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.z, v.z) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
+}
