@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postledger.functions import pay
+from postledger.functions import pay, text, urls
+from postledger.operators.dedup import lookalikes
 
 # Weight of each signal (order of output only).
 WEIGHTS = {
@@ -61,6 +62,40 @@ def last_board_check(sources: DataFrame) -> DataFrame:
     return sources.where("owned").groupBy("employer_id").agg(F.max("last_success_at").alias("checked_at"), F.count("*").alias("boards"))
 
 
+def text_signals(jobs: DataFrame, domains: DataFrame) -> DataFrame:
+    """job_id, code, weight: what apply links and texts give.
+
+    jobs: job_id, employer_id, apply_url, text; domains: employer_id, domain.
+    A lookalike host comes before all else said of a link; a link is out of
+    place only where the employer has domains.
+    """
+    own = domains.select("employer_id", urls.registrable(F.col("domain")).alias("reg"), F.lit(True).alias("own")).distinct()
+    having = domains.select("employer_id", F.lit(True).alias("has_domain")).distinct()
+    linked = jobs.select("job_id", "employer_id", urls.hostname(F.col("apply_url")).alias("host")).where("host IS NOT NULL")
+    linked = linked.withColumn("reg", urls.registrable(F.col("host"))).join(own, ["employer_id", "reg"], "left").join(having, "employer_id", "left")
+    linked = linked.join(lookalikes(linked.select("host").distinct(), domains), "host", "left")
+    code = (
+        F.when(F.col("imitates").isNotNull(), "LOOKALIKE_DOMAIN")
+        .when(F.col("own").isNotNull() | urls.is_hiring_system(F.col("host")) | urls.is_public_board(F.col("host")), "APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS")
+        .when(F.col("has_domain"), "APPLY_URL_MISMATCH")
+    )
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
+    links = linked.select("job_id", code.alias("code")).where("code IS NOT NULL").select("job_id", "code", weight[F.col("code")].alias("weight"))
+    t = F.col("text")
+    statement = text.vacancy_statement(t)
+    said = F.array_compact(
+        F.array(
+            F.when(F.size(text.off_platform_contact(t)) > 0, F.struct(F.lit("OFF_PLATFORM_CONTACT").alias("code"), F.lit(WEIGHTS["OFF_PLATFORM_CONTACT"]).alias("weight"))),
+            F.when(F.size(text.upfront_payment(t)) > 0, F.struct(F.lit("UPFRONT_PAYMENT_REQUEST").alias("code"), F.lit(WEIGHTS["UPFRONT_PAYMENT_REQUEST"]).alias("weight"))),
+            F.when(
+                statement.isNotNull(),
+                F.struct(F.lit("VACANCY_STATUS_DISCLOSED").alias("code"), F.when(statement.rlike(text.POOL), 0).otherwise(WEIGHTS["VACANCY_STATUS_DISCLOSED"]).alias("weight")),
+            ),
+        )
+    )
+    return links.unionByName(jobs.select("job_id", F.explode(said).alias("s")).select("job_id", "s.code", "s.weight"))
+
+
 def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
     """job_id, code, weight: the signals that jobs, their records, pay and reports give."""
     owned = records.where("expired_at IS NULL").join(sources.where("owned"), "source_id", "left_semi").select("job_id").distinct()

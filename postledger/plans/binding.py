@@ -47,6 +47,24 @@ VIEWS = {
     "b_search": """SELECT c_custkey AS search_id, n_name AS city, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 20 END AS least_price, c_custkey % 11 <> 0 AS valid,
         CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1998-06-20 00:00:00' END AS last_notified_at, TIMESTAMP '1998-06-10 00:00:00' AS created_at
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "b_employer": f"""SELECT c_custkey AS employer_id, c_name || ' Inc.' AS name, CASE c_custkey % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'PROBABLE' ELSE 'CONFIRMED' END AS identity,
+        CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 < 4 THEN {_TS} - INTERVAL 6 HOUR ELSE {_TS} - INTERVAL 2 DAY END AS identity_checked_at,
+        CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN {_TS} - INTERVAL 40 DAY ELSE {_TS} - INTERVAL 10 DAY END AS proof_at FROM customer""",
+    "b_domain": "SELECT c_custkey AS employer_id, 'acmecorp.com' AS domain FROM customer WHERE c_mktsegment <> 'MACHINERY'",
+    "b_listing": """SELECT o_orderkey AS job_id, o_custkey AS employer_id, o_orderpriority AS title_stem, o_orderpriority AS title_normalized,
+        CASE WHEN o_orderkey % 3 <> 0 THEN n_name END AS city, CAST(o_totalprice AS DOUBLE) AS lo, CAST(o_totalprice AS DOUBLE) + 40000 AS hi, 'CAD' AS currency,
+        CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) END AS expired_at
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "b_text": """SELECT o_orderkey AS job_id, o_custkey AS employer_id, CASE o_orderkey % 6 WHEN 0 THEN 'https://boards.greenhouse.io/x/1' WHEN 1 THEN 'https://www.acmecorp.com/jobs'
+        WHEN 2 THEN 'https://acmec0rp.com/jobs' WHEN 3 THEN 'https://elsewhere-jobs.net/x' WHEN 5 THEN 'https://www.jobbank.gc.ca/j' END AS apply_url,
+        CASE o_orderkey % 5 WHEN 0 THEN 'Great team. Message us on Telegram to start.' WHEN 1 THEN 'You pay a training fee first. Good hours.'
+        WHEN 2 THEN 'This is an existing vacancy. Apply now.' WHEN 3 THEN 'We never ask you to message us on Telegram. Join our talent pool.' ELSE 'Good team.' END AS text FROM orders""",
+    "b_scored": """SELECT o_orderkey AS posting_id, o_custkey AS candidate_id, CAST(40 + o_orderkey % 60 AS DOUBLE) / 100 AS score, o_orderkey % 5 = 0 AS same_source,
+        o_orderkey % 7 = 0 AS employer_owned, CASE o_orderkey % 4 WHEN 0 THEN 'jobs.lever.co' WHEN 1 THEN 'www.acmecorp.com' WHEN 2 THEN 'evil.example.net' END AS apply_host,
+        CASE WHEN o_orderkey % 6 = 0 THEN 'Good pay. Message us on Telegram.' ELSE 'We never ask you to message us on Telegram. Good team.' END AS text FROM orders""",
+    "b_pasted": """SELECT o_orderkey AS check_id, 'Job title: ' || o_orderpriority || chr(10) || 'Company - ' || 'Firm ' || CAST(o_custkey AS STRING) || chr(10) || 'Location:  Toronto ' || chr(10)
+        || 'See https://www.example.org/about. Apply at https://apply.example.com/' || CAST(o_orderkey AS STRING) || '.' AS text,
+        CASE WHEN o_orderkey % 4 = 0 THEN ' Acme ' END AS employer_hint FROM orders""",
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postledger.functions import normalize, pay, text, urls
-from postledger.operators import accounts, dedup, freshness, search, signals, upsert
+from postledger.operators import accounts, checks, decisions, dedup, evidence, freshness, identity, reports, robots, search, signals, upsert
 from postledger.plans.binding import NOW, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,3 +299,166 @@ def purge_and_erasure(spark, sf):
     kept = accounts.purge_expired(checks, reports, _now())[1]
     erased = reports.where("user_id % 9 = 0").select("user_id").distinct()
     return accounts.erase(kept, erased, cascade=True).select("report_id", "user_id")
+
+
+@_query(
+    f"""SELECT employer_id, after AS identity, after <> identity AS changed FROM (SELECT *, CASE WHEN NOT counts THEN CASE WHEN identity = 'UNKNOWN' THEN 'PROBABLE' ELSE identity END
+    WHEN employer_id % 4 = 0 THEN 'CONFIRMED' WHEN employer_id % 4 = 1 THEN 'PROBABLE'
+    WHEN identity = 'CONFIRMED' AND coalesce(proof_at > {_TS} - INTERVAL 30 DAY, false) THEN 'CONFIRMED' ELSE 'PROBABLE' END AS after
+    FROM (SELECT *, employer_id % 4 <> 3 AND (identity_checked_at IS NULL OR identity_checked_at < {_TS} - INTERVAL 24 HOUR) AS counts FROM b_employer))"""
+)
+def identity_transition(spark, sf):
+    employers = view(spark, sf, "b_employer")
+    kind = F.col("employer_id") % 4
+    probes = employers.where(kind != 3).select("employer_id", F.when(kind == 0, True).when(kind == 1, False).alias("linked"))
+    return identity.transition(employers, probes, _now()).select("employer_id", "identity", "changed")
+
+
+@_query(
+    """SELECT lower(replace(substr(name, 1, length(name) - 5), '#', '-')) AS slug, name AS display_name, 'UNKNOWN' AS identity FROM b_employer WHERE identity <> 'CONFIRMED'"""
+)
+def employer_create(spark, sf):
+    employers = view(spark, sf, "b_employer")
+    aliases = employers.where("identity = 'CONFIRMED'").select("employer_id", normalize.employer_key(F.col("name")).alias("alias_normalized"))
+    return identity.new_employers(employers.select("name"), aliases)
+
+
+@_query(
+    """SELECT posting_id, CASE WHEN score >= 0.6 THEN candidate_id END AS candidate_id, score,
+    CASE WHEN score < 0.6 THEN 'NEW' WHEN score >= 0.85 AND why = '' THEN 'MERGE' ELSE 'REVIEW' END AS decision,
+    CASE WHEN score < 0.6 OR (score >= 0.85 AND why = '') THEN NULL WHEN why = '' THEN 'similarity between thresholds' ELSE why END AS reason
+    FROM (SELECT *, concat_ws('; ', CASE WHEN same_source THEN 'same source already lists a similar posting (could be a separate opening)' END,
+    CASE WHEN NOT employer_owned AND posting_id % 4 > 1 THEN 'apply link (' || coalesce(apply_host, 'none') || ') doesn''t match the employer or the existing listing' END,
+    CASE WHEN NOT employer_owned AND posting_id % 6 = 0 THEN 'posting text contains job-scam patterns' END) AS why FROM b_scored)"""
+)
+def dedup_guards(spark, sf):
+    return dedup.guard(view(spark, sf, "b_scored").withColumn("trusted_hosts", F.array(F.lit("acmecorp.com"))))
+
+
+@_query(
+    """SELECT CAST(candidate_id AS VARCHAR) || '-' || CAST(posting_id AS VARCHAR) AS cluster_id, CASE WHEN score >= 0.85 THEN 'AUTO_MERGED' ELSE 'REVIEW_REQUIRED' END AS status, score,
+    unnest([posting_id, candidate_id]) AS posting_id FROM b_scored WHERE score >= 0.6"""
+)
+def cluster_members(spark, sf):
+    kind = F.when(F.col("score") >= dedup.MERGE, "MERGE").when(F.col("score") >= dedup.REVIEW, "REVIEW").otherwise("NEW")
+    return dedup.cluster_members(view(spark, sf, "b_scored").withColumn("decision", kind))
+
+
+@_query(
+    """SELECT job_id, CASE job_id % 6 WHEN 0 THEN NULL WHEN 3 THEN 'HIGH_RISK' ELSE CASE WHEN job_id % 4 = 0 THEN 'VERIFIED' END END AS override_status,
+    CASE WHEN job_id % 6 = 3 THEN 'seen twice' END AS override_note FROM b_order"""
+)
+def override_apply(spark, sf):
+    jobs = view(spark, sf, "b_order").select("job_id", F.when(F.col("job_id") % 4 == 0, "VERIFIED").alias("override_status"), F.lit(None).cast("string").alias("override_note"))
+    chosen = jobs.where("job_id % 3 = 0").select("job_id")
+    old = chosen.select((F.col("job_id") * 2).alias("decision_id"), "job_id", F.lit("STALE").alias("status"), F.lit("old").alias("note"), _now().alias("decided_at"))
+    kind = F.when(F.col("job_id") % 2 == 0, "CLEAR").otherwise("HIGH_RISK")
+    new = chosen.select((F.col("job_id") * 2 + 1).alias("decision_id"), "job_id", kind.alias("status"), F.lit(" seen twice ").alias("note"), _now().alias("decided_at"))
+    return decisions.override_status(jobs, old.unionByName(new))
+
+
+@_query(
+    """SELECT CASE WHEN job_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0) THEN job_id + 1000000000 ELSE job_id END AS job_id, source_id,
+    CASE WHEN source_id % 2 = 0 OR source_id % 3 = 0 THEN source_id END AS cluster_id FROM b_record"""
+)
+def clusters_resolve(spark, sf):
+    records = view(spark, sf, "b_record").select("job_id", "source_id", F.col("source_id").alias("cluster_id"))
+    n = F.col("source_id")
+    sources = view(spark, sf, "b_source")
+    clusters = sources.select(n.alias("cluster_id"), F.when(n % 3 == 0, "RESOLVED").otherwise("REVIEW_REQUIRED").alias("status"))
+    made = sources.select(
+        n.alias("decision_id"), n.alias("cluster_id"), F.when(n % 2 == 0, "MERGE").otherwise("KEEP_SEPARATE").alias("action"),
+        n.cast("long").alias("drop_job_id"), (n.cast("long") + 1_000_000_000).alias("keep_job_id"), _now().alias("decided_at"),
+    )
+    return decisions.resolve_clusters(clusters, records, made, _now())[1]
+
+
+@_query(
+    "SELECT report_id, status AS before, CASE report_id % 8 WHEN 0 THEN 'UPHELD' WHEN 4 THEN 'DISMISSED' END AS after, 'RESOLVE_REPORT' AS action FROM b_report WHERE status = 'PENDING' AND report_id % 4 = 0"
+)
+def reports_resolve(spark, sf):
+    reports_ = view(spark, sf, "b_report")
+    kind = F.when(F.col("report_id") % 8 == 0, "UPHELD").otherwise("DISMISSED")
+    made = reports_.where("report_id % 4 = 0").select(F.col("report_id").alias("decision_id"), "report_id", kind.alias("decision"), _now().alias("decided_at"))
+    trail = decisions.audit(reports_, decisions.resolve_reports(reports_, made), "report_id", "status", "RESOLVE_REPORT", _now())
+    return trail.select(F.col("entity_id").cast("long").alias("report_id"), "before", "after", "action")
+
+
+@_query(
+    """SELECT check_id, regexp_extract(text, '(?im)^title: (.+)$|^Job title: (.+)$', 2) AS title, CASE WHEN check_id % 4 = 0 THEN 'Acme' ELSE regexp_extract(text, '(?m)^Company - (.+)$', 1) END AS employer_name,
+    'Toronto' AS place, 'https://apply.example.com/' || CAST(check_id AS VARCHAR) AS apply_url FROM b_pasted"""
+)
+def pasted_fields(spark, sf):
+    return checks.fields(view(spark, sf, "b_pasted")).select("check_id", "title", "employer_name", "place", "apply_url")
+
+
+@_query(
+    """SELECT check_id, job_id, score, score >= 0.85 AS is_strong FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY score DESC, job_id) AS r FROM (
+    SELECT c.job_id AS check_id, j.job_id, floor(least(greatest(0.6::DOUBLE + CASE WHEN c.city = j.city THEN 0.25::DOUBLE WHEN c.city IS NULL AND j.city IS NULL THEN 0.1::DOUBLE
+    WHEN c.city IS NOT NULL AND j.city IS NOT NULL THEN -0.3::DOUBLE ELSE 0 END
+    + CASE WHEN o >= 0.9 THEN 0.25::DOUBLE WHEN o >= 0.5 THEN 0.1::DOUBLE ELSE -0.3::DOUBLE END, 0), 1) * 10000 + 0.5) / 10000 AS score
+    FROM (SELECT c.job_id AS c_id, j.job_id AS j_id, greatest(least(c.hi + 1000, j.hi) - greatest(c.lo + 1000, j.lo), 0) / (greatest(c.hi + 1000, j.hi) - least(c.lo + 1000, j.lo)) AS o
+    FROM b_listing c JOIN b_listing j ON c.employer_id = j.employer_id AND c.title_stem = j.title_stem AND j.expired_at IS NULL) p
+    JOIN b_listing c ON c.job_id = c_id JOIN b_listing j ON j.job_id = j_id)) WHERE r = 1"""
+)
+def check_match(spark, sf):
+    listings = view(spark, sf, "b_listing")
+    asked = listings.withColumnRenamed("job_id", "check_id").withColumns({"lo": F.col("lo") + 1000, "hi": F.col("hi") + 1000}).drop("expired_at")
+    return checks.match(asked, listings)
+
+
+@_query(
+    """SELECT * FROM (SELECT job_id, CASE WHEN job_id % 6 = 2 THEN 'LOOKALIKE_DOMAIN' WHEN job_id % 6 IN (0, 5) OR (job_id % 6 = 1 AND d) THEN 'APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS'
+    WHEN job_id % 6 = 3 AND d THEN 'APPLY_URL_MISMATCH' END AS code,
+    CASE WHEN job_id % 6 = 2 THEN -90 WHEN job_id % 6 = 3 THEN -85 ELSE 35 END AS weight FROM (SELECT job_id, employer_id IN (SELECT employer_id FROM b_domain) AS d FROM b_text)) WHERE code IS NOT NULL
+    UNION ALL SELECT job_id, CASE job_id % 5 WHEN 0 THEN 'OFF_PLATFORM_CONTACT' WHEN 1 THEN 'UPFRONT_PAYMENT_REQUEST' ELSE 'VACANCY_STATUS_DISCLOSED' END,
+    CASE job_id % 5 WHEN 0 THEN -95 WHEN 1 THEN -100 WHEN 2 THEN 20 ELSE 0 END FROM b_text WHERE job_id % 5 < 4"""
+)
+def apply_text_signals(spark, sf):
+    return signals.text_signals(view(spark, sf, "b_text"), view(spark, sf, "b_domain"))
+
+
+@_query(
+    """SELECT job_id AS posting_id, CASE job_id % 5 WHEN 2 THEN 'This is an existing vacancy.' WHEN 3 THEN 'Join our talent pool.' WHEN 4 THEN 'Good team.' END AS vacancy_statement,
+    job_id % 5 = 4 AS derived, CASE WHEN job_id % 5 = 4 THEN 'm1' END AS model FROM b_text"""
+)
+def vacancy_evidence(spark, sf):
+    postings = view(spark, sf, "b_text").withColumnRenamed("job_id", "posting_id")
+    return evidence.vacancies(postings, postings.select("posting_id", F.lit("Good team.").alias("value"), F.lit("m1").alias("model")))
+
+
+@_query(
+    """SELECT page_id AS link_id, NOT starts_with(path, '/en/') OR starts_with(path, '/en/1') AS allowed
+    FROM (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1) AS path FROM pages)"""
+)
+def robots_allowed(spark, sf):
+    links = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("link_id"), urls.hostname(F.col("url")).alias("host"), F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    body = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/1*\n"
+    files = links.where("host IS NOT NULL").select("host").distinct().withColumn("body", F.lit(body))
+    return robots.allowed(links, robots.rules(files, "postledger/1.0"))
+
+
+@_query(
+    f"""SELECT r.job_id, CASE WHEN s.job_id IS NULL THEN 'Salary not disclosed' ELSE '$' || CASE WHEN low <> high THEN format('{{:,}}', low) || '–$' ELSE '' END || format('{{:,}}', high)
+    || coalesce(' / ' || lower(period), '') END AS pay, CASE WHEN last_verified IS NULL THEN 'never' WHEN date_diff('day', last_verified, {_TS}) <= 0 THEN 'today'
+    WHEN date_diff('day', last_verified, {_TS}) = 1 THEN '1 day ago' ELSE date_diff('day', last_verified, {_TS}) || ' days ago' END AS confirmed,
+    coalesce(last_verified < {_TS} - INTERVAL 7 DAY, false) AS may_be_closed, 'Found on ' || active_sources || CASE WHEN active_sources = 1 THEN ' source' ELSE ' sources' END AS found_on,
+    coalesce(t.caution, false) AS caution
+    FROM b_rollup r LEFT JOIN (SELECT job_id, CAST(floor(low) AS BIGINT) AS low, CAST(floor(high) AS BIGINT) AS high, period, row_number() OVER
+    (PARTITION BY job_id ORDER BY b_salary.high DESC NULLS LAST, b_salary.low DESC NULLS LAST, source_id) AS n FROM b_salary) s ON r.job_id = s.job_id AND n = 1
+    LEFT JOIN (SELECT job_id, job_id % 6 = 2 OR (job_id % 6 = 3 AND employer_id IN (SELECT employer_id FROM b_domain)) AS caution FROM b_text) t ON r.job_id = t.job_id"""
+)
+def job_cards(spark, sf):
+    best = search.best_salary(view(spark, sf, "b_salary")).withColumns({"low": F.floor("low"), "high": F.floor("high")})
+    said = signals.text_signals(view(spark, sf, "b_text"), view(spark, sf, "b_domain"))
+    return reports.cards(view(spark, sf, "b_rollup"), best, said, _now()).drop("n_positive", "n_negative")
+
+
+@_query(
+    """SELECT user_id, 'saved' AS section, '{"job_id":' || event_id % 50 || '}' AS item FROM events WHERE event_type = 'click' AND user_id IS NOT NULL
+    UNION ALL SELECT user_id, 'reports', '{"report_id":' || report_id || ',"status":"' || status || '"}' FROM b_report WHERE user_id IS NOT NULL"""
+)
+def user_export(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select("user_id", (F.col("event_id") % 50).alias("job_id"))
+    told = view(spark, sf, "b_report").select("user_id", "report_id", "status", F.lit("kept private").alias("text"))
+    return reports.export({"saved": e, "reports": told})

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def landing_dedup(payloads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -16,3 +21,38 @@ def event_daily(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Counts by day and name; rows later than the watermark are dropped."""
     out = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "name").agg(F.count("*").alias("n"))
     return out.select(F.to_date("window.start").alias("day"), "name", "n")
+
+
+def liveness_state(observed: DataFrame) -> DataFrame:
+    """Freshness of each (source_id, external_ref) as keyed state, a row per batch that changed it.
+
+    observed: source_id, external_ref, observation, at. LIVE sets
+    last_verified and clears expired_at, GONE keeps the earliest expiry,
+    UNKNOWN changes nothing. Rows of one batch count in order of time.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        verified, expired = state.get if state.exists else (None, None)
+        rows = pd.concat(list(frames)).sort_values(["at", "observation"])
+        rows = rows[rows["observation"] != "UNKNOWN"]
+        if rows.empty:
+            return
+        for at, kind in zip(rows["at"], rows["observation"]):
+            micros = at.value // 1000
+            if kind == "LIVE":
+                verified, expired = micros, None
+            elif expired is None:
+                expired = micros
+        state.update((verified, expired))
+        yield pd.DataFrame({"source_id": [key[0]], "external_ref": [key[1]], "verified_us": pd.array([verified], "Int64"), "expired_us": pd.array([expired], "Int64")})
+
+    source = dict(observed.dtypes)["source_id"]
+    out = observed.groupBy("source_id", "external_ref").applyInPandasWithState(
+        step, f"source_id {source}, external_ref string, verified_us long, expired_us long", "verified long, expired long", "append", GroupStateTimeout.NoTimeout
+    )
+    return out.select("source_id", "external_ref", F.timestamp_micros("verified_us").alias("last_verified"), F.timestamp_micros("expired_us").alias("expired_at"))
+
+
+def ingest(postings: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Run a batch job over whatever has landed since the last run; the checkpoint remembers what was taken."""
+    return postings.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
