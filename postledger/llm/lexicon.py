@@ -42,6 +42,8 @@ class Lexicon:
             self.text_of.append(p)
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.longest = max(map(len, self.pieces))
+        # every ending of a piece; the value is None where it is no piece itself
+        self.endings: dict[str, tuple[int, float] | None] = {p[k:]: None for p in self.pieces for k in range(len(p))} | self.pieces
         self.single = frozenset(p for p in self.pieces if len(p) == 1)
         self.unknown = min(s for _, s in self.pieces.values()) - 10
 

@@ -39,7 +39,7 @@ class _Coder:
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         lex, out, before = self.lex, {}, ""
-        get, longest = lex.pieces.get, lex.longest
+        get = lex.endings.get
         best, back, ids = [0.0], [0], [0]
         for w in sorted(words):
             if not lex.plain(w):
@@ -54,12 +54,14 @@ class _Coder:
             del best[shared + 1 :], back[shared + 1 :], ids[shared + 1 :]
             for end in range(shared + 1, n + 1):
                 top, arg, which = float("-inf"), 0, 0
-                for at in range(max(0, end - longest), end):
-                    hit = get(w[at:end])
-                    if hit is not None:
+                for at in range(end - 1, -1, -1):  # longer pieces come later and win ties
+                    hit = get(w[at:end], False)
+                    if hit:
                         c = best[at] + hit[1]
-                        if c > top:
+                        if c >= top:
                             top, arg, which = c, at, hit[0]
+                    elif hit is False:
+                        break
                 best.append(top)
                 back.append(arg)
                 ids.append(which)
