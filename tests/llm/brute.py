@@ -3,24 +3,27 @@
 import re
 import string
 
-import xxhash
-
 APART = str.maketrans({c: " " for c in string.digits + string.punctuation + "\t\n\v\f\r"})
 PIECE = re.compile(r"[ \t\v\f\r]*+(?:[^ \t-\r]{1,64}+[ \t\v\f\r]*+){0,100}\n?")
 
 
 def _edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def _simhash(words):
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in dict.fromkeys(words)][:127]
-    return sum(1 << b for b in range(56) if sum(h >> b & 1 for h in hashes) > len(hashes) // 2)
+    """Edit distance, a column of the table as one number (bit-parallel)."""
+    if not a:
+        return len(b)
+    at = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, d = mask, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        xv, xh = same | down, (((same & up) + up) ^ up) | same
+        more, less = down | ~(xh | up) & mask, up & xh
+        d += bool(more & top) - bool(less & top)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(xv | more)) & mask, more & xv & mask
+    return d
 
 
 def groups(keys, linked):
@@ -42,26 +45,24 @@ def groups(keys, linked):
 
 
 def lines_left(docs):
-    """(text, removed pieces) by id, for texts by id."""
+    """(text, removed pieces) by id, for texts by id, linking lines by edit similarity alone."""
     cuts = {i: [p for p in PIECE.findall(t or "") if p] for i, t in docs.items()}
     places = {}
     for i in sorted(docs):
         for pos, p in enumerate(cuts[i]):
-            words = p.lower().translate(APART).split(" ")
-            words = [w for w in words if w]
-            if len(words) >= 5:
-                places.setdefault(" ".join(words), []).append((i, pos))
-    sim = {n: _simhash(n.split(" ")) for n in places}
+            words = [w for w in p.lower().translate(APART).split(" ") if w]
+            if p.strip():
+                places.setdefault(" ".join(words) or (p.strip(),), []).append((i, pos))
 
     def linked(a, b):
         most = max(len(a), len(b)) * 20 // 100
-        return (sim[a] ^ sim[b]).bit_count() <= 2 and abs(len(a) - len(b)) <= most and _edits(a, b) <= most
+        return abs(len(a) - len(b)) <= most and _edits(a, b) <= most
 
-    group = groups(places, linked)
+    group = groups([n for n in places if isinstance(n, str)], linked)
     first = {}
     for n, found in places.items():
-        first[group[n]] = min(first.get(group[n], found[0]), found[0])
-    gone = {at for n, found in places.items() for at in found if at != first[group[n]]}
+        first[group.get(n, n)] = min(first.get(group.get(n, n), found[0]), found[0])
+    gone = {at for n, found in places.items() for at in found if at != first[group.get(n, n)]}
     return {
         i: (t if t is None else "".join(p for pos, p in enumerate(cuts[i]) if (i, pos) not in gone), sum(1 for at in gone if at[0] == i))
         for i, t in docs.items()
