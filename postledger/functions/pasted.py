@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postledger.functions.text import bind
+
 # Labels of lines, and the patterns of links and of words around them.
 TITLE_LABELS = "job title|position|role|title"
 PLACE_LABELS = "location|based in|city"
@@ -40,13 +42,17 @@ def _starts(text: Column, pattern: str) -> Column:
     """Places and texts of all matches: the pieces between matches give the places."""
     found = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0))
     between = F.split(text, f"(?i){pattern}")
-    length = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda acc, s: acc + F.length(s))
-    return F.transform(found, lambda s, i: F.struct((length(between, i + 1) + length(found, i)).alias("at"), s.alias("s")))
+    pairs = F.zip_with(found, F.transform(F.slice(between, F.lit(1), F.size(found)), lambda s: F.length(s)), lambda s, n: F.struct(n.alias("n"), s.alias("s")))
+    length = lambda p, n: F.aggregate(F.slice(p, 1, n), F.lit(0), lambda acc, q: acc + q["n"] + F.length(q["s"]))
+    return bind(pairs, lambda p: F.transform(p, lambda q, i: F.struct((length(p, i) + q["n"]).alias("at"), q["s"].alias("s"))))
 
 
 def apply_url(text: Column) -> Column:
     """The link nearest to a word of applying, else the first; closing punctuation is no part of it."""
-    links, words = _starts(text, LINK), _starts(text, APPLY)
-    near = lambda u: F.array_min(F.transform(words, lambda w: F.abs(u["at"] - w["at"])))
-    ranked = F.transform(links, lambda u: F.struct(F.coalesce(near(u), F.lit(0)).alias("d"), u["at"].alias("at"), u["s"].alias("s")))
-    return F.regexp_replace(F.array_min(ranked)["s"], "[.,;]+$", "")
+    both = F.struct(_starts(text, LINK).alias("links"), _starts(text, APPLY).alias("words"))
+
+    def nearest(b: Column) -> Column:
+        near = lambda u: F.array_min(F.transform(b["words"], lambda w: F.abs(u["at"] - w["at"])))
+        return F.array_min(F.transform(b["links"], lambda u: F.struct(F.coalesce(near(u), F.lit(0)).alias("d"), u["at"].alias("at"), u["s"].alias("s"))))["s"]
+
+    return F.regexp_replace(bind(both, nearest), "[.,;]+$", "")

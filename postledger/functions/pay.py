@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postledger.functions import text
+
 # Parts of a year by period.
 ANNUAL = {"HOUR": 2080, "DAY": 260, "WEEK": 52, "MONTH": 12, "YEAR": 1}
 # Wording of pay, its periods and its currencies.
@@ -49,31 +51,54 @@ def infer_period(context: Column, top: Column) -> Column:
     return out
 
 
-def salary_of(sentence: Column) -> Column:
-    """Struct of low, high, currency, period of one line that states pay; null if none or out of bounds."""
-    ranged = F.regexp_extract(sentence, RANGE, 0)
-    single = F.regexp_extract(sentence, SINGLE, 0)
-    hit = F.when(ranged != "", ranged).otherwise(single)
-    numbers = F.transform(F.regexp_extract_all(hit, F.lit(f"(?iu){_PLAIN_NUMBER}"), F.lit(0)), parse_number)
-    a, b = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    is_range = (ranged != "") & (F.size(numbers) >= 2)
-    low0, high0 = F.least(a, b), F.greatest(a, b)
-    low0 = F.when((low0 < 1000) & (high0 >= 1000) & hit.rlike("[kK]") & (high0 / low0 > 100), low0 * 1000).otherwise(low0)
-    word = F.lower(F.regexp_extract(hit, rf"(?iu)^({QUALIFIER})", 1))
-    low = F.when(is_range, low0).when(~word.rlike("up to|max|jusqu"), a)
-    high = F.when(is_range, high0).when((word == "") | word.rlike("up to|max|jusqu"), a)
-    top = F.coalesce(high, low)
-    fine = (hit != "") & sentence.rlike(CONTEXT) & F.forall(numbers, lambda n: n.isNotNull() & (n > 0)) & top.between(10, 1_000_000)
-    currency = F.when(hit.rlike(r"(?i)USD|US\$"), "USD").otherwise("CAD")
-    return F.when(
-        fine, F.struct(low.alias("low"), high.alias("high"), currency.alias("currency"), infer_period(sentence, top).alias("period"), sentence.alias("evidence"))
-    )
-
-
-def extract_salary(text: Column) -> Column:
-    """The first sentence of a text that states pay."""
-    lines = F.flatten(F.transform(F.split(text, "\n+"), lambda line: F.split(line, r"(?<=\.)\s")))
-    return F.get(F.filter(F.transform(lines, lambda s: salary_of(F.trim(s))), lambda s: s.isNotNull()), F.lit(0))
+def _around(line: Column, at: Column, hit: Column) -> Column:
+    """The sentence of a line that holds a hit, at most 200 characters."""
+    before = F.regexp_replace(F.substring(line, F.lit(1), at - 1), r"(?s)^.*\. ", "")
+    rest = F.substring(line, at + F.length(hit), F.length(line))
+    after = F.regexp_extract(rest, r"(?s)^(.*?\.) ", 1)
+    return text.clip(F.regexp_replace(F.concat(before, hit, F.when(after != "", after).otherwise(rest)), r"^\s+|\s+$", ""), 200)
+
+
+def salary_of(line: Column) -> Column:
+    """Struct of low, high, currency, period, evidence of one line: its first amount decides; null if that is no pay."""
+    ranged = F.regexp_extract(line, RANGE, 0)
+    hit = F.when(ranged != "", ranged).otherwise(F.regexp_extract(line, SINGLE, 0))
+    at = F.when(ranged != "", F.regexp_instr(line, F.lit(RANGE))).otherwise(F.regexp_instr(line, F.lit(SINGLE)))
+    found = F.struct(line.alias("line"), hit.alias("hit"), at.alias("at"), (ranged != "").alias("is_range"))
+
+    def parts(f: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(f["hit"], F.lit(f"(?iu){_PLAIN_NUMBER}"), F.lit(0)), parse_number)
+        word = F.lower(F.regexp_extract(f["hit"], rf"(?iu)^({QUALIFIER})", 1))
+        after = F.substring(f["line"], f["at"] + F.length(f["hit"]), F.lit(40))
+        return F.struct(
+            f["hit"].alias("hit"), numbers.alias("numbers"), f["is_range"].alias("is_range"), word.alias("word"), after.alias("after"),
+            _around(f["line"], f["at"], f["hit"]).alias("evidence"),
+        )
+
+    def read(p: Column) -> Column:
+        a, b = F.get(p["numbers"], F.lit(0)), F.get(p["numbers"], F.lit(1))
+        two = p["is_range"] & (F.size(p["numbers"]) >= 2)
+        low0, high0 = F.least(a, b), F.greatest(a, b)
+        low0 = F.when((low0 < 1000) & (high0 >= 1000) & p["hit"].rlike("[kK]") & (high0 / low0 > 100), low0 * 1000).otherwise(low0)
+        most = p["word"].rlike("up to|max|jusqu")
+        low = F.when(two, low0).when(~most, a)
+        high = F.when(two, high0).when((p["word"] == "") | most, a)
+        top = F.coalesce(high, low)
+        fine = (p["hit"] != "") & p["evidence"].rlike(CONTEXT) & F.forall(p["numbers"], lambda n: n.isNotNull() & (n > 0)) & top.between(10, 1_000_000)
+        return F.when(
+            fine,
+            F.struct(
+                low.alias("low"), high.alias("high"), F.when(p["hit"].rlike(r"(?i)USD|US\$"), "USD").otherwise("CAD").alias("currency"),
+                infer_period(F.concat_ws(" ", p["after"], p["evidence"]), top).alias("period"), p["evidence"].alias("evidence"),
+            ),
+        )
+
+    return text.bind(text.bind(found, parts), read)
+
+
+def extract_salary(body: Column) -> Column:
+    """Pay of the first line that states it."""
+    return F.get(F.filter(F.transform(F.split(body, "\n+"), salary_of), lambda s: s.isNotNull()), F.lit(0))
 
 
 def annual_low(low: Column, high: Column, period: Column) -> Column:

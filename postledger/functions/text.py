@@ -37,6 +37,9 @@ VACANCY = (
     r"|future (openings|opportunities|vacancies)|talent (pool|community)|poste vacant|vacance existante|poste existant)(?![A-Za-z0-9_])[^.\n]*\.?"
 )
 POOL = r"(?iu)pool of|future (openings|opportunities|vacancies)|talent (pool|community)|not (for )?an existing"
+# Fixed value: sentences of boards that say nothing of the job.
+BOILERPLATE = r"(?i)this is a fictional demo posting\.?|posted via [^.\n]+\(demo\)\.?"
+# \b knows letters of any script in Java's Unicode mode, so word ends are written out.
 _WORD = r"(?iu)(?<![A-Za-z0-9_])({})(?![A-Za-z0-9_])"
 
 
@@ -112,16 +115,24 @@ def vacancy_statement(c: Column) -> Column:
     return F.when(F.length(s) > 300, F.concat(F.substring(s, 1, 299), F.lit("…"))).when(s != "", s)
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: a lambda that names an expression computes it anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(strip_accents(c)), "[^a-z0-9$]+"), lambda w: w != "")
+    plain = F.regexp_replace(F.lower(strip_accents(c)), BOILERPLATE, " ")
+    return F.filter(F.split(plain, "[^a-z0-9$]+"), lambda w: w != "")
 
 
 def shingles(c: Column, k: int = 4) -> Column:
     """Distinct hashes of k-word runs; a shorter text is one run."""
-    w = tokens(c)
-    n = F.size(w)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - k + 1, F.lit(1))
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(bind(tokens(c), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

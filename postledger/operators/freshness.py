@@ -18,6 +18,22 @@ def rollup(records: DataFrame) -> DataFrame:
     )
 
 
+def roll_up(jobs: DataFrame, records: DataFrame) -> DataFrame:
+    """Jobs with the freshness of their records: the later sighting stays, and so does an earlier expiry while no record is active.
+
+    Jobs without records stay as they are.
+    """
+    r = rollup(records).select("job_id", *(F.col(c).alias(f"r_{c}") for c in ("last_verified", "last_seen", "active_sources", "expired_at")))
+    known = F.col("r_active_sources").isNotNull()
+    return jobs.join(r, "job_id", "left").withColumns(
+        {
+            "last_verified": F.when(known, F.col("r_last_verified")).otherwise(F.col("last_verified")),
+            "last_seen": F.greatest("last_seen", "r_last_seen"),
+            "expired_at": F.when(F.col("r_active_sources") > 0, None).when(known, F.coalesce("expired_at", "r_expired_at")).otherwise(F.col("expired_at")),
+        }
+    ).select(*jobs.columns)
+
+
 def _due(first_seen: Column, last_verified: Column, now: Column) -> Column:
     young = first_seen > now - F.expr("INTERVAL 7 DAYS")
     half, day = F.expr("INTERVAL 12 HOURS"), F.expr("INTERVAL 24 HOURS")
@@ -41,13 +57,14 @@ def missing_from_board(records: DataFrame, sources: DataFrame, seen: DataFrame)
 
 
 def apply_liveness(records: DataFrame, observed: DataFrame, now: Column) -> DataFrame:
-    """LIVE refreshes, GONE expires, UNKNOWN and no observation change nothing."""
+    """LIVE refreshes proof and sighting, GONE expires as of the check, UNKNOWN and no observation change nothing."""
     kept = records.join(observed, ["job_id", "source_id"], "left")
     live, gone = F.col("observation") == "LIVE", F.col("observation") == "GONE"
     return kept.withColumns(
         {
             "last_verified": F.when(live, now).otherwise(F.col("last_verified")),
-            "expired_at": F.when(gone, F.coalesce("expired_at", now)).when(live, None).otherwise(F.col("expired_at")),
+            "last_seen": F.when(live, now).otherwise(F.col("last_seen")),
+            "expired_at": F.when(gone, now).when(live, None).otherwise(F.col("expired_at")),
             "touched": F.coalesce(live | gone, F.lit(False)),
         }
     ).drop("observation")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postledger.functions import pay, text, urls
 from postledger.operators.dedup import lookalikes
 
-# Weight of each signal (order of output only).
+# Weight of each signal (order of output, and polarity).
 WEIGHTS = {
     "ON_EMPLOYER_ATS": 50, "NOT_FOUND_ON_EMPLOYER_SITE": -60, "EMPLOYER_IDENTITY_CONFIRMED": 45, "LOOKALIKE_DOMAIN": -90,
     "APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS": 35, "APPLY_URL_MISMATCH": -85, "OFF_PLATFORM_CONTACT": -95, "UPFRONT_PAYMENT_REQUEST": -100,
@@ -21,10 +19,6 @@ SCAM = ("UPFRONT_PAYMENT_REQUEST", "OFF_PLATFORM_CONTACT", "LOOKALIKE_DOMAIN", "
 CONFIRMED_HOURS, STALE_DAYS, REPORTERS = 72, 14, 3
 
 
-def _rows(jobs: DataFrame, code: str) -> DataFrame:
-    return jobs.select("job_id", F.lit(code).alias("code"), F.lit(WEIGHTS[code]).alias("weight"))
-
-
 def distinct_reporters(reports: DataFrame) -> DataFrame:
     """Pending reporters by job; anonymous reports count one by one."""
     who = F.coalesce(F.col("user_id").cast("string"), F.concat(F.lit("#"), F.col("report_id").cast("string")))
@@ -62,63 +56,152 @@ def last_board_check(sources: DataFrame) -> DataFrame:
     return sources.where("owned").groupBy("employer_id").agg(F.max("last_success_at").alias("checked_at"), F.count("*").alias("boards"))
 
 
-def text_signals(jobs: DataFrame, domains: DataFrame) -> DataFrame:
-    """job_id, code, weight: what apply links and texts give.
+def relative(now: Column, then: Column) -> Column:
+    """How long ago, in words."""
+    hours = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 3600 + 0.5)
+    return (
+        F.when(hours < 1, "less than an hour ago")
+        .when(hours == 1, "1 hour ago")
+        .when(hours < 48, F.concat(hours.cast("string"), F.lit(" hours ago")))
+        .otherwise(F.concat(F.floor(hours / 24 + 0.5).cast("string"), F.lit(" days ago")))
+    )
+
+
+def record_facts(records: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row a job: records, active ones, the first active owned one, and whether active ones agree."""
+    r = records.join(sources.select("source_id", "source_name", "owned"), "source_id")
+    active = F.col("expired_at").isNull()
+    only = lambda c: F.when(active, F.col(c))
+    own = F.when(active & F.col("owned"), F.struct("source_id", "source_name", "url", "last_verified"))
+    agree = [F.min(only(c)).eqNullSafe(F.max(only(c))) for c in ("title_stem", "location_key")]
+    return r.groupBy("job_id").agg(
+        F.count("*").alias("n_records"), F.count_if(active).alias("n_active"), F.min(own).alias("own"), (agree[0] & agree[1]).alias("agree")
+    )
+
+
+def pay_facts(salaries: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row a job: the first pay that an owned source states, and the two statements furthest apart where they conflict.
 
-    jobs: job_id, employer_id, apply_url, text; domains: employer_id, domain.
-    A lookalike host comes before all else said of a link; a link is out of
-    place only where the employer has domains.
+    Within a currency some two ranges are apart by more than the tolerance
+    exactly where the highest low bound and the lowest high bound are, so no
+    pairs are made. Rows are dealt by job once for both steps.
     """
-    own = domains.select("employer_id", urls.registrable(F.col("domain")).alias("reg"), F.lit(True).alias("own")).distinct()
+    low, high, period = F.col("low"), F.col("high"), F.col("period")
+    s = salaries.join(sources.select("source_id", "owned"), "source_id").repartition("job_id")
+    lo, hi = pay.annual_low(low, high, period), pay.annual_high(low, high, period)
+    by_currency = s.groupBy("job_id", "currency").agg(
+        F.min(F.when(F.col("owned"), F.struct("source_id", "evidence"))).alias("hosted"),
+        F.max(F.when(lo.isNotNull(), F.struct(lo.alias("at"), F.col("source_id"), F.col("evidence")))).alias("top"),
+        F.min(F.when(hi.isNotNull(), F.struct(hi.alias("at"), F.col("source_id"), F.col("evidence")))).alias("bottom"),
+    )
+    apart = pay.conflict(F.col("top.at"), F.col("top.at"), F.col("bottom.at"), F.col("bottom.at")) & (F.col("top.at") > F.col("bottom.at"))
+    clash = F.when(apart, F.struct("currency", F.col("bottom.evidence").alias("one"), F.col("top.evidence").alias("other")))
+    return by_currency.groupBy("job_id").agg(F.min("hosted").alias("hosted"), F.min(clash).alias("clash"))
+
+
+def link_facts(jobs: DataFrame, domains: DataFrame) -> DataFrame:
+    """job_id, host of the apply link, whether it is a domain of the employer, whether there are any, and what it imitates."""
+    own = domains.select("employer_id", urls.registrable(F.col("domain")).alias("reg"), F.lit(True).alias("own_domain")).distinct()
     having = domains.select("employer_id", F.lit(True).alias("has_domain")).distinct()
     linked = jobs.select("job_id", "employer_id", urls.hostname(F.col("apply_url")).alias("host")).where("host IS NOT NULL")
     linked = linked.withColumn("reg", urls.registrable(F.col("host"))).join(own, ["employer_id", "reg"], "left").join(having, "employer_id", "left")
-    linked = linked.join(lookalikes(linked.select("host").distinct(), domains), "host", "left")
-    code = (
-        F.when(F.col("imitates").isNotNull(), "LOOKALIKE_DOMAIN")
-        .when(F.col("own").isNotNull() | urls.is_hiring_system(F.col("host")) | urls.is_public_board(F.col("host")), "APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS")
-        .when(F.col("has_domain"), "APPLY_URL_MISMATCH")
-    )
-    weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
-    links = linked.select("job_id", code.alias("code")).where("code IS NOT NULL").select("job_id", "code", weight[F.col("code")].alias("weight"))
-    t = F.col("text")
-    statement = text.vacancy_statement(t)
-    said = F.array_compact(
-        F.array(
-            F.when(F.size(text.off_platform_contact(t)) > 0, F.struct(F.lit("OFF_PLATFORM_CONTACT").alias("code"), F.lit(WEIGHTS["OFF_PLATFORM_CONTACT"]).alias("weight"))),
-            F.when(F.size(text.upfront_payment(t)) > 0, F.struct(F.lit("UPFRONT_PAYMENT_REQUEST").alias("code"), F.lit(WEIGHTS["UPFRONT_PAYMENT_REQUEST"]).alias("weight"))),
-            F.when(
-                statement.isNotNull(),
-                F.struct(F.lit("VACANCY_STATUS_DISCLOSED").alias("code"), F.when(statement.rlike(text.POOL), 0).otherwise(WEIGHTS["VACANCY_STATUS_DISCLOSED"]).alias("weight")),
-            ),
-        )
-    )
-    return links.unionByName(jobs.select("job_id", F.explode(said).alias("s")).select("job_id", "s.code", "s.weight"))
+    return linked.join(lookalikes(linked.select("host").distinct(), domains), "host", "left").select("job_id", "host", "own_domain", "has_domain", "imitates")
+
+
+def _signal(code: str, when: Column, says: Column, at: Column, url: Column | None = None, source: Column | None = None, weight: Column | None = None) -> Column:
+    """Struct of one signal where its condition holds, else null."""
+    value = F.lit(WEIGHTS[code]) if weight is None else weight
+    polarity = F.when(value > 0, "POSITIVE").when(value < 0, "NEGATIVE").otherwise("NEUTRAL")
+    none = F.lit(None).cast("string")
+    return F.when(
+        when,
+        F.struct(
+            F.lit(code).alias("code"), polarity.alias("polarity"), value.alias("weight"), says.alias("evidence_text"),
+            (none if url is None else url).alias("evidence_url"), at.alias("observed_at"), (F.lit(None) if source is None else source).cast("long").alias("source_id"),
+        ),
+    )
+
 
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
-def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
-    """job_id, code, weight: the signals that jobs, their records, pay and reports give."""
-    owned = records.where("expired_at IS NULL").join(sources.where("owned"), "source_id", "left_semi").select("job_id").distinct()
-    boards = last_board_check(sources).where("checked_at IS NOT NULL")
-    since = F.coalesce("last_verified", "first_seen")
-    conflicting = salary_conflicts(salaries).select("job_id").distinct()
-    stated = salaries.join(sources.where("owned"), "source_id", "left_semi").select("job_id").distinct()
+
+def text_parts(now: Column) -> list[Column]:
+    """Signals of the link and the text of a row with the columns of link_facts, apply_url, text and employer_name."""
+    host, linked = F.col("host"), F.col("host").isNotNull()
+    fake, own = F.col("imitates").isNotNull(), F.col("own_domain").isNotNull()
+    known = urls.is_hiring_system(host) | urls.is_public_board(host)
+    kind = F.when(own, ", a domain of the employer.").when(urls.is_hiring_system(host), ", a common hiring system.").otherwise(", a public job board.")
+    to, url = _said("Applications go to ", host), F.col("apply_url")
+    elsewhere = F.get(text.off_platform_contact(F.col("text")), F.lit(0))
+    money = F.get(text.upfront_payment(F.col("text")), F.lit(0))
+    vacancy = text.vacancy_statement(F.col("text"))
+    open_pool = F.when(vacancy.rlike(text.POOL), 0).otherwise(WEIGHTS["VACANCY_STATUS_DISCLOSED"])
+    return [
+        _signal("LOOKALIKE_DOMAIN", linked & fake, _said(to, ", which resembles ", F.col("imitates"), "."), now, url),
+        _signal("APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS", linked & ~fake & (own | known), _said(to, kind), now, url),
+        _signal("APPLY_URL_MISMATCH", linked & ~fake & ~own & ~known & F.col("has_domain").isNotNull(), _said(to, ", neither a domain of ", F.col("employer_name"), " nor a known hiring system."), now, url),
+        _signal("OFF_PLATFORM_CONTACT", elsewhere.isNotNull(), _said("“", elsewhere, "”"), now),
+        _signal("UPFRONT_PAYMENT_REQUEST", money.isNotNull(), _said("“", money, "”"), now),
+        _signal("VACANCY_STATUS_DISCLOSED", vacancy.isNotNull(), _said("“", vacancy, "”"), now, weight=open_pool),
+    ]
+
+
+def _long(parts: list[Column], wide: DataFrame, key: str = "job_id") -> DataFrame:
+    return wide.select(key, F.explode(F.array_compact(F.array(*parts))).alias("s")).select(key, "s.*")
+
+
+def text_signals(jobs: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
+    """Signals that apply links and texts give. jobs: job_id, employer_id, employer_name, apply_url, text; domains: employer_id, domain."""
+    return _long(text_parts(now), jobs.join(link_facts(jobs, domains), "job_id", "left"))
+
+
+def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
+    """job_id, code, polarity, weight, evidence_text, evidence_url, observed_at, source_id: all fifteen signals.
+
+    One aggregate a job over each child table, joined to the jobs once; the
+    signals are columns of that row until they are exploded.
+    """
+    boards = last_board_check(sources)
+    wide = (
+        jobs.join(record_facts(records, sources), "job_id", "left")
+        .join(pay_facts(salaries, sources), "job_id", "left")
+        .join(distinct_reporters(reports), "job_id", "left")
+        .join(link_facts(jobs, domains), "job_id", "left")
+        .join(boards, "employer_id", "left")
+    )
+    own, name = F.col("own"), F.col("employer_name")
+    proof, first, checked = F.col("last_verified"), F.col("first_seen"), F.col("checked_at")
+    tied = own.isNotNull() | F.col("own_domain").isNotNull()
+    stale = F.col("expired_at").isNull() & (F.coalesce(proof, first) < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS"))
+    since = F.when(proof.isNotNull(), _said("Confirmed ", relative(now, proof), ".")).otherwise(_said("Seen first ", relative(now, first), " and not confirmed since."))
     parts = [
-        _rows(owned, "ON_EMPLOYER_ATS"),
-        _rows(jobs.join(owned, "job_id", "left_anti").join(boards, "employer_id", "left_semi"), "NOT_FOUND_ON_EMPLOYER_SITE"),
-        _rows(jobs.where("identity = 'CONFIRMED'").join(owned, "job_id", "left_semi"), "EMPLOYER_IDENTITY_CONFIRMED"),
-        _rows(jobs.where(F.col("last_verified") >= now - F.expr(f"INTERVAL {CONFIRMED_HOURS} HOURS")), "RECENTLY_CONFIRMED_LIVE"),
-        _rows(jobs.where(F.col("expired_at").isNull() & (since < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS"))), "STALE"),
-        _rows(stated, "SALARY_STATED_BY_EMPLOYER"),
-        _rows(conflicting, "SALARY_CONFLICT"),
-        _rows(consistent(records).join(conflicting, "job_id", "left_anti"), "CONSISTENT_ACROSS_SOURCES"),
-        _rows(distinct_reporters(reports).where(F.col("reporters") >= REPORTERS), "USER_REPORTS"),
+        _signal("ON_EMPLOYER_ATS", own.isNotNull(), _said("The employer board ", own["source_name"], " lists it."), F.coalesce(own["last_verified"], now), own["url"], own["source_id"]),
+        _signal("NOT_FOUND_ON_EMPLOYER_SITE", own.isNull() & checked.isNotNull(), _said("The board of ", name, " was read ", relative(now, checked), " and does not list it."), checked),
+        _signal(
+            "EMPLOYER_IDENTITY_CONFIRMED", (F.col("identity") == "CONFIRMED") & tied,
+            F.coalesce("identity_text", _said("The site of ", name, " points to this board.")), F.coalesce("identity_at", now), F.col("identity_url"),
+        ),
+        *text_parts(now),
+        _signal("RECENTLY_CONFIRMED_LIVE", proof >= now - F.expr(f"INTERVAL {CONFIRMED_HOURS} HOURS"), _said("Confirmed ", relative(now, proof), "."), proof),
+        _signal("STALE", stale, since, now),
+        _signal("SALARY_STATED_BY_EMPLOYER", F.col("hosted").isNotNull(), _said("“", F.col("hosted.evidence"), "”"), now, source=F.col("hosted.source_id")),
+        _signal("SALARY_CONFLICT", F.col("clash").isNotNull(), _said("“", F.col("clash.one"), "” against “", F.col("clash.other"), "”"), now),
+        _signal(
+            "CONSISTENT_ACROSS_SOURCES", (F.col("n_active") >= 2) & F.col("agree") & F.col("clash").isNull(),
+            _said("Title and place agree on ", F.col("n_active").cast("string"), " sources."), now,
+        ),
+        _signal("USER_REPORTS", F.col("reporters") >= REPORTERS, _said(F.col("reporters").cast("string"), " people reported it; staff have yet to decide."), now),
     ]
-    return reduce(DataFrame.unionByName, parts).join(jobs.select("job_id"), "job_id", "left_semi")
+    return _long(parts, wide)
 
 
-def status(jobs: DataFrame, signals: DataFrame) -> DataFrame:
-    """job_id, status, rule: the first rule that matches."""
+def status(jobs: DataFrame, signals: DataFrame, overrides: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """job_id, status, rule: the first rule that matches.
+
+    jobs: job_id, expired_at; overrides: job_id, override_status; clusters:
+    job_id of jobs with an open duplicate cluster.
+    """
     has = lambda c: F.max(F.when(F.col("code") == c, 1).otherwise(0)).alias(c)
     wide = signals.groupBy("job_id").agg(
         F.count_if(F.col("code").isin(*SCAM)).alias("scam"),
@@ -126,15 +209,19 @@ def status(jobs: DataFrame, signals: DataFrame) -> DataFrame:
         *(has(c) for c in ("USER_REPORTS", "SALARY_CONFLICT", "STALE", "ON_EMPLOYER_ATS", "EMPLOYER_IDENTITY_CONFIRMED", "RECENTLY_CONFIRMED_LIVE")),
     )
     j = jobs.join(wide, "job_id", "left").fillna(0, [c for c in wide.columns if c != "job_id"])
+    nothing = F.lit(None).cast("string")
+    j = j.withColumn("override_status", nothing) if overrides is None else j.join(overrides.where("override_status IS NOT NULL").select("job_id", "override_status"), "job_id", "left")
+    j = j.withColumn("open_cluster", F.lit(False)) if clusters is None else j.join(clusters.select("job_id").distinct().withColumn("open_cluster", F.lit(True)), "job_id", "left")
     is_ = lambda c: F.col(c) == 1
     clean = F.col("negative") == 0
     rules = [
-        (F.col("expired_at").isNotNull(), "EXPIRED", "R1"),
-        (F.col("scam") >= 2, "HIGH_RISK", "R2"),
-        ((F.col("scam") == 1) | is_("USER_REPORTS") | is_("SALARY_CONFLICT"), "REVIEW_REQUIRED", "R3"),
-        (is_("STALE"), "STALE", "R4"),
-        (clean & is_("ON_EMPLOYER_ATS") & is_("EMPLOYER_IDENTITY_CONFIRMED") & is_("RECENTLY_CONFIRMED_LIVE"), "VERIFIED", "R5"),
-        (clean & (is_("ON_EMPLOYER_ATS") | is_("EMPLOYER_IDENTITY_CONFIRMED")), "PARTIALLY_VERIFIED", "R6"),
+        (F.col("override_status").isNotNull(), F.col("override_status"), "R0"),
+        (F.col("expired_at").isNotNull(), F.lit("EXPIRED"), "R1"),
+        (F.col("scam") >= 2, F.lit("HIGH_RISK"), "R2"),
+        ((F.col("scam") == 1) | is_("USER_REPORTS") | is_("SALARY_CONFLICT") | F.coalesce("open_cluster", F.lit(False)), F.lit("REVIEW_REQUIRED"), "R3"),
+        (is_("STALE"), F.lit("STALE"), "R4"),
+        (clean & is_("ON_EMPLOYER_ATS") & is_("EMPLOYER_IDENTITY_CONFIRMED") & is_("RECENTLY_CONFIRMED_LIVE"), F.lit("VERIFIED"), "R5"),
+        (clean & (is_("ON_EMPLOYER_ATS") | is_("EMPLOYER_IDENTITY_CONFIRMED")), F.lit("PARTIALLY_VERIFIED"), "R6"),
     ]
     rule, name = F.lit("R7"), F.lit("UNVERIFIED")
     for when, status_, r in reversed(rules):
@@ -161,3 +248,13 @@ def ordered(signals: DataFrame) -> DataFrame:
     """Signals of each job, the weightiest first."""
     w = Window.partitionBy("job_id").orderBy(F.desc("weight"), "code")
     return signals.withColumn("position", F.row_number().over(w))
+
+
+def current(signals: DataFrame) -> DataFrame:
+    """Signals that none has superseded."""
+    return signals.where("superseded_at IS NULL")
+
+
+def known_domains(domains: DataFrame) -> DataFrame:
+    """Registrable domains of all employers, each once."""
+    return domains.select(urls.registrable(F.col("domain")).alias("domain")).where("domain <> ''").distinct()

@@ -14,7 +14,8 @@ VIEWS = {
     "b_source": """SELECT s_suppkey AS source_id, s_name AS source_name, s_suppkey % 3 = 0 AS owned, s_suppkey % 10 <> 9 AS enabled,
         s_suppkey * 7 % 50 AS employer_id, CASE WHEN s_suppkey % 4 <> 1 THEN CAST(TIMESTAMP '1998-06-01 00:00:00' AS TIMESTAMP) END AS last_success_at
         FROM supplier""",
-    "b_record": f"""SELECT job_id, source_id, last_seen, last_verified, expired_at, first_seen, title_stem, location_key FROM (
+    "b_record": f"""SELECT job_id, source_id, last_seen, last_verified, expired_at, first_seen, title_stem, location_key,
+        'https://board' || CAST(source_id AS STRING) || '.example.net/' || CAST(job_id AS STRING) AS url FROM (
         SELECT l_orderkey AS job_id, l_suppkey AS source_id, CAST(l_shipdate AS TIMESTAMP) AS last_seen,
             CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS TIMESTAMP) END AS last_verified,
             CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS TIMESTAMP) + INTERVAL 10 DAY END AS expired_at,
@@ -22,7 +23,8 @@ VIEWS = {
             'stem' || CAST(l_linenumber % 2 AS STRING) AS title_stem, 'place' || CAST(l_partkey % 2 AS STRING) AS location_key,
             row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS rn
         FROM lineitem WHERE l_shipdate <= {_TS}) t WHERE rn = 1""",
-    "b_salary": f"""SELECT job_id, source_id, low, high, period, currency FROM (
+    "b_salary": f"""SELECT job_id, source_id, low, high, period, currency,
+        'Pay from ' || CAST(CAST(floor(low) AS BIGINT) AS STRING) || ' to ' || CAST(CAST(floor(high) AS BIGINT) AS STRING) AS evidence FROM (
         SELECT l_orderkey AS job_id, l_suppkey AS source_id, l_extendedprice * (1 - l_discount) AS low, l_extendedprice AS high,
             CASE l_linenumber % 3 WHEN 0 THEN 'YEAR' WHEN 1 THEN 'MONTH' END AS period,
             CASE WHEN l_partkey % 4 = 0 THEN 'USD' ELSE 'CAD' END AS currency,
@@ -40,7 +42,31 @@ VIEWS = {
     "b_report": """SELECT event_id AS report_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, event_id % 200 AS job_id,
         CASE WHEN event_id % 5 = 0 THEN 'DISMISSED' ELSE 'PENDING' END AS status FROM events WHERE event_type = 'error'""",
     "b_event": "SELECT event_type AS name, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events",
-    "b_posting": """SELECT doc_id AS posting_id, lang, text, lower(substring(text, 1, 12)) AS head FROM documents""",
+    "b_firm": f"""SELECT employer_id, 'Firm ' || CAST(employer_id AS STRING) AS employer_name, CASE WHEN employer_id % 5 <> 0 THEN 'acmefirm' || CAST(employer_id AS STRING) || '.com' END AS domain,
+        CASE WHEN employer_id % 3 = 0 THEN 'Board linked from the careers page of firm ' || CAST(employer_id AS STRING) END AS identity_text,
+        CASE WHEN employer_id % 3 = 0 THEN 'https://acmefirm' || CAST(employer_id AS STRING) || '.com/careers' END AS identity_url,
+        CASE WHEN employer_id % 3 = 0 THEN {_TS} - INTERVAL 3 DAY END AS identity_at FROM (SELECT DISTINCT o_custkey % 50 AS employer_id FROM orders) t""",
+    "b_firm_domain": "SELECT employer_id, domain FROM b_firm WHERE domain IS NOT NULL",
+    "b_ad": """SELECT o_orderkey AS job_id, CASE o_orderkey % 8 WHEN 0 THEN 'https://boards.greenhouse.io/x/1' WHEN 1 THEN 'https://www.acmefirm' || CAST(o_custkey % 50 AS STRING) || '.com/jobs'
+        WHEN 2 THEN 'https://acnefirm' || CAST(o_custkey % 50 AS STRING) || '.com/jobs' WHEN 3 THEN 'https://elsewhere-jobs.net/x' WHEN 5 THEN 'https://www.jobbank.gc.ca/j'
+        WHEN 7 THEN 'https://my-acmefirm' || CAST(o_custkey % 50 AS STRING) || '.com' END AS apply_url,
+        CASE o_orderkey % 7 WHEN 0 THEN 'Great team of ' || CAST(o_orderkey % 100 AS STRING) || '. Message us on Telegram to start.' WHEN 1 THEN 'You pay a training fee first. Good hours.'
+        WHEN 2 THEN 'For ' || o_orderpriority || ' work this is an existing vacancy. Apply now.' WHEN 3 THEN 'We never ask you to message us on Telegram. Join our talent pool of ' || CAST(o_orderkey % 100 AS STRING) || '.'
+        WHEN 4 THEN 'Text me at once! Buy a starter kit before day ' || CAST(o_orderkey % 100 AS STRING) || '.' WHEN 5 THEN 'Good team.  E-transfer the deposit today • write to hr' || CAST(o_orderkey % 100 AS STRING) || '@gmail.com'
+        ELSE 'Good team of ' || CAST(o_orderkey % 100 AS STRING) || '.' END AS text FROM orders""",
+    "b_case": """SELECT j.job_id, j.employer_id, j.city, j.province, j.first_seen, j.price, j.identity, j.remote_type, j.priority, j.last_verified, j.last_seen, j.expired_at,
+        f.employer_name, f.identity_text, f.identity_url, f.identity_at, a.apply_url, a.text
+        FROM b_job j JOIN b_firm f ON j.employer_id = f.employer_id JOIN b_ad a ON j.job_id = a.job_id""",
+    "b_override": "SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'VERIFIED' ELSE 'HIGH_RISK' END AS override_status FROM b_order WHERE job_id % 97 = 0",
+    "b_open": "SELECT job_id FROM b_order WHERE job_id % 41 = 1",
+    "b_posting": """SELECT o_orderkey AS posting_id, o_custkey AS employer_id, o_orderkey % 7 AS source_id, 'r' || CAST(o_orderkey AS STRING) AS external_ref,
+        substring(o_orderpriority, 3) AS title_stem, lower(substring(o_orderpriority, 3)) || CASE WHEN o_orderkey % 4 = 0 THEN ' lead' ELSE '' END AS title_normalized,
+        'We hire for work in ' || n_name || ' on shift ' || CAST(o_orderkey % 3 AS STRING) || ' with crew ' || CAST(o_custkey % 9 AS STRING) || ' of the ' || lower(substring(o_orderpriority, 3))
+        || ' team and offer good hours to all ' || CASE WHEN o_orderkey % 5 = 0 THEN 'who join us early in the year' ELSE 'our people' END AS description,
+        CASE WHEN o_orderkey % 6 <> 0 THEN n_name END AS city, r_name AS province, CASE o_orderkey % 2 WHEN 0 THEN 'REMOTE' ELSE 'UNKNOWN' END AS remote_type,
+        CASE WHEN o_orderkey % 3 <> 0 THEN CAST(50000 + o_orderkey % 5 * 10000 AS DOUBLE) END AS lo, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(70000 + o_orderkey % 5 * 10000 AS DOUBLE) END AS hi,
+        CASE WHEN o_orderkey % 8 = 0 THEN 'USD' ELSE 'CAD' END AS currency, CASE WHEN o_orderkey % 10 = 0 THEN 'https://www.board.example/' || CAST(o_custkey AS STRING) || '/' ELSE 'https://board.example/j' || CAST(o_orderkey AS STRING) END AS url
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "b_title": """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Sr. ' || p_name || ' Dev - Toronto' WHEN 1 THEN p_name || ' Mgr (Remote)'
         WHEN 2 THEN 'Jr ' || p_name || ', Platform' WHEN 3 THEN p_name || ' | Full Time' WHEN 4 THEN 'Lead QA ' || p_name ELSE p_name || ' II, Contract' END AS title,
         CASE p_partkey % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Permanent' WHEN 2 THEN 'Part-time' END AS kind FROM part""",

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postledger.functions import normalize, pay, text, urls
 from postledger.operators import accounts, checks, decisions, dedup, evidence, freshness, identity, reports, robots, search, signals, upsert
-from postledger.plans.binding import NOW, view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-_TS = f"TIMESTAMP '{NOW}'"
-
-
-def _now():
-    return F.lit(NOW).cast("timestamp")
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql)
-        return f
-
-    return register
-
-
-def _day(c: str):
-    return F.date_format(c, "yyyy-MM-dd").alias(c)
-
+from postledger.plans.binding import view
+from postledger.plans.registry import TS as _TS
+from postledger.plans.registry import day as _day
+from postledger.plans.registry import now as _now
+from postledger.plans.registry import query as _query
 
 @_query(
     "SELECT job_id, strftime(last_verified, '%Y-%m-%d') AS last_verified, strftime(last_seen, '%Y-%m-%d') AS last_seen, active_sources, all_sources, "
@@ -44,62 +22,6 @@ def freshness_rollup(spark, sf):
     )
 
 
-_SIGNALS = f"""
-owned AS (SELECT DISTINCT job_id FROM b_record JOIN b_source USING (source_id) WHERE expired_at IS NULL AND owned),
-board AS (SELECT employer_id FROM b_source WHERE owned GROUP BY employer_id HAVING max(last_success_at) IS NOT NULL),
-ann AS (SELECT job_id, source_id, currency, low * f AS lo, high * f AS hi FROM (SELECT *, CASE period WHEN 'YEAR' THEN 1.0 WHEN 'MONTH' THEN 12.0 END AS f FROM b_salary) WHERE f IS NOT NULL),
-clash AS (SELECT DISTINCT a.job_id FROM ann a JOIN ann b ON a.job_id = b.job_id AND a.currency = b.currency AND a.source_id < b.source_id
-    AND (a.lo * CAST(0.9 AS DOUBLE) > b.hi * CAST(1.1 AS DOUBLE) OR b.lo * CAST(0.9 AS DOUBLE) > a.hi * CAST(1.1 AS DOUBLE))),
-same AS (SELECT job_id FROM b_record WHERE expired_at IS NULL GROUP BY job_id HAVING count(*) >= 2 AND count(DISTINCT title_stem) = 1 AND count(DISTINCT location_key) = 1),
-rep AS (SELECT job_id FROM b_report WHERE status = 'PENDING' GROUP BY job_id HAVING count(DISTINCT coalesce(CAST(user_id AS VARCHAR), '#' || report_id)) >= 3),
-sig AS (
-SELECT job_id, 'ON_EMPLOYER_ATS' AS code, 50 AS weight FROM owned
-UNION ALL SELECT job_id, 'NOT_FOUND_ON_EMPLOYER_SITE', -60 FROM b_job WHERE job_id NOT IN (SELECT job_id FROM owned) AND employer_id IN (SELECT employer_id FROM board)
-UNION ALL SELECT job_id, 'EMPLOYER_IDENTITY_CONFIRMED', 45 FROM b_job WHERE identity = 'CONFIRMED' AND job_id IN (SELECT job_id FROM owned)
-UNION ALL SELECT job_id, 'RECENTLY_CONFIRMED_LIVE', 40 FROM b_job WHERE last_verified >= {_TS} - INTERVAL 72 HOUR
-UNION ALL SELECT job_id, 'STALE', -55 FROM b_job WHERE expired_at IS NULL AND coalesce(last_verified, first_seen) < {_TS} - INTERVAL 14 DAY
-UNION ALL SELECT DISTINCT job_id, 'SALARY_STATED_BY_EMPLOYER', 30 FROM b_salary JOIN b_source USING (source_id) WHERE owned
-UNION ALL SELECT job_id, 'SALARY_CONFLICT', -70 FROM clash
-UNION ALL SELECT job_id, 'CONSISTENT_ACROSS_SOURCES', 25 FROM same WHERE job_id NOT IN (SELECT job_id FROM clash)
-UNION ALL SELECT job_id, 'USER_REPORTS', -65 FROM rep),
-kept AS (SELECT * FROM sig WHERE job_id IN (SELECT job_id FROM b_job))
-"""
-
-
-def _with_signals(sql: str) -> str:
-    head = with_views("SELECT 1 FROM b_record, b_source, b_salary, b_job, b_report")
-    return head[: head.rindex("SELECT 1")].rstrip() + ", " + _SIGNALS.strip() + " " + sql
-
-
-def _signals(spark, sf):
-    names = ("b_job", "b_record", "b_source", "b_salary", "b_report")
-    jobs, records, sources, salaries, reports = (view(spark, sf, n) for n in names)
-    return jobs, signals.compute(jobs, records, sources, salaries, reports, _now())
-
-
-@_query()
-def signals_long(spark, sf):
-    return _signals(spark, sf)[1]
-
-
-SQL["signals_long"] = _with_signals("SELECT job_id, code, weight FROM kept")
-
-
-@_query()
-def job_status(spark, sf):
-    return signals.status(*_signals(spark, sf))
-
-
-SQL["job_status"] = _with_signals(
-    """, w AS (SELECT job_id, count(*) FILTER (WHERE weight < 0) AS neg, bool_or(code = 'USER_REPORTS') AS u, bool_or(code = 'SALARY_CONFLICT') AS c, bool_or(code = 'STALE') AS s,
-    bool_or(code = 'ON_EMPLOYER_ATS') AS o, bool_or(code = 'EMPLOYER_IDENTITY_CONFIRMED') AS i, bool_or(code = 'RECENTLY_CONFIRMED_LIVE') AS l FROM kept GROUP BY job_id),
-    d AS (SELECT j.job_id, CASE WHEN expired_at IS NOT NULL THEN 'R1' WHEN u OR c THEN 'R3' WHEN s THEN 'R4' WHEN coalesce(neg, 0) = 0 AND o AND i AND l THEN 'R5'
-    WHEN coalesce(neg, 0) = 0 AND (o OR i) THEN 'R6' ELSE 'R7' END AS rule FROM b_job j LEFT JOIN w ON j.job_id = w.job_id)
-    SELECT job_id, rule, CASE rule WHEN 'R1' THEN 'EXPIRED' WHEN 'R3' THEN 'REVIEW_REQUIRED' WHEN 'R4' THEN 'STALE' WHEN 'R5' THEN 'VERIFIED'
-    WHEN 'R6' THEN 'PARTIALLY_VERIFIED' ELSE 'UNVERIFIED' END AS status FROM d"""
-).replace(") , w AS", "), w AS").replace(")\n, w AS", "), w AS")
-
-
 @_query(
     f"""SELECT job_id, source_id FROM b_record r WHERE expired_at IS NULL AND source_id IN (SELECT source_id FROM b_source WHERE enabled)
     AND (last_verified IS NULL OR CASE WHEN first_seen > {_TS} - INTERVAL 7 DAY THEN last_verified + INTERVAL 12 HOUR ELSE last_verified + INTERVAL 24 HOUR END <= {_TS})
@@ -120,14 +42,15 @@ def missing_from_board(spark, sf):
 
 @_query(
     f"""SELECT job_id, source_id, strftime(CASE job_id % 4 WHEN 0 THEN {_TS} ELSE last_verified END, '%Y-%m-%d') AS last_verified,
-    strftime(CASE job_id % 4 WHEN 0 THEN NULL WHEN 1 THEN coalesce(expired_at, {_TS}) ELSE expired_at END, '%Y-%m-%d') AS expired_at, job_id % 4 < 2 AS touched FROM b_record"""
+    strftime(CASE job_id % 4 WHEN 0 THEN {_TS} ELSE last_seen END, '%Y-%m-%d') AS last_seen,
+    strftime(CASE job_id % 4 WHEN 0 THEN NULL WHEN 1 THEN {_TS} ELSE expired_at END, '%Y-%m-%d') AS expired_at, job_id % 4 < 2 AS touched FROM b_record"""
 )
 def liveness_apply(spark, sf):
     records = view(spark, sf, "b_record")
     kind = F.when(F.col("job_id") % 4 == 0, "LIVE").when(F.col("job_id") % 4 == 1, "GONE").otherwise("UNKNOWN")
     observed = records.where("job_id % 4 < 3").select("job_id", "source_id", kind.alias("observation"))
     out = freshness.apply_liveness(records, observed, _now())
-    return out.select("job_id", "source_id", _day("last_verified"), _day("expired_at"), "touched")
+    return out.select("job_id", "source_id", _day("last_verified"), _day("last_seen"), _day("expired_at"), "touched")
 
 
 @_query(
@@ -138,11 +61,11 @@ def best_salary(spark, sf):
 
 
 @_query(
-    """SELECT job_id, city FROM b_job WHERE expired_at IS NULL AND contains(lower(city), 'an') AND remote_type = 'REMOTE'
+    """SELECT job_id, city FROM b_job WHERE expired_at IS NULL AND contains(lower(city), 'ion_1') AND remote_type = 'REMOTE'
     AND job_id IN (SELECT job_id FROM b_salary WHERE coalesce(high, low) * CASE period WHEN 'MONTH' THEN 12.0 ELSE 1.0 END >= 60000)"""
 )
 def salary_filter_semi(spark, sf):
-    return search.find(view(spark, sf, "b_job"), salaries=view(spark, sf, "b_salary"), city="an", remote="REMOTE", least_pay=60000.0).select("job_id", "city")
+    return search.find(view(spark, sf, "b_job"), salaries=view(spark, sf, "b_salary"), city="ION_1", remote="REMOTE", least_pay=60000.0).select("job_id", "city")
 
 
 @_query("SELECT job_id, province FROM b_job WHERE expired_at IS NULL AND job_id IN (SELECT job_id FROM b_record JOIN b_source USING (source_id) WHERE owned)")
@@ -233,16 +156,18 @@ def landing_dedup(spark, sf):
 
 
 @_query(
-    """SELECT coalesce(c.job_id, s.job_id) AS job_id, CASE WHEN s.job_id IS NOT NULL AND (s.owned_source OR NOT coalesce(c.owned, false)) THEN s.priority ELSE c.priority END AS priority,
-    CASE WHEN c.job_id IS NULL THEN 'NEW' WHEN s.job_id IS NOT NULL AND (s.owned_source OR NOT coalesce(c.owned, false)) THEN 'OVERWRITTEN' WHEN s.job_id IS NOT NULL THEN 'SEEN' ELSE 'KEPT' END AS change
-    FROM (SELECT *, job_id % 2 = 0 AS owned FROM b_job WHERE job_id % 5 <> 0) c
-    FULL JOIN (SELECT job_id, 'staged ' || priority AS priority, job_id % 3 = 0 AS owned_source FROM b_job WHERE job_id % 4 <> 1) s ON c.job_id = s.job_id"""
+    """SELECT coalesce(c.job_id, s.job_id) AS job_id, CASE WHEN w THEN s.priority ELSE c.priority END AS priority,
+    CASE WHEN c.job_id IS NULL THEN 'NEW' WHEN w THEN 'OVERWRITTEN' WHEN s.job_id IS NOT NULL THEN 'SEEN' ELSE 'KEPT' END AS change, strftime(CASE WHEN w THEN NULL ELSE c.expired_at END, '%Y-%m-%d') AS expired_at
+    FROM (SELECT *, s_id IS NOT NULL AND (c_id IS NULL OR owned_source OR (known AND c_id NOT IN (SELECT job_id FROM b_record JOIN b_source USING (source_id) WHERE owned AND expired_at IS NULL))) AS w
+    FROM (SELECT job_id AS c_id FROM b_job WHERE job_id % 5 <> 0) FULL JOIN (SELECT job_id AS s_id, job_id % 3 = 0 AS owned_source, job_id % 7 < 4 AS known FROM b_job WHERE job_id % 4 <> 1) ON c_id = s_id)
+    LEFT JOIN (SELECT job_id, priority, expired_at FROM b_job) c ON c.job_id = c_id LEFT JOIN (SELECT job_id, 'staged ' || priority AS priority FROM b_job) s ON s.job_id = s_id"""
 )
 def canonical_precedence(spark, sf):
     jobs = view(spark, sf, "b_job").select("job_id", "priority", "last_seen", "expired_at")
-    current = jobs.where("job_id % 5 <> 0").withColumn("owned", F.col("job_id") % 2 == 0)
-    staged = jobs.where("job_id % 4 <> 1").withColumns({"priority": F.concat(F.lit("staged "), "priority"), "owned_source": F.col("job_id") % 3 == 0})
-    return upsert.merge_jobs(current, staged, ["priority"]).select("job_id", "priority", "change")
+    kind = F.when(F.col("job_id") % 7 < 4, "SAME_SOURCE_RECORD").otherwise("MERGE")
+    staged = jobs.where("job_id % 4 <> 1").withColumns({"priority": F.concat(F.lit("staged "), "priority"), "owned_source": F.col("job_id") % 3 == 0, "decision": kind})
+    backed = upsert.owned_jobs(view(spark, sf, "b_record"), view(spark, sf, "b_source"))
+    return upsert.merge_jobs(jobs.where("job_id % 5 <> 0"), staged, backed, ["priority"]).select("job_id", "priority", "change", _day("expired_at"))
 
 
 @_query(
@@ -276,14 +201,6 @@ def employment_type(spark, sf):
     return view(spark, sf, "b_title").select("id", normalize.employment_type(F.col("kind"), F.col("title")).alias("employment"))
 
 
-@_query()
-def dedup_decisions(spark, sf):
-    p = view(spark, sf, "b_posting")
-    words = p.select("posting_id", dedup.block_key(F.col("lang"), F.col("head"), F.lit(None).cast("string"), F.lit("x")).alias("block"), text.shingles(F.col("text")).alias("shingles"))
-    scored = dedup.candidates(words).select("posting_id", "candidate_id", (F.floor(F.col("similarity") * 10_000 + 0.5) / 10_000).alias("score"))
-    return dedup.decide(scored, p)
-
-
 @_query("SELECT user_id, event_id % 50 AS job_id, count(*) % 2 = 1 AS saved FROM events WHERE event_type = 'click' GROUP BY 1, 2")
 def saved_state(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'")
@@ -326,10 +243,10 @@ def employer_create(spark, sf):
 @_query(
     """SELECT posting_id, CASE WHEN score >= 0.6 THEN candidate_id END AS candidate_id, score,
     CASE WHEN score < 0.6 THEN 'NEW' WHEN score >= 0.85 AND why = '' THEN 'MERGE' ELSE 'REVIEW' END AS decision,
-    CASE WHEN score < 0.6 OR (score >= 0.85 AND why = '') THEN NULL WHEN why = '' THEN 'similarity between thresholds' ELSE why END AS reason
-    FROM (SELECT *, concat_ws('; ', CASE WHEN same_source THEN 'same source already lists a similar posting (could be a separate opening)' END,
-    CASE WHEN NOT employer_owned AND posting_id % 4 > 1 THEN 'apply link (' || coalesce(apply_host, 'none') || ') doesn''t match the employer or the existing listing' END,
-    CASE WHEN NOT employer_owned AND posting_id % 6 = 0 THEN 'posting text contains job-scam patterns' END) AS why FROM b_scored)"""
+    CASE WHEN score < 0.6 OR (score >= 0.85 AND why = '') THEN NULL WHEN why = '' THEN 'alike, but not enough to merge' ELSE why END AS reason
+    FROM (SELECT *, concat_ws('; ', CASE WHEN same_source THEN 'this source lists a posting like it, perhaps another opening' END,
+    CASE WHEN NOT employer_owned AND posting_id % 4 > 1 THEN 'link host ' || coalesce(apply_host, 'none') || ' is not known for the employer or the other posting' END,
+    CASE WHEN NOT employer_owned AND posting_id % 6 = 0 THEN 'text asks for payment or contact elsewhere' END) AS why FROM b_scored)"""
 )
 def dedup_guards(spark, sf):
     return dedup.guard(view(spark, sf, "b_scored").withColumn("trusted_hosts", F.array(F.lit("acmecorp.com"))))
@@ -407,17 +324,6 @@ def check_match(spark, sf):
     return checks.match(asked, listings)
 
 
-@_query(
-    """SELECT * FROM (SELECT job_id, CASE WHEN job_id % 6 = 2 THEN 'LOOKALIKE_DOMAIN' WHEN job_id % 6 IN (0, 5) OR (job_id % 6 = 1 AND d) THEN 'APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS'
-    WHEN job_id % 6 = 3 AND d THEN 'APPLY_URL_MISMATCH' END AS code,
-    CASE WHEN job_id % 6 = 2 THEN -90 WHEN job_id % 6 = 3 THEN -85 ELSE 35 END AS weight FROM (SELECT job_id, employer_id IN (SELECT employer_id FROM b_domain) AS d FROM b_text)) WHERE code IS NOT NULL
-    UNION ALL SELECT job_id, CASE job_id % 5 WHEN 0 THEN 'OFF_PLATFORM_CONTACT' WHEN 1 THEN 'UPFRONT_PAYMENT_REQUEST' ELSE 'VACANCY_STATUS_DISCLOSED' END,
-    CASE job_id % 5 WHEN 0 THEN -95 WHEN 1 THEN -100 WHEN 2 THEN 20 ELSE 0 END FROM b_text WHERE job_id % 5 < 4"""
-)
-def apply_text_signals(spark, sf):
-    return signals.text_signals(view(spark, sf, "b_text"), view(spark, sf, "b_domain"))
-
-
 @_query(
     """SELECT job_id AS posting_id, CASE job_id % 5 WHEN 2 THEN 'This is an existing vacancy.' WHEN 3 THEN 'Join our talent pool.' WHEN 4 THEN 'Good team.' END AS vacancy_statement,
     job_id % 5 = 4 AS derived, CASE WHEN job_id % 5 = 4 THEN 'm1' END AS model FROM b_text"""
@@ -450,7 +356,7 @@ def robots_allowed(spark, sf):
 )
 def job_cards(spark, sf):
     best = search.best_salary(view(spark, sf, "b_salary")).withColumns({"low": F.floor("low"), "high": F.floor("high")})
-    said = signals.text_signals(view(spark, sf, "b_text"), view(spark, sf, "b_domain"))
+    said = signals.text_signals(view(spark, sf, "b_text").withColumn("employer_name", F.lit("Acme")), view(spark, sf, "b_domain"), _now())
     return reports.cards(view(spark, sf, "b_rollup"), best, said, _now()).drop("n_positive", "n_negative")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from postledger.plans import queries
+from postledger.plans import catalog as queries
 
 SF = "/root/testdata/sf0.001"
 
