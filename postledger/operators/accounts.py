@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postledger.operators import search
+
 
 def purge_expired(checks: DataFrame, reports: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Checks that are not expired, and reports whose check stays."""
@@ -39,11 +41,113 @@ def daily_events(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day"), "name").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-def alerts(searches: DataFrame, jobs: DataFrame) -> DataFrame:
-    """New jobs for each valid saved search: place equal, other filters where given, first seen since the last notice."""
-    fresh = F.col("first_seen") >= F.coalesce("last_notified_at", "created_at")
-    pay_ok = F.col("least_price").isNull() | (F.col("price") >= F.col("least_price"))
-    return searches.where("valid").join(jobs.where("expired_at IS NULL"), "city").where(fresh & pay_ok).select("search_id", "job_id")
+def alerts(searches: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """search_id, job_id: the new jobs of each valid saved search; a filter that is not set holds for every job.
+
+    searches: search_id, valid, last_notified_at, created_at and the columns
+    of search.parse_filters; jobs: job_id, first_seen, last_verified,
+    expired_at, employer_name, city, province, remote_type, employment_type,
+    status, source_types (array) and salary_top (annual). A search meets jobs
+    by its most selective filter: the cities that contain its own, else
+    province, else arrangement, else the days since its last notice, so that
+    only new jobs meet it.
+    """
+    since = F.coalesce("last_notified_at", "created_at")
+    open_ = searches.where("valid").withColumn("since", since)
+    first = open_.agg(F.min("since").alias("first"))  # one row
+    fresh = jobs.where("expired_at IS NULL").join(F.broadcast(first), F.col("first_seen") >= F.col("first"), "left_semi")
+    places = search.matching_cities(open_.select(F.col("city").alias("needle")), fresh)
+    key = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    by_city = open_.where("city IS NOT NULL").join(places.select(F.col("needle").alias("city"), F.col("city").alias("place")), "city").withColumn("key", key("c", F.col("place"))).drop("place")
+    rest = open_.where("city IS NULL")
+    exact = rest.where("province IS NOT NULL OR remote_type IS NOT NULL").withColumn("key", F.coalesce(key("p", F.col("province")), key("r", F.col("remote_type"))))
+    days = F.sequence(F.to_date("since"), F.greatest(F.to_date(now), F.to_date("since")))
+    by_day = rest.where("province IS NULL AND remote_type IS NULL").withColumn("key", F.explode(F.transform(days, lambda d: key("d", d))))
+    s = by_city.unionByName(exact).unionByName(by_day).alias("s")
+    keyed = fresh.withColumn(
+        "key", F.explode(F.array_compact(F.array(key("c", F.col("city")), key("p", F.col("province")), key("r", F.col("remote_type")), key("d", F.least(F.to_date("first_seen"), F.to_date(now))))))
+    )
+    j = keyed.alias("j")
+    within = lambda at, n: F.col(n).isNull() | (F.col(at) >= now - F.make_dt_interval(F.col(n)))
+    equal = lambda n: F.col(f"s.{n}").isNull() | (F.col(f"s.{n}") == F.col(f"j.{n}"))
+    holds = (
+        (F.col("j.first_seen") >= F.col("s.since"))
+        & equal("province") & equal("remote_type") & equal("employment_type") & equal("status")
+        & (F.col("s.employer").isNull() | F.contains(F.lower("j.employer_name"), F.lower("s.employer")))
+        & within("j.first_seen", "s.posted_within_days") & within("j.last_verified", "s.confirmed_within_days")
+        & (F.col("s.source_type").isNull() | F.array_contains("j.source_types", F.col("s.source_type")))
+        & (F.col("s.salary_min").isNull() | (F.col("j.salary_top") >= F.col("s.salary_min")))
+    )
+    return s.join(j, F.col("s.key") == F.col("j.key")).where(holds).select("s.search_id", "j.job_id")
+
+
+def notifications(searches: DataFrame, found: DataFrame, jobs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """A notice for each new match, and the searches with their last notice moved on where they were valid.
+
+    searches: search_id, user_id, name and those of alerts; jobs: job_id, title, employer_name, city.
+    """
+    named = found.join(searches.select("search_id", "user_id", "name"), "search_id").join(jobs.select("job_id", "title", "employer_name", "city"), "job_id")
+    made = named.select(
+        "user_id", "search_id", "job_id",
+        F.concat(F.lit("New match for “"), "name", F.lit("”")).alias("title"),
+        F.concat("title", F.lit(" at "), "employer_name", F.coalesce(F.concat(F.lit(" · "), "city"), F.lit(""))).alias("body"),
+        F.concat(F.lit("/jobs/"), F.col("job_id").cast("string")).alias("link"),
+    )
+    return made, searches.withColumn("last_notified_at", F.when(F.col("valid"), now).otherwise(F.col("last_notified_at")))
+
+
+def health(jobs: DataFrame, records: DataFrame, salaries: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """One row of pipeline health: jobs, share confirmed in 72 hours, share of records merged into another's job, share with stated pay, share of fetched postings in error."""
+    recent = F.col("last_verified") >= now - F.expr("INTERVAL 72 HOURS")
+    paid = jobs.join(salaries.select("job_id").distinct().withColumn("paid", F.lit(1)), "job_id", "left")
+    j = paid.agg(F.count("*").alias("jobs"), F.avg(F.coalesce(recent, F.lit(False)).cast("int")).alias("confirmed_rate"), F.avg(F.coalesce("paid", F.lit(0))).alias("pay_rate"))
+    r = records.groupBy("job_id").agg(F.count("*").alias("n")).agg((F.sum(F.col("n") - 1) / F.sum("n")).alias("dedup_rate"))
+    e = outcomes.agg(F.avg((F.col("outcome") == "ERRORED").cast("int")).alias("error_rate"))
+    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  each side is one row
+    return one(j).join(one(r), "k").join(one(e), "k").drop("k")
+
+
+def merged_jobs(records: DataFrame) -> DataFrame:
+    """Jobs with more than one source record, and how many."""
+    return records.groupBy("job_id").agg(F.count("*").alias("records")).where("records > 1")
+
+
+def dead_letters(errors: DataFrame) -> DataFrame:
+    """Open dead letters by source."""
+    return errors.groupBy("source_id").agg(F.count_if(F.col("dead_lettered_at").isNotNull() & F.col("resolved_at").isNull()).alias("open"))
+
+
+def unread(notices: DataFrame) -> DataFrame:
+    """Unread notices by user."""
+    return notices.groupBy("user_id").agg(F.count_if(F.col("read_at").isNull()).alias("unread"))
+
+
+def saved_page(saved: DataFrame, jobs: DataFrame, salaries: DataFrame, rollup: DataFrame) -> DataFrame:
+    """Saved jobs of every user with employer, best pay and active sources."""
+    best = search.best_salary(salaries).select("job_id", "low", "high")
+    return (
+        saved.where("saved").select("user_id", "job_id").join(jobs.select("job_id", "employer_name", "city"), "job_id")
+        .join(best, "job_id", "left").join(rollup.select("job_id", "active_sources"), "job_id", "left")
+    )
+
+
+def saved_flag(found: DataFrame, saved: DataFrame) -> DataFrame:
+    """Result rows (user_id, job_id) with whether that user has saved them."""
+    mine = saved.where("saved").select("user_id", "job_id", F.lit(True).alias("mine"))
+    return found.join(mine, ["user_id", "job_id"], "left").withColumn("saved", F.col("mine").isNotNull()).drop("mine")
+
+
+def recent(rows: DataFrame, at: str, n: int, *ties: str) -> DataFrame:
+    """The latest rows."""
+    return rows.orderBy(F.desc_nulls_last(at), *ties).limit(n)
+
+
+def touched(*parts: DataFrame) -> DataFrame:
+    """Jobs that any part names, each once."""
+    out = parts[0].select("job_id")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("job_id"))
+    return out.distinct()
 
 
 def review_queue(members: DataFrame) -> DataFrame:

@@ -1,13 +1,27 @@
-"""Filtered and ranked search over jobs."""
+"""Filtered and ranked search over jobs, stored filter sets, and the text index."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postledger.functions import pay
+from postledger.functions import pay, text
 
 PAGE = 20
+# Allowed values of a filter set.
+REMOTE = ("ONSITE", "HYBRID", "REMOTE")
+EMPLOYMENT = ("FULL_TIME", "PART_TIME", "CONTRACT", "TEMPORARY", "INTERNSHIP", "SEASONAL")
+STATUS = ("VERIFIED", "PARTIALLY_VERIFIED", "UNVERIFIED", "STALE", "REVIEW_REQUIRED", "HIGH_RISK")
+SOURCE_TYPES = ("ATS_PUBLIC_BOARD", "EMPLOYER_CAREER_PAGE", "GOVERNMENT_OPEN_DATA", "LICENSED_FEED", "EMPLOYER_SUBMITTED", "DEMO")
+SORTS = ("relevance", "newest", "confirmed", "salary")
+# Names of the filters as stored, in their order, by column.
+FILTERS = {
+    "q": "q", "employer": "employer", "city": "city", "province": "province", "remote_type": "remoteType", "employment_type": "employmentType",
+    "salary_min": "salaryMin", "status": "status", "source_type": "sourceType", "posted_within_days": "postedWithinDays",
+    "confirmed_within_days": "confirmedWithinDays", "sort": "sort",
+}
 
 
 def best_salary(salaries: DataFrame) -> DataFrame:
@@ -26,23 +40,28 @@ def find(
     records: DataFrame | None = None,
     sources: DataFrame | None = None,
     salaries: DataFrame | None = None,
+    employer: str | None = None,
     city: str | None = None,
     province: str | None = None,
     remote: str | None = None,
+    employment: str | None = None,
     status: str | None = None,
     posted_after: Column | None = None,
+    confirmed_after: Column | None = None,
     owned: bool | None = None,
     least_pay: float | None = None,
 ) -> DataFrame:
     """Jobs that are not expired and meet every given filter."""
     out = jobs.where("expired_at IS NULL")
-    if city:
-        out = out.where(_like("city", city))
-    for name, value in (("province", province), ("remote_type", remote), ("status", status)):
+    for name, value in (("employer_name", employer), ("city", city)):
+        if value:
+            out = out.where(_like(name, value))
+    for name, value in (("province", province), ("remote_type", remote), ("employment_type", employment), ("status", status)):
         if value:
             out = out.where(F.col(name) == value)
-    if posted_after is not None:
-        out = out.where(F.col("first_seen") >= posted_after)
+    for name, since in (("first_seen", posted_after), ("last_verified", confirmed_after)):
+        if since is not None:
+            out = out.where(F.col(name) >= since)
     if owned is not None:
         out = out.join(records.join(sources.where(F.col("owned") == owned), "source_id", "left_semi"), "job_id", "left_semi")
     if least_pay is not None:
@@ -51,23 +70,140 @@ def find(
     return out
 
 
-def page(found: DataFrame, *order: Column, number: int = 1, size: int = PAGE) -> DataFrame:
-    return found.orderBy(*order, "job_id").offset((number - 1) * size).limit(size)
+def with_salary_key(jobs: DataFrame, salaries: DataFrame) -> DataFrame:
+    """Jobs with salary_key, the upper bound (else the lower) of their best pay as written."""
+    return jobs.join(best_salary(salaries).select("job_id", F.coalesce("high", "low").alias("salary_key")), "job_id", "left")
 
 
-def index_terms(docs: DataFrame, fields: dict[str, str], words) -> DataFrame:
-    """Inverted index: term, class of the field, how often, by job. fields: column by class A to D."""
-    parts = [F.transform(words(F.col(c)), lambda w, k=k: F.struct(F.lit(k).alias("class"), w.alias("term"))) for k, c in fields.items()]
-    return docs.select("job_id", F.explode(F.concat(*parts)).alias("t")).groupBy("t.term", "job_id", "t.class").agg(F.count("*").alias("tf"))
+def order(sort: str) -> list[Column]:
+    """Columns of a sort order; rows need salary_key for salary and score for relevance."""
+    by = {"newest": "first_seen", "confirmed": "last_verified", "salary": "salary_key", "relevance": "score"}[sort]
+    return [F.desc_nulls_last(by), *([F.desc_nulls_last("last_verified")] if sort == "relevance" else [])]
+
+
+def page(found: DataFrame, *order: Column, number: int = 1, size: int = PAGE) -> DataFrame:
+    return found.orderBy(*order, "job_id").offset((number - 1) * size).limit(size)
 
 
-def rank(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Jobs that hold every term, by the sum of class weight times tf / (tf + 1)."""
-    weight = F.when(F.col("class") == "A", 1.0).when(F.col("class") == "B", 0.4).when(F.col("class") == "C", 0.2).otherwise(0.1)
+def parse_filters(rows: DataFrame, column: str = "filters") -> DataFrame:
+    """Rows with one typed column a filter, null where it is not set, and valid: whether the JSON text is a filter set.
+
+    An invalid set has null filters; search falls back to defaults, alerts skip it.
+    """
+    get = lambda n: F.trim(F.try_element_at(F.col("m"), F.lit(FILTERS[n])))
+    up_to = lambda n, most: F.when(get(n).rlike(r"^\d{1,9}$") & get(n).try_cast("int").between(1, most), get(n).try_cast("int"))
+    typed = {n: F.when(F.length(get(n)) <= most, get(n)) for n, most in (("q", 200), ("employer", 200), ("city", 120))}
+    typed["province"] = F.when(F.length(get("province")) == 2, get("province"))
+    chosen = (("remote_type", REMOTE), ("employment_type", EMPLOYMENT), ("status", STATUS), ("source_type", SOURCE_TYPES), ("sort", SORTS))
+    typed |= {n: F.when(get(n).isin(*values), get(n)) for n, values in chosen}
+    typed |= {"salary_min": up_to("salary_min", 999_999_999), "posted_within_days": up_to("posted_within_days", 365), "confirmed_within_days": up_to("confirmed_within_days", 365)}
+    bad = F.lit(False)
+    for n in FILTERS:
+        bad = bad | (get(n).isNotNull() & typed[n].isNull())
+    valid = F.coalesce(F.col("m").isNotNull() & ~bad, F.lit(False))
+    out = rows.withColumn("m", F.from_json(column, "map<string,string>")).withColumn("valid", valid)
+    return out.withColumns({n: F.when(F.col("valid"), F.nullif(typed[n], F.lit("")) if n in ("q", "employer", "city") else typed[n]) for n in FILTERS}).drop("m")
+
+
+def canonical_query() -> Column:
+    """The set filters as ?name=value&..., in one order, the default order left out: equal sets give equal text."""
+    parts = [
+        F.when(F.col(n).isNotNull() & ~((F.lit(n) == "sort") & (F.col(n).cast("string") == "relevance")), F.concat(F.lit(f"{name}="), F.url_encode(F.col(n).cast("string"))))
+        for n, name in FILTERS.items()
+    ]
+    joined = F.concat_ws("&", *parts)
+    return F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")
+
+
+def _grams(c: Column) -> Column:
+    """Runs of three characters of a lower-case text; a shorter text is one."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+
+
+def matching_cities(needles: DataFrame, cities: DataFrame) -> DataFrame:
+    """needle, city where the city contains the needle, in any case. They meet by the needle's first three characters.
+
+    needles: needle; cities: city. Needles of one or two characters meet by runs of that length.
+    """
+    low = lambda c: F.lower(F.col(c))
+    n = needles.where("needle IS NOT NULL").select("needle").distinct().withColumn("key", F.substring(low("needle"), 1, 3))
+    short = lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.length("city") - m + 1, F.lit(1))), lambda i: F.substring(low("city"), i, F.lit(m)))
+    c = cities.where("city IS NOT NULL").select("city").distinct().withColumn("key", F.explode(F.array_distinct(F.concat(_grams(low("city")), short(1), short(2)))))
+    return n.join(c, "key").where(F.contains(low("city"), low("needle"))).select("needle", "city").distinct()
+
+
+# --- text index ---------------------------------------------------------------
+
+CLASS_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+DESCRIPTION_CHARACTERS = 20_000
+
+
+def terms(docs: DataFrame, fields: dict[str, Column], words=text.tokens) -> DataFrame:
+    """Every word of a job's fields: term, class, pos, job_id. fields: text by class A to D."""
+
+    def placed(k: str, c: Column) -> Column:
+        found = F.transform(words(c), lambda w, i: F.struct(F.lit(k).alias("class"), w.alias("term"), i.alias("pos")))
+        return F.coalesce(found, F.array().cast("array<struct<class:string,term:string,pos:int>>"))
+
+    parts = [placed(k, c) for k, c in fields.items()]
+    return docs.select("job_id", F.explode(F.concat(*parts)).alias("t")).select("t.term", "job_id", "t.class", "t.pos")
+
+
+def index_terms(found: DataFrame) -> DataFrame:
+    """Inverted index: term, class of the field, how often, by job."""
+    return found.groupBy("term", "job_id", "class").agg(F.count("*").alias("tf"))
+
+
+def query_groups(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
+    """Wanted groups (each a list of alternatives, each a list of words that follow each other) and unwanted ones, of a web-style query."""
+    wanted: list[list[list[str]]] = []
+    unwanted: list[list[str]] = []
+    either = False
+    for sign, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
+        words = re.findall(r"[a-z0-9$]+", quoted or plain)
+        if plain == "or" and not sign:
+            either = bool(wanted)
+        elif words and sign:
+            unwanted.append(words)
+        elif words and either:
+            wanted[-1].append(words)
+            either = False
+        elif words:
+            wanted.append([words])
+    return wanted, unwanted
+
+
+def match(found: DataFrame, query: str) -> DataFrame:
+    """job_id of the jobs that a web-style query matches: words by AND, `or`, "phrases" and -words.
+
+    Only the rows of the query's own words are read; words that follow each
+    other agree in where they begin. One aggregate a job decides.
+    """
+    wanted, unwanted = query_groups(query)
+    runs = [run for group in wanted for run in group] + unwanted
+    tagged = [F.when(F.col("term") == w, F.struct(F.lit(r).alias("run"), (F.col("pos") - i).alias("at"), F.lit(i).alias("i"))) for r, run in enumerate(runs) for i, w in enumerate(run)]
+    rows = found.where(F.col("term").isin(*{w for run in runs for w in run})).select("job_id", "class", F.explode(F.array_compact(F.array(*tagged))).alias("t")).select("job_id", "class", "t.*")
+    need = F.element_at(F.array(*(F.lit(len(run)) for run in runs)), F.col("run") + 1)
+    whole = rows.groupBy("job_id", "run", "class", "at").agg(F.count_distinct("i").alias("n")).where(F.col("n") == need)
+    has = whole.groupBy("job_id").agg(F.collect_set("run").alias("runs"))
+    out, at = F.lit(True), 0
+    for group in wanted:
+        out = out & F.arrays_overlap("runs", F.array(*(F.lit(at + k) for k in range(len(group)))))
+        at += len(group)
+    for k in range(len(unwanted)):
+        out = out & ~F.array_contains("runs", at + k)
+    return has.where(out).select("job_id")
+
+
+def rank(index: DataFrame, words: list[str]) -> DataFrame:
+    """Jobs that hold every word, by the sum of class weight times tf / (tf + 1)."""
+    weight = F.lit(0.0)
+    for k, v in CLASS_WEIGHT.items():
+        weight = F.when(F.col("class") == k, v).otherwise(weight)
     return (
-        index.where(F.col("term").isin(*terms))
+        index.where(F.col("term").isin(*words))
         .groupBy("job_id")
         .agg(F.count_distinct("term").alias("hits"), F.sum(weight * F.col("tf") / (F.col("tf") + 1)).alias("score"))
-        .where(F.col("hits") == len(set(terms)))
+        .where(F.col("hits") == len(set(words)))
         .select("job_id", "score")
     )

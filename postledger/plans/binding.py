@@ -70,9 +70,13 @@ VIEWS = {
     "b_title": """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Sr. ' || p_name || ' Dev - Toronto' WHEN 1 THEN p_name || ' Mgr (Remote)'
         WHEN 2 THEN 'Jr ' || p_name || ', Platform' WHEN 3 THEN p_name || ' | Full Time' WHEN 4 THEN 'Lead QA ' || p_name ELSE p_name || ' II, Contract' END AS title,
         CASE p_partkey % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Permanent' WHEN 2 THEN 'Part-time' END AS kind FROM part""",
-    "b_search": """SELECT c_custkey AS search_id, n_name AS city, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 20 END AS least_price, c_custkey % 11 <> 0 AS valid,
+    "b_search": """SELECT c_custkey AS search_id, c_custkey % 40 AS user_id, 'Search ' || CAST(c_custkey AS STRING) AS name,
+        CASE c_custkey % 4 WHEN 0 THEN 'ion_' || CAST(c_nationkey AS STRING) WHEN 1 THEN n_name WHEN 2 THEN upper(n_name) END AS f_city,
+        CASE WHEN c_custkey % 5 < 2 THEN substring(r_name, 1, 2) END AS f_province, CASE WHEN c_custkey % 3 = 0 THEN 'REMOTE' WHEN c_custkey % 11 = 1 THEN 'MARS' END AS f_remote,
+        CASE WHEN c_custkey % 6 = 0 THEN 'Firm ' || CAST(c_custkey % 5 AS STRING) END AS f_employer, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 60 AS STRING) END AS f_posted,
+        CASE WHEN c_custkey % 9 = 0 THEN CAST(100000 + c_custkey AS STRING) END AS f_salary,
         CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1998-06-20 00:00:00' END AS last_notified_at, TIMESTAMP '1998-06-10 00:00:00' AS created_at
-        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "b_employer": f"""SELECT c_custkey AS employer_id, c_name || ' Inc.' AS name, CASE c_custkey % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'PROBABLE' ELSE 'CONFIRMED' END AS identity,
         CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 < 4 THEN {_TS} - INTERVAL 6 HOUR ELSE {_TS} - INTERVAL 2 DAY END AS identity_checked_at,
         CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN {_TS} - INTERVAL 40 DAY ELSE {_TS} - INTERVAL 10 DAY END AS proof_at FROM customer""",

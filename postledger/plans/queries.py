@@ -124,14 +124,6 @@ def event_daily(spark, sf):
     return accounts.daily_events(view(spark, sf, "b_event")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@_query(
-    """SELECT search_id, job_id FROM b_search s JOIN b_job j USING (city) WHERE valid AND expired_at IS NULL
-    AND j.first_seen >= coalesce(last_notified_at, created_at) AND (least_price IS NULL OR price >= least_price)"""
-)
-def alerts_match(spark, sf):
-    return accounts.alerts(view(spark, sf, "b_search"), view(spark, sf, "b_job"))
-
-
 @_query(
     """SELECT source_id, count(*) AS fetched, count(*) FILTER (WHERE job_id % 10 > 1) AS upserted, count(*) FILTER (WHERE job_id % 10 = 1) AS skipped,
     count(*) FILTER (WHERE job_id % 10 = 0) AS errored, CASE WHEN count(*) FILTER (WHERE job_id % 10 = 0) = 0 THEN 'SUCCEEDED'
