@@ -17,6 +17,9 @@ TWO_LABELS = (
     "gc.ca", "on.ca", "qc.ca", "bc.ca", "ab.ca", "mb.ca", "sk.ca", "ns.ca", "nb.ca", "nl.ca", "pe.ca",
 )
 
+# Sites whose terms forbid automated reading.
+DISALLOWED = ("linkedin.com", "indeed.com", "ca.indeed.com", "glassdoor.com", "glassdoor.ca", "ziprecruiter.com", "monster.com", "monster.ca", "facebook.com")
+
 
 def hostname(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
@@ -61,3 +64,7 @@ def comparable_url(url: Column) -> Column:
     """Host without www and path without a last slash, lower case; the text itself where it is no URL."""
     path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
     return F.coalesce(F.lower(F.concat(hostname(url), path)), F.lower(url))
+
+
+def is_disallowed(host: Column) -> Column:
+    return registrable(host).isin(*DISALLOWED)

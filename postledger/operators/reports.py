@@ -64,3 +64,22 @@ def export(sections: dict[str, DataFrame]) -> DataFrame:
         return df.where("user_id IS NOT NULL").select("user_id", F.lit(name).alias("section"), F.to_json(F.struct(*kept)).alias("item"))
 
     return reduce(DataFrame.unionByName, (one(n, df) for n, df in sections.items()))
+
+
+def job_report(jobs: DataFrame, signals: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, status: DataFrame) -> DataFrame:
+    """One row a job with its status and sorted arrays of signals, sources and pay.
+
+    A job has at most fifteen signals and as many records and pay rows as
+    sources list it, so the arrays are bounded by the number of sources.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("rank"), "code", "evidence_text")))
+    s = signals.groupBy("job_id").agg(F.transform(ranked, lambda x: F.struct(x["code"].alias("code"), x["evidence_text"].alias("evidence_text"))).alias("signals"))
+    r = records.join(sources.select("source_id", "source_name"), "source_id")
+    r = r.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "source_name", F.col("expired_at").isNull().alias("active")))).alias("sources"))
+    p = salaries.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("source_id", pay_text(F.floor("low"), F.floor("high"), F.col("period")).alias("pay")))).alias("salaries"))
+    return jobs.join(status, "job_id").join(s, "job_id", "left").join(r, "job_id", "left").join(p, "job_id", "left")
+
+
+def polarity_counts(signals: DataFrame) -> DataFrame:
+    n = lambda p: F.count_if(F.col("polarity") == p)
+    return signals.groupBy("job_id").agg(n("POSITIVE").alias("n_positive"), n("NEGATIVE").alias("n_negative"), n("NEUTRAL").alias("n_neutral"))

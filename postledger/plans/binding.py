@@ -70,6 +70,16 @@ VIEWS = {
     "b_title": """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Sr. ' || p_name || ' Dev - Toronto' WHEN 1 THEN p_name || ' Mgr (Remote)'
         WHEN 2 THEN 'Jr ' || p_name || ', Platform' WHEN 3 THEN p_name || ' | Full Time' WHEN 4 THEN 'Lead QA ' || p_name ELSE p_name || ' II, Contract' END AS title,
         CASE p_partkey % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Permanent' WHEN 2 THEN 'Part-time' END AS kind FROM part""",
+    "b_parsed": """SELECT p_partkey % 10 AS source_id, 'p' || CAST(p_partkey AS STRING) AS external_ref,
+        CASE p_partkey % 6 WHEN 0 THEN 'Sr. ' || p_name || ' Dev - Toronto' WHEN 1 THEN p_name || '  Mgr (Remote)' WHEN 2 THEN 'Jr ' || p_name || ', Platform' WHEN 3 THEN p_name || ' | Full Time'
+            WHEN 4 THEN 'Lead QA ' || p_name ELSE CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_name || ' II, Contract' END END AS title,
+        CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE ' ' || p_brand || ' Ltd ' END AS employer_name,
+        CASE p_partkey % 9 WHEN 0 THEN 'Toronto, ON' WHEN 1 THEN 'Remote - Canada' WHEN 2 THEN 'Austin, TX' WHEN 3 THEN 'Surrey, British Columbia; Laval' WHEN 4 THEN 'Halifax'
+            WHEN 5 THEN 'Paris, France' WHEN 6 THEN 'Hybrid (London)' WHEN 7 THEN '' END AS location_text,
+        CASE p_partkey % 4 WHEN 0 THEN 'Hybrid' WHEN 1 THEN 'In office' END AS workplace_text,
+        CASE p_partkey % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Permanent' WHEN 2 THEN 'Part-time' END AS employment_text,
+        p_type || ' made by ' || p_brand AS description, CASE WHEN p_partkey % 13 = 0 THEN 'ftp://x/' ELSE 'https://x.example/' || CAST(p_partkey AS STRING) END AS url,
+        CASE WHEN p_partkey % 2 = 0 THEN 'https://apply.example/' || CAST(p_partkey AS STRING) END AS apply_url FROM part""",
     "b_search": """SELECT c_custkey AS search_id, c_custkey % 40 AS user_id, 'Search ' || CAST(c_custkey AS STRING) AS name,
         CASE c_custkey % 4 WHEN 0 THEN 'ion_' || CAST(c_nationkey AS STRING) WHEN 1 THEN n_name WHEN 2 THEN upper(n_name) END AS f_city,
         CASE WHEN c_custkey % 5 < 2 THEN substring(r_name, 1, 2) END AS f_province, CASE WHEN c_custkey % 3 = 0 THEN 'REMOTE' WHEN c_custkey % 11 = 1 THEN 'MARS' END AS f_remote,

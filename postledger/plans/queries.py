@@ -177,12 +177,6 @@ def html_to_text(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
 
 
-@_query()
-def title_normalized(spark, sf):
-    t = view(spark, sf, "b_title")
-    return t.select("id", normalize.title_normalized(F.col("title")).alias("normalized")).withColumn("stem", normalize.title_stem(F.col("normalized")))
-
-
 @_query(
     """SELECT id, CASE WHEN regexp_matches(s, 'intern(ship)?|co-?op\\b|student') THEN 'INTERNSHIP' WHEN regexp_matches(s, 'seasonal|summer') THEN 'SEASONAL'
     WHEN regexp_matches(s, 'contract|contractor|freelance|fixed[- ]term') THEN 'CONTRACT' WHEN regexp_matches(s, 'temp(orary)?\\b') THEN 'TEMPORARY'

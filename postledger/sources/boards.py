@@ -17,6 +17,11 @@ EXTRACT = "jobId string, title string, employerName string, city string, provinc
 INTERVALS = {"per-year-salary": "YEAR", "per-month-salary": "MONTH", "per-week-salary": "WEEK", "per-day-wage": "DAY", "per-hour-wage": "HOUR"}
 
 
+# Names of a board's metadata, and the size of a full page.
+WORKPLACE, EMPLOYMENT = r"(?i)workplace|remote|location type", r"(?i)employment|job type|commitment"
+PAGE = 100
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
@@ -26,16 +31,18 @@ def board(spark: SparkSession, path: str, employer: str | None = None) -> DataFr
     j = _json(spark, path, BOARD).select(F.explode("jobs").alias("j")).select("j.*")
     offices = F.array_join(F.transform("offices", lambda o: F.coalesce(o["location"], o["name"])), "; ")
     meta = lambda p: F.get(F.filter("metadata", lambda m: m["name"].rlike(p)), F.lit(0))["value"]
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     return j.select(
         F.col("id").cast("string").alias("external_ref"),
         F.trim("title").alias("title"),
-        F.coalesce("company_name", F.lit(employer)).alias("employer_name"),
-        F.coalesce("location.name", F.nullif(offices, F.lit(""))).alias("location_text"),
-        meta("(?i)workplace|remote").alias("workplace"),
-        meta("(?i)employment|commitment").alias("employment"),
-        text.html_to_text(text.decode_entities(F.col("content"))).alias("description"),
+        F.coalesce(filled(F.col("company_name")), F.lit(employer)).alias("employer_name"),
+        F.coalesce(filled(F.col("location.name")), F.nullif(offices, F.lit(""))).alias("location_text"),
+        meta(WORKPLACE).alias("workplace_text"),
+        meta(EMPLOYMENT).alias("employment_text"),
+        F.coalesce(text.html_to_text(text.decode_entities(F.col("content"))), F.lit("")).alias("description"),
         F.col("absolute_url").alias("url"),
-        F.coalesce("first_published", "updated_at").try_cast("timestamp").alias("posted_at"),
+        F.col("absolute_url").alias("apply_url"),
+        F.col("first_published").try_cast("timestamp").alias("posted_at"),
     )
 
 
@@ -52,8 +59,8 @@ def paged(spark: SparkSession, path: str, employer: str) -> DataFrame:
         F.trim("text").alias("title"),
         F.lit(employer).alias("employer_name"),
         F.when((F.col("country") == "CA") & ~place.rlike("(?i)canada"), F.concat(place, F.lit(", Canada"))).otherwise(place).alias("location_text"),
-        F.col("workplaceType").alias("workplace"),
-        F.col("categories.commitment").alias("employment"),
+        F.col("workplaceType").alias("workplace_text"),
+        F.col("categories.commitment").alias("employment_text"),
         F.concat_ws("\n\n", "descriptionPlain", F.array_join(sections, "\n\n"), "additionalPlain").alias("description"),
         F.col("hostedUrl").alias("url"),
         F.col("applyUrl").alias("apply_url"),
@@ -65,6 +72,17 @@ def paged(spark: SparkSession, path: str, employer: str) -> DataFrame:
     )
 
 
+def complete_pages(pages: DataFrame) -> DataFrame:
+    """Sources whose landed pages are whole: the last page, and only it, has fewer than PAGE rows.
+
+    pages: source_id, page (from 0), rows.
+    """
+    last = F.max_by("rows", "page")
+    return pages.groupBy("source_id").agg(
+        ((F.count("*") == F.max("page") + 1) & (last < PAGE) & (F.count_if(F.col("rows") < PAGE) == 1)).alias("complete"), F.sum("rows").alias("rows")
+    )
+
+
 def extract(spark: SparkSession, path: str) -> DataFrame:
     """A file with an array of flat records; pay text joins the description."""
     return _json(spark, path, EXTRACT).select(
@@ -72,8 +90,8 @@ def extract(spark: SparkSession, path: str) -> DataFrame:
         F.trim("title").alias("title"),
         F.col("employerName").alias("employer_name"),
         F.concat_ws(", ", "city", "province").alias("location_text"),
-        "workplace",
-        F.col("employmentType").alias("employment"),
+        F.col("workplace").alias("workplace_text"),
+        F.col("employmentType").alias("employment_text"),
         F.concat_ws("\n", "description", "salaryText").alias("description"),
         F.col("datePosted").try_cast("timestamp").alias("posted_at"),
     )
