@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from postledger.llm.common import mix, small_batches
 
@@ -62,29 +63,29 @@ def features(text: bytes) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, shares = [], []
-        for t in b.column(1).to_pylist():
+        for t in b.column(2).to_pylist():
             u, c = np.unique(features(t or b""), return_counts=True)
             ids.append(u.astype(np.int32).tobytes())
             shares.append((c / c.sum()).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "ids", "shares"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["at", "label", "ids", "shares"])
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
-    """Worth of each bucket (logit of label 1) from (label, buckets, shares)."""
+def train(labels: np.ndarray, ends: np.ndarray, buckets: np.ndarray, shares: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
+    """Worth of each bucket (logit of label 1); row i has the buckets and shares from ends[i] to ends[i + 1]."""
     rng = np.random.default_rng(11)
     vec = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     out = np.zeros((DIMENSIONS, 2))
-    steps, done = epochs * len(rows), 0
+    steps, done = epochs * len(labels), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            y, ids, w = rows[i]
+        for i in rng.permutation(len(labels)):
+            ids, w = buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]].astype(np.float64)
             lr = rate * (1 - done / steps)
             done += 1
             h = w @ vec[ids]
             z = h @ out
             g = np.exp(z - z.max())
             g /= g.sum()
-            g[y] -= 1
+            g[labels[i]] -= 1
             back = out @ g
             out -= lr * np.outer(h, g)
             vec[ids] -= lr * w[:, None] * back
@@ -105,31 +106,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # at most `sample` rows go to every task
-    table = (
+    # at most `sample` rows go to every task, and one text of an id (its smallest) to the driver
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = (
         rows.join(F.broadcast(known), "id")
-        .select("label", "text", "id")
-        .mapInArrow(_vectors, "label int, ids binary, shares binary")
-        .limit(2 * sample)
-        .toPandas()
+        .groupBy("id")
+        .agg(F.min("label").alias("label"), F.min("text").alias("text"))
+        .select(F.xxhash64("id").alias("at"), "label", F.col("text").cast("binary").alias("text"))
+        .mapInArrow(_vectors, "at long, label int, ids binary, shares binary")
+        .toArrow()
     )
-    order = sorted(range(len(table)), key=lambda i: table["ids"][i])  # the order of rows does not matter
-    return train([(int(table["label"][i]), np.frombuffer(table["ids"][i], np.int32), np.frombuffer(table["shares"][i], np.float32).astype(np.float64)) for i in order])
-
-
-def score(docs: DataFrame, worth: np.ndarray, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
-    """doc_id and score of every row, and its columns `extra`."""
+    order = np.argsort(found.column("at").to_numpy(), kind="stable")  # the order of rows does not matter
+    parts = {n: [np.frombuffer(memoryview(x.as_buffer()), t) for x in found.column(n)] for n, t in (("ids", np.int32), ("shares", np.float32))}
+    ends = np.cumsum([0, *(len(parts["ids"][i]) for i in order)])
+    flat = {n: np.concatenate([p[i] for i in order]) if len(order) else np.zeros(0, np.int32) for n, p in parts.items()}
+    kinds = found.column("label").to_numpy()[order]
+    del found, parts
+    return train(kinds, ends, flat["ids"], flat["shares"])
+
+
+def scored(docs: DataFrame, worth: np.ndarray, name: str = "score", text_col: str = "text") -> DataFrame:
+    """Rows of docs with all their columns, and their score as a new column."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{name} is a column of docs; give another name")
     small_batches(docs.sparkSession)
-    extra = extra or []
     small = worth.astype(np.float32)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.array([float(small[features(t or b"")].mean(dtype=np.float64)) for t in b.column(1).to_pylist()])
-            s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s, pa.float64())], ["doc_id", *extra, "score"])
+            row = b.column(0)
+            texts = row.field(at).cast(pa.binary()).to_pylist()
+            z = np.array([float(small[features(t or b"")].mean(dtype=np.float64)) for t in texts])
+            yield pa.RecordBatch.from_arrays([row, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], ["row", "score"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return made.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("score").alias(name))
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"), *extra)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in extra)
-    return rows.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}score double")
+def score(docs: DataFrame, worth: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row."""
+    return scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), worth).select("doc_id", "score")
