@@ -16,13 +16,14 @@ one block and one slice and returns at most k rows per query.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; rows with equal ids
-count once (the smallest vector); vectors of another length than the longest
-take no part; ties go to the smaller id; other columns are ignored.
+count once (the smallest vector); vectors of different lengths have no
+product, so each length is searched on its own; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,12 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str, zero: bool = Tr
     return rows if zero else rows.where(F.exists("v", lambda x: x != 0))
 
 
+def by_length(rows: DataFrame) -> list[tuple[DataFrame, int]]:
+    """Rows of each length of v, and how many: only the lengths that occur reach the driver."""
+    lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy("size").collect()
+    return [(rows.where(F.size("v") == r["size"]), r["count"]) for r in lengths]
+
+
 def _expand(best_s: np.ndarray, best_v: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, dist: np.ndarray, dq: np.ndarray, k: int) -> None:
     """Improve each query's k best by one pivot's vectors, which are in order of `dist`; dq: distances of the queries from that pivot."""
     worst, qq, most = best_s[:, -1], (q * q).sum(1), (x * x).sum(1).max()
@@ -104,10 +111,11 @@ def exact_topk(
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by `every`."""
     whole = valid_vectors(vectors, id_col, vec_col).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
     rows = cut(whole)
-    dim, n = rows.agg(F.max(F.size("v")), F.count("*")).first()
-    if not n:
-        return rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0L AS score")
-    rows = rows.where(F.size("v") == dim)
+    found = [_topk_of_length(part, n, every, k, pivots) for part, n in by_length(rows)]
+    return reduce(DataFrame.unionByName, found) if found else rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0L AS score")
+
+
+def _topk_of_length(rows: DataFrame, n: int, every: int, k: int, pivots: int) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()  # `pivots` rows
     centre = np.array(sample["v"].tolist())
 

@@ -14,19 +14,21 @@ smallest ids: no further copy can be among a query's k best.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite components take no part, nor do rows with a null id; rows with
-equal ids count once (the smallest vector); vectors of another length than
-the longest take no part; other columns are ignored.
+equal ids count once (the smallest vector); vectors of different lengths have
+no product, so each length is searched on its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postledger.llm.common import cut
-from postledger.llm.exact_topk import valid_vectors
+from postledger.llm.exact_topk import by_length, valid_vectors
 
 SHARD = 8192
 QUERY_BLOCK = 2048
@@ -172,10 +174,11 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row whose id is divisible by `every`."""
     rows = cut(valid_vectors(vectors, id_col, vec_col, zero=False))
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
-    if dim is None:
-        return rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0D AS score")
-    rows = rows.where(F.size("v") == dim)
+    found = [_nearest_of_length(part, every, k, beam, shard_rows) for part, _ in by_length(rows)]
+    return reduce(DataFrame.unionByName, found) if found else rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0D AS score")
+
+
+def _nearest_of_length(rows: DataFrame, every: int, k: int, beam: int, shard_rows: int) -> DataFrame:
     # the k + 1 smallest ids of equal vectors, first within salted parts of a group
     ranked = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     for by in (["v", "salt"], ["v"]):

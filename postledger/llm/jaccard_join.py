@@ -29,8 +29,10 @@ rows and texts that no candidate needs out of the shuffles.
 
 Defined results: a null or blank text has no shingles and links with nothing
 (component_id is its own id); a text with fewer than n words is one shingle;
-repeated rows are rows of their own with equal results; rows with a null id
-are left out; other columns are ignored; an empty table gives an empty table.
+repeated rows are rows of their own with equal results; a row with a null id
+is no document that others link with, but gets the component of documents with
+its very text, else a null one; other columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -243,14 +245,14 @@ def _within(percent: int):
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs with an id."""
+    """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id IS NOT NULL")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows, nameless = every.where("doc_id IS NOT NULL"), every.where("doc_id IS NULL")
     sketch = [f"s{k}" for k in range(LONGS)]
-    feats = cut(
-        rows.mapInArrow(_features(words), "doc_id long, n long, cls long, sketch binary, " + ", ".join(f"{s} long" for s in sketch))
-    )
+    kinds = "doc_id long, n long, cls long, sketch binary, " + ", ".join(f"{s} long" for s in sketch)
+    feats = cut(rows.mapInArrow(_features(words), kinds))
     classes = cut(
         feats.where("cls IS NOT NULL")
         .groupBy("cls")
@@ -359,6 +361,7 @@ def jaccard_components(
         known = components(found.unionByName(links(rest)))
     in_class = classes.join(known, classes.rep == known.node).select("cls", "component")
     whole = classes.select("cls", "rep").join(in_class, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    return feats.select("doc_id", "n", "cls").join(whole, "cls", "left").select(
+    told = feats.select("doc_id", "n", "cls").unionByName(nameless.mapInArrow(_features(words), kinds).select("doc_id", "n", "cls"))
+    return told.join(whole, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )

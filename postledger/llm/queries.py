@@ -32,6 +32,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hex",
         F.sha2(secret_scan.joined("base"), 256).alias("base_sha256"),
         secret_scan.joined("found").alias("spans"),
+        secret_scan.joined_links("links").alias("links"),
     )
 
 
@@ -97,21 +98,33 @@ def _secret_sql() -> str:
         p = pattern.replace("'", "''")
         mixed = " AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')" if name == "key" else ""
         parts.append(
-            f"SELECT doc_id, {k} AS kind, a, a + n AS b FROM (SELECT doc_id, length(w[i]) AS n, x[i] AS v, "
+            f"SELECT rid, {k} AS kind, a, a + n AS b FROM (SELECT rid, length(w[i]) AS n, x[i] AS v, "
             "list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:i-1], lambda y: length(y))), 0) AS a "
-            f"FROM (SELECT doc_id, w, g, x, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS w, "
+            f"FROM (SELECT rid, w, g, x, unnest(range(1, len(w) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS w, "
             f"string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', {group}) AS x FROM d))) WHERE length(v) >= {least}{mixed}"
         )
-    near = f"OVER (PARTITION BY doc_id, scope ORDER BY a RANGE BETWEEN {secret_scan.REACH} PRECEDING AND {secret_scan.REACH} FOLLOWING) > 0"
-    case = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END || ':' || a || ':' || b"
+    near = f"OVER (PARTITION BY rid, scope ORDER BY a RANGE BETWEEN {secret_scan.REACH} PRECEDING AND {secret_scan.REACH} FOLLOWING) > 0"
+    case = lambda k, a, b: f"CASE {k} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names)) + f" END || ':' || {a} || ':' || {b}"
+    seek = lambda kinds, f, rows: f"{f}(CASE WHEN kind IN ({kinds}) THEN {{'a': a, 'kind': kind, 'b': b}} END IGNORE NULLS) OVER (PARTITION BY rid, scope ORDER BY a, kind ROWS BETWEEN {rows})"
+    back, ahead = "UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    pick = lambda x, y: (
+        f"CASE WHEN least(coalesce(a - {x}.a, 1000000), coalesce({y}.a - a, 1000000)) <= {secret_scan.REACH} THEN CASE WHEN {y} IS NULL OR ({x} IS NOT NULL AND a - {x}.a <= {y}.a - a) THEN {x} ELSE {y} END END"
+    )
+    link = case("kind", "a", "b") + " || '<' || " + case("who_at.kind", "who_at.a", "who_at.b") + " || CASE WHEN end_at IS NULL THEN '' ELSE '@' || " + case("end_at.kind", "end_at.a", "end_at.b") + " END"
+    one = case("kind", "a", "b")
     return (
-        "WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents), p AS (" + " UNION ALL ".join(parts) + "), "
-        "s AS (SELECT *, sum(CASE WHEN kind = 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a RANGE UNBOUNDED PRECEDING) AS scope FROM p), "
-        f"f AS (SELECT *, sum(CASE WHEN kind IN (1, 4) THEN 1 ELSE 0 END) {near} AS who, sum(CASE WHEN kind IN (0, 2, 3) THEN 1 ELSE 0 END) {near} AS what FROM s), "
-        "r AS (SELECT doc_id, kind, a, b, kind < 3 OR (kind = 3 AND who) OR (kind = 4 AND what) OR (kind = 5 AND who AND what) AS told FROM f) "
-        "SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, "
-        f"sha256(coalesce(string_agg({case}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, "
-        f"coalesce(string_agg({case}, ',' ORDER BY a, kind) FILTER (WHERE told), '') AS spans FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), p AS (" + " UNION ALL ".join(parts) + "), "
+        "s AS (SELECT *, sum(CASE WHEN kind = 6 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY a RANGE UNBOUNDED PRECEDING) AS scope, "
+        "max(CASE WHEN kind IN (0, 1, 2, 4, 5) THEN b END) OVER (PARTITION BY rid ORDER BY a RANGE UNBOUNDED PRECEDING) AS other FROM p), "
+        "k AS (SELECT * FROM s WHERE kind <> 3 OR other IS NULL OR other <= a), "
+        f"f AS (SELECT *, sum(CASE WHEN kind IN (1, 4) THEN 1 ELSE 0 END) {near} AS who, sum(CASE WHEN kind IN (0, 2, 3) THEN 1 ELSE 0 END) {near} AS what, "
+        f"{seek('1, 4', 'last_value', back)} AS w1, {seek('1, 4', 'first_value', ahead)} AS w2, {seek('5', 'last_value', back)} AS e1, {seek('5', 'first_value', ahead)} AS e2 FROM k), "
+        f"r AS (SELECT rid, kind, a, b, kind < 3 OR (kind = 3 AND who) OR (kind = 4 AND what) OR (kind = 5 AND who AND what) AS told, "
+        f"CASE WHEN kind IN (0, 2, 3) THEN {pick('w1', 'w2')} END AS who_at, CASE WHEN kind IN (0, 2, 3) THEN {pick('e1', 'e2')} END AS end_at FROM f) "
+        "SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, "
+        f"sha256(coalesce(string_agg({one}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, "
+        f"coalesce(string_agg({one}, ',' ORDER BY a, kind) FILTER (WHERE told), '') AS spans, "
+        f"coalesce(string_agg({link}, ',' ORDER BY a, kind) FILTER (WHERE who_at IS NOT NULL), '') AS links FROM d LEFT JOIN r ON d.rid = r.rid GROUP BY d.rid"
     )
 
 

@@ -10,12 +10,16 @@ identifier, an account name near a secret, an endpoint near both.
 Method. Places come from the text between matches: a match starts where the
 gaps and matches before it end, a running sum. All parts of all texts then
 form one table, and the interval join of identifiers, secrets and endpoints
-is a range frame over (document, scope) ordered by place, so a scope with
-many parts costs a sort and no pairs. Only parts are shuffled, never texts.
+is a pass over (document, scope) in order of place: range frames tell whether
+complementary parts are within reach, and the last and next identifier and
+endpoint give the links, so a scope with many parts costs a sort and no
+pairs. Only parts are shuffled, never texts.
 
 Defined results: a null text counts as empty; a row without parts is returned
-with zero counts and empty spans; rows that agree in id and text are returned
-once; rows with a null id are kept (id null); other columns are ignored.
+with zero counts, empty spans and no links; rows that agree in id and text
+are returned as often as they come; rows with a null id are kept (id null);
+of an identifier before and one behind at equal distance the one before is
+linked; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,8 +64,18 @@ def _found(kind: str):
     return F.when(text.rlike(pattern), F.filter(zipped, lambda x: x["len"].isNotNull()))
 
 
+def _nearest(kinds, order: Window, reach: int):
+    """Span (start, kind, end) of the nearest part of some kinds before or behind a row, within reach of starts."""
+    span = F.when(kinds, F.struct("start", "kind", "end"))
+    before = F.last(span, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first(span, True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back, ahead = F.col("start") - before["start"], behind["start"] - F.col("start")
+    take = F.when(behind.isNull() | (before.isNotNull() & (back <= ahead)), before).otherwise(behind)
+    return F.when(F.least(back, ahead) <= reach, take)
+
+
 def credential_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """doc_id, text_hash, kind, start, end, reported; and one row with null kind for every text."""
+    """doc_id, text_hash, kind, start, end, reported, identifier and endpoint of a secret; and one row with null kind for every text, with its copies."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     none = F.array().cast("array<struct<kind:int,gap:int,len:int,ok:boolean>>")
     found = [F.coalesce(_found(k), none) for k in _KINDS]
@@ -70,43 +84,67 @@ def credential_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = F.concat(*found, F.array(F.struct(blank.alias("kind"), blank.alias("gap"), blank.alias("len"), F.lit(True).alias("ok"))))
     at = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     in_text = Window.partitionBy("doc_id", "text_hash").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy("doc_id", "text_hash", "scope").orderBy("start").rangeBetween(-reach, reach)
+    in_scope = Window.partitionBy("doc_id", "text_hash", "scope")
+    near = in_scope.orderBy("start").rangeBetween(-reach, reach)
     kind = {k: F.col("kind") == _KINDS.index(k) for k in _KINDS}
-    identifier = F.sum(F.when(kind["access"] | kind["account"], 1).otherwise(0)).over(near) > 0
-    secret = F.sum(F.when(kind["assign"] | kind["hex"] | kind["key"], 1).otherwise(0)).over(near) > 0
+    who, what = kind["access"] | kind["account"], kind["assign"] | kind["hex"] | kind["key"]
+    identifier = F.sum(F.when(who, 1).otherwise(0)).over(near) > 0
+    secret = F.sum(F.when(what, 1).otherwise(0)).over(near) > 0
     base = kind["assign"] | kind["access"] | kind["hex"]
+    other = F.max(F.when(base | kind["account"] | kind["endpoint"], F.col("end"))).over(in_text)
+    order = in_scope.orderBy("start", "kind")
     return (
         rows.select("doc_id", "text_hash", F.posexplode(parts).alias("i", "p"))
-        .select("doc_id", "text_hash", "i", "p.*")
-        .distinct()
+        .groupBy("doc_id", "text_hash", "i", "p")
+        .agg(F.count("*").alias("copies"))
+        .select("doc_id", "text_hash", "i", "copies", "p.*")
         .repartition("doc_id", "text_hash")
         .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(at))
         .withColumn("start", F.col("end") - F.col("len"))
         .where("ok")
-        .withColumn("scope", F.sum(F.when(kind["break"], 1).otherwise(0)).over(in_text))
-        .withColumn(
-            "reported",
-            base | (kind["key"] & identifier) | (kind["account"] & secret) | (kind["endpoint"] & identifier & secret),
+        .withColumns({"scope": F.sum(F.when(kind["break"], 1).otherwise(0)).over(in_text), "covered": kind["key"] & F.coalesce(other > F.col("start"), F.lit(False))})
+        .where(~F.coalesce("covered", F.lit(False)))
+        .withColumns(
+            {
+                "reported": base | (kind["key"] & identifier) | (kind["account"] & secret) | (kind["endpoint"] & identifier & secret),
+                "identifier": F.when(what, _nearest(who, order, reach)),
+                "endpoint": F.when(what, _nearest(kind["endpoint"], order, reach)),
+            }
         )
-        .select("doc_id", "text_hash", "kind", "start", "end", "reported")
+        .select("doc_id", "text_hash", "kind", "start", "end", "reported", "identifier", "endpoint", "copies")
     )
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per document: counts of base kinds and all reported spans in order (array of start, kind, end)."""
+    """One row per document: counts of base kinds, all reported spans in order (array of start, kind, end) and links (array of secret, identifier, endpoint)."""
     parts = credential_parts(docs, id_col, text_col, reach)
     span = F.struct("start", "kind", "end")
-    return parts.groupBy("doc_id", "text_hash").agg(
+    link = F.struct(span.alias("secret"), "identifier", "endpoint")
+    out = parts.groupBy("doc_id", "text_hash").agg(
         *(F.count_if(F.col("kind") == _KINDS.index(k)).alias(f"n_{k}") for k in BASE),
         F.array_sort(F.collect_list(F.when(F.col("kind") < len(BASE), span))).alias("base"),
         F.array_sort(F.collect_list(F.when(F.col("reported"), span))).alias("found"),
+        F.array_sort(F.collect_list(F.when(F.col("identifier").isNotNull(), link))).alias("links"),
+        F.max(F.when(F.col("kind").isNull(), F.col("copies"))).alias("copies"),
     )
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "copy")
+
+
+def told(span):
+    """kind:start:end of a span."""
+    names = F.array(*(F.lit(k) for k in _KINDS))
+    return F.concat_ws(":", F.get(names, span["kind"]), span["start"].cast("string"), span["end"].cast("string"))
 
 
 def joined(spans):
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*(F.lit(k) for k in _KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(spans, told), ",")
+
+
+def joined_links(links):
+    """secret<identifier, and @endpoint where there is one, of each link, comma-joined."""
+    end = lambda k: F.when(k["endpoint"].isNotNull(), F.concat(F.lit("@"), told(k["endpoint"]))).otherwise("")
+    return F.array_join(F.transform(links, lambda k: F.concat(told(k["secret"]), F.lit("<"), told(k["identifier"]), end(k))), ",")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -114,9 +152,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     found = (
         scan_secrets(docs, id_col, text_col)
         .where(F.size("found") > 0)
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found"))
+        .select("doc_id", "text_hash", "found")
+        .dropDuplicates(["doc_id", "text_hash"])
     )
-    text = F.col(text_col)
+    text = F.col(f"row.{text_col}")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -129,6 +168,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     def finish(acc):
         return F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int")))
 
-    clean = F.when(F.col("__found").isNull(), text).otherwise(F.aggregate("__found", start, step, finish))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
-    return docs.join(found, same, "left").withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.col("found").isNull(), text).otherwise(F.aggregate("found", start, step, finish))
+    same = F.col(f"row.{id_col}").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("text_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(found, same, "left")
+    return rows.select(*((clean if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
