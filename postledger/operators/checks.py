@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.functions import normalize, pasted, pay, text
+from postledger.operators import signals
 from postledger.operators.dedup import MERGE
 from postledger.operators.upsert import latest
 
@@ -59,6 +60,33 @@ def borrowed(matches: DataFrame, jobs: DataFrame, records: DataFrame) -> DataFra
     return strong.join(fresh, "job_id").join(records, "job_id", "left")
 
 
+def verify(checks: DataFrame, matches: DataFrame, jobs: DataFrame, records: DataFrame, sources: DataFrame, domains: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Signals and status of pasted checks, by the rules of jobs; only a strong match lends its records, freshness and hosting.
+
+    checks: check_id, text, apply_url, employer_id, employer_name, identity
+    and the pasted pay low, high, period, currency, pay_text (null where none);
+    matches: check_id, job_id, is_strong; jobs: job_id, last_verified.
+    """
+    strong = matches.where("is_strong").join(jobs.select("job_id", "last_verified"), "job_id").select("check_id", "job_id", "last_verified")
+    case = checks.join(strong.select("check_id", "last_verified", F.lit(True).alias("strong")), "check_id", "left")
+    none = F.lit(None)
+    subject = case.select(
+        F.col("check_id").alias("job_id"), "employer_id", "employer_name", "identity", "apply_url", "text", "last_verified", now.alias("first_seen"), none.cast("timestamp").alias("expired_at"),
+        none.cast("string").alias("identity_text"), none.cast("string").alias("identity_url"), none.cast("timestamp").alias("identity_at"),
+    )
+    lent = strong.select("check_id", "job_id").join(records, "job_id").drop("job_id").withColumnRenamed("check_id", "job_id")
+    # pasted pay counts as hosted by the employer only where a strong match says the same posting
+    pasted_pay = case.where("pay_text IS NOT NULL").select(
+        F.col("check_id").alias("job_id"), F.when(F.col("strong"), -1).otherwise(-2).cast("long").alias("source_id"), "low", "high", "period", "currency", F.col("pay_text").alias("evidence")
+    )
+    extra = checks.sparkSession.createDataFrame([(-1, "pasted", True), (-2, "pasted", False)], "source_id long, source_name string, owned boolean")
+    known = sources.select(F.col("source_id").cast("long").alias("source_id"), "source_name", "owned").unionByName(extra)
+    nobody = subject.select(none.cast("long").alias("report_id"), none.cast("long").alias("user_id"), "job_id", F.lit("DISMISSED").alias("status"))
+    board = strong.select(F.col("check_id").alias("job_id"), F.col("last_verified").alias("checked_at"))
+    found = signals.compute(subject, lent, known, pasted_pay, nobody, domains, now, board)
+    return found.withColumnRenamed("job_id", "check_id"), signals.status(subject, found).withColumnRenamed("job_id", "check_id")
+
+
 def outcome(checks: DataFrame, pages: DataFrame) -> DataFrame:
     """Outcome and text of each check: pasted text and the text of the fetched page.
 

@@ -80,6 +80,6 @@ def board_probe(employers: DataFrame, pages: DataFrame) -> DataFrame:
     employers: employer_id, domain, board_token; pages: host domain (registrable), html or null.
     """
     p = pages.where("html IS NOT NULL").select("domain", "html")
-    token = F.concat(F.lit("(?i)greenhouse[.]io/(v1/boards/|embed/job_board(/js)?[?]for=)?"), F.regexp_replace("board_token", r"([^A-Za-z0-9_])", r"\\\\$1"), F.lit(r"(?![A-Za-z0-9_])"))
+    token = F.concat(F.lit("(?i)greenhouse[.]io/(v1/boards/|embed/job_board(/js)?[?]for=)?"), F.regexp_replace("board_token", r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"(?![A-Za-z0-9_])"))
     found = employers.withColumn("pattern", token).join(p, "domain").select("employer_id", F.regexp_like("html", F.col("pattern")).alias("hit"))
     return employers.select("employer_id").join(found.groupBy("employer_id").agg(F.bool_or("hit").alias("linked")), "employer_id", "left")

@@ -156,19 +156,20 @@ def text_signals(jobs: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
     return _long(text_parts(now), jobs.join(link_facts(jobs, domains), "job_id", "left"))
 
 
-def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
+def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, domains: DataFrame, now: Column, boards: DataFrame | None = None) -> DataFrame:
     """job_id, code, polarity, weight, evidence_text, evidence_url, observed_at, source_id: all fifteen signals.
 
     One aggregate a job over each child table, joined to the jobs once; the
-    signals are columns of that row until they are exploded.
+    signals are columns of that row until they are exploded. boards (a key
+    and checked_at) stands in for the employers' own last checks.
     """
-    boards = last_board_check(sources)
+    boards = last_board_check(sources).select("employer_id", "checked_at") if boards is None else boards
     wide = (
         jobs.join(record_facts(records, sources), "job_id", "left")
         .join(pay_facts(salaries, sources), "job_id", "left")
         .join(distinct_reporters(reports), "job_id", "left")
         .join(link_facts(jobs, domains), "job_id", "left")
-        .join(boards, "employer_id", "left")
+        .join(boards, [c for c in boards.columns if c != "checked_at"], "left")
     )
     own, name = F.col("own"), F.col("employer_name")
     proof, first, checked = F.col("last_verified"), F.col("first_seen"), F.col("checked_at")

@@ -172,11 +172,6 @@ def host_pages(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select(host.alias("host")).groupBy("host", kind.alias("kind")).agg(F.count("*").alias("pages"))
 
 
-@_query()
-def html_to_text(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.sha2(text.html_to_text(F.col("html")), 256).alias("text_sha256"))
-
-
 @_query(
     """SELECT id, CASE WHEN regexp_matches(s, 'intern(ship)?|co-?op\\b|student') THEN 'INTERNSHIP' WHEN regexp_matches(s, 'seasonal|summer') THEN 'SEASONAL'
     WHEN regexp_matches(s, 'contract|contractor|freelance|fixed[- ]term') THEN 'CONTRACT' WHEN regexp_matches(s, 'temp(orary)?\\b') THEN 'TEMPORARY'
