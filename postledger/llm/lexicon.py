@@ -13,6 +13,7 @@ of the tokenizers library.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -42,15 +43,23 @@ class Lexicon:
             self.text_of.append(p)
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.longest = max(map(len, self.pieces))
-        # every ending of a piece; the value is None where it is no piece itself
-        self.endings: dict[str, tuple[int, float] | None] = {p[k:]: None for p in self.pieces for k in range(len(p))} | self.pieces
         self.single = frozenset(p for p in self.pieces if len(p) == 1)
+        # whether a character without a piece of its own is in no piece, and so parts every segmentation
+        self.closed = all(map(self.single.issuperset, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10
 
     def plain(self, word: str) -> bool:
         """Whether every character of a word has a piece of its own."""
         return self.single.issuperset(word)
 
+    def runs(self, word: str) -> list[tuple[str, bool]]:
+        """Runs of a word with and without characters that have pieces, and whether they have."""
+        return [("".join(run), known) for known, run in groupby(word, self.single.__contains__)]
+
+    def raw(self, run: str) -> list[int]:
+        """Ids of the bytes of a run without pieces."""
+        return [self.byte_id[b] for b in run.encode("utf-8", "replace")]
+
     def exact(self, word: str) -> list[int]:
         """Ids of one marked word; characters without a piece become bytes."""
         n = len(word)

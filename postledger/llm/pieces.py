@@ -2,9 +2,11 @@
 
 The distinct marked words of a batch are sorted, which is a depth-first walk
 of their trie: a word keeps the forward scores of the prefix it shares with
-the word before it and only extends them. Ids of words are remembered by a
+the word before it and only extends them; an automaton names the pieces that
+end at the places behind that prefix. Ids of words are remembered by a
 worker, in two generations of bounded size; texts are the ids of their words
-one after another. Decoding joins pieces, reads byte pieces as UTF-8 and
+one after another. A character without a piece parts its word, whose runs are
+words to the walk. Decoding joins pieces, reads byte pieces as UTF-8 and
 turns marks back into spaces, so it returns the text itself unless the text
 holds the mark character or invalid UTF-8.
 
@@ -33,15 +35,23 @@ _coders: dict[str, "_Coder"] = {}
 
 class _Coder:
     def __init__(self, lex: Lexicon):
+        import ahocorasick
+
         self.lex = lex
+        self.automaton = ahocorasick.Automaton()
+        for p, (i, score) in lex.pieces.items():
+            self.automaton.add_word(p, (len(p), score, i))
+        self.automaton.make_automaton()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         lex, out, before = self.lex, {}, ""
-        get = lex.endings.get
+        pieces, low = self.automaton.iter, float("-inf")
         best, back, ids = [0.0], [0], [0]
-        for w in sorted(words):
+        parted = {w: lex.runs(w) for w in words if not lex.plain(w)} if lex.closed else {}
+        todo = {run for runs in parted.values() for run, known in runs if known}.union(w for w in words if w not in parted)
+        for w in sorted(todo):
             if not lex.plain(w):
                 out[w] = np.array(lex.exact(w), "<u4").tobytes()
                 continue
@@ -52,24 +62,22 @@ class _Coder:
                 shared += 1
             before = w
             del best[shared + 1 :], back[shared + 1 :], ids[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                top, arg, which = float("-inf"), 0, 0
-                for at in range(end - 1, -1, -1):  # longer pieces come later and win ties
-                    hit = get(w[at:end], False)
-                    if hit:
-                        c = best[at] + hit[1]
-                        if c >= top:
-                            top, arg, which = c, at, hit[0]
-                    elif hit is False:
-                        break
-                best.append(top)
-                back.append(arg)
-                ids.append(which)
+            best += [low] * (n - shared)
+            back += [0] * (n - shared)
+            ids += [0] * (n - shared)
+            # longer pieces come first at an end and win ties
+            for last, (size, score, i) in pieces(w, max(0, shared + 1 - lex.longest)):
+                if last >= shared:
+                    c = best[last + 1 - size] + score
+                    if c > best[last + 1]:
+                        best[last + 1], back[last + 1], ids[last + 1] = c, last + 1 - size, i
             found = []
             while n:
                 found.append(ids[n])
                 n = back[n]
             out[w] = np.array(found[::-1], "<u4").tobytes()
+        for w, runs in parted.items():
+            out[w] = b"".join(out[run] if known else np.array(lex.raw(run), "<u4").tobytes() for run, known in runs)
         return out
 
     def texts(self, texts: list[str | None]) -> list[bytes | None]:

@@ -40,7 +40,9 @@ class _Counter:
 
     def word(self, w: str) -> int:
         if not self.lex.plain(w):
-            return len(self.lex.exact(w))
+            if not self.lex.closed:
+                return len(self.lex.exact(w))
+            return sum(self.word(run) if known else len(run.encode("utf-8", "replace")) for run, known in self.lex.runs(w))
         low = float("-inf")
         best, pieces = [0.0] + [low] * len(w), [0] * (len(w) + 1)
         for last, (size, score) in self.automaton.iter(w):
