@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _short_plans(spark: SparkSession) -> Iterator[None]:
+    """Within, the driver keeps short texts of the plans it ran: long loops would else fill its memory with them."""
+    short = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.ui.explainMode": "simple"}
+    old = {k: spark.conf.get(k, None) for k in short}
+    for k, v in short.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and return what is read back.
 
@@ -37,7 +52,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with _short_plans(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -113,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     before = _state(e)
-    while before[0]:
+    while before[0]:  # a round reads what the one before has written
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
