@@ -18,6 +18,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -34,16 +35,31 @@ CLOSING_ID = 1
 #: Nodes of one filling's search, and of the whole search beyond the first descent.
 FILL_NODES = 400
 SEARCH_NODES = 2000
+#: Pieces that are encoded as one text.
+TOGETHER = 256
 #: Words that a worker remembers, in each of two generations.
 _REMEMBER = 600_000
 
 _encoders: dict[str, "_Encoder"] = {}
 
 
+def _lower(text: str) -> str:
+    """The tokenizer reads lower case; in ASCII and Latin-1, where all rules of lower case agree, that can be done first, so that fewer pieces differ."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class _Encoder:
     """Ids of whole texts. A piece between spaces has the same ids wherever it stands, so pieces are remembered."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -65,17 +81,17 @@ class _Encoder:
         odd = [p for p in pieces if self.mark in p or any(s in p for s in self.special)]
         rest = list(set(pieces).difference(odd))
         out = {p: self._own(p) for p in odd}
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            ids = np.array(self.tok.encode(f" {self.mark} ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)]
+        joined = self.tok.encode_batch_fast([f" {self.mark} ".join(part) for part in parts], add_special_tokens=False)
+        for part, found in zip(parts, joined, strict=True):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark_id).tolist()
             raw = ids.tobytes()
             out.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the tokenizer reads lower case; in ASCII that can be done first, so that fewer pieces differ
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        split = [_lower(t).replace("\n", " ").split(" ") for t in texts]
         young, old = self.young, self.old
         if len(young) > _REMEMBER:
             self.old, self.young = young, {}
