@@ -27,7 +27,7 @@ def liveness_state(observed: DataFrame) -> DataFrame:
     """Freshness of each (source_id, external_ref) as keyed state, a row per batch that changed it.
 
     observed: source_id, external_ref, observation, at. LIVE sets
-    last_verified and clears expired_at, GONE keeps the earliest expiry,
+    last_verified and clears expired_at, GONE expires as of the check,
     UNKNOWN changes nothing. Rows of one batch count in order of time.
     """
 
@@ -41,7 +41,7 @@ def liveness_state(observed: DataFrame) -> DataFrame:
             micros = at.value // 1000
             if kind == "LIVE":
                 verified, expired = micros, None
-            elif expired is None:
+            else:
                 expired = micros
         state.update((verified, expired))
         yield pd.DataFrame({"source_id": [key[0]], "external_ref": [key[1]], "verified_us": pd.array([verified], "Int64"), "expired_us": pd.array([expired], "Int64")})

@@ -97,7 +97,7 @@ def test_streams(spark, tmp_path):
     assert [(r.external_ref, r.last_verified.day, r.expired_at.day) for r in seen] == [("a", 1, 2)]
     _files(land, "2.json", [row("a", "GONE", 5), row("b", "LIVE", 6)])
     run()
-    assert sorted((r.external_ref, r.last_verified.day, r.expired_at and r.expired_at.day) for r in seen[1:]) == [("a", 1, 2), ("b", 6, None)]
+    assert sorted((r.external_ref, r.last_verified.day, r.expired_at and r.expired_at.day) for r in seen[1:]) == [("a", 1, 5), ("b", 6, None)]
 
 
 def test_stream_landing(spark, tmp_path):
@@ -107,3 +107,20 @@ def test_stream_landing(spark, tmp_path):
     df = spark.readStream.schema("source_id int, external_ref string, payload string, fetched_at timestamp").json(str(land))
     streams.ingest(streams.landing_dedup(df), str(tmp_path / "c"), lambda b, _: got.extend(b.collect())).awaitTermination()
     assert sorted(r.payload for r in got) == ["x", "y"]
+
+
+def test_stream_daily_counts(spark, tmp_path):
+    land, got = tmp_path / "land", []
+    row = lambda name, day, h: {"name": name, "ts": f"2024-01-{day:02}T{h:02}:00:00Z"}
+    stream = lambda: streams.event_daily(spark.readStream.schema("name string, ts timestamp").json(str(land)))
+
+    def run():
+        streams.ingest(stream(), str(tmp_path / "c"), lambda b, _: got.extend(b.collect())).awaitTermination()
+
+    _files(land, "1.json", [row("view", 1, 1), row("view", 1, 23), row("click", 1, 2), row("view", 2, 1)])
+    run()
+    _files(land, "2.json", [row("view", 5, 1)])  # the watermark passes the first days
+    run()
+    _files(land, "3.json", [row("view", 1, 5), row("view", 5, 2)])  # too late, and in time
+    run()
+    assert {(r.day.day, r.name, r.n) for r in got} == {(1, "view", 2), (1, "click", 1), (2, "view", 1)}
