@@ -95,19 +95,21 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
-def _risky(c: Column, test) -> Column:
-    return F.transform(F.filter(sentences(c), lambda s: ~s.rlike(NEGATION) & test(s)), lambda s: clip(s, 180))
+def _risky(found: Column, test) -> Column:
+    # few sentences are risky, so the denial is looked for last
+    return F.transform(F.filter(found, lambda s: test(s) & ~s.rlike(NEGATION)), lambda s: clip(s, 180))
 
 
-def off_platform_contact(c: Column) -> Column:
-    """Sentences that ask for contact elsewhere."""
+def off_platform_contact(c: Column, split: bool = False) -> Column:
+    """Sentences that ask for contact elsewhere; split: whether c is an array of sentences."""
     any_ = _WORD.format("|".join(OFF_PLATFORM))
-    return _risky(c, lambda s: s.rlike(any_) | s.rlike(PERSONAL_EMAIL))
+    return _risky(c if split else sentences(c), lambda s: s.rlike(any_) | s.rlike(PERSONAL_EMAIL))
 
 
-def upfront_payment(c: Column) -> Column:
-    """Sentences that ask the applicant to pay."""
-    return _risky(c, lambda s: reduce(lambda a, b: a | b, (s.rlike(_WORD.format(p)) for p in PAYMENT)))
+def upfront_payment(c: Column, split: bool = False) -> Column:
+    """Sentences that ask the applicant to pay; split: whether c is an array of sentences."""
+    any_ = _WORD.format("|".join(f"(?:{p})" for p in PAYMENT))
+    return _risky(c if split else sentences(c), lambda s: s.rlike(any_))
 
 
 def vacancy_statement(c: Column) -> Column:

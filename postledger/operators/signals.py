@@ -126,16 +126,27 @@ def _said(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
+def text_facts(jobs: DataFrame) -> DataFrame:
+    """Jobs with elsewhere, money and vacancy, what their texts say first of each; columns, so that no signal computes them again."""
+    split = jobs.withColumn("sentences", text.sentences(F.col("text")))
+    first = lambda c: F.get(c, F.lit(0))
+    return split.withColumns(
+        {
+            "elsewhere": first(text.off_platform_contact(F.col("sentences"), split=True)),
+            "money": first(text.upfront_payment(F.col("sentences"), split=True)),
+            "vacancy": text.vacancy_statement(F.col("text")),
+        }
+    ).drop("sentences")
+
+
 def text_parts(now: Column) -> list[Column]:
-    """Signals of the link and the text of a row with the columns of link_facts, apply_url, text and employer_name."""
+    """Signals of the link and the text of a row with the columns of link_facts and text_facts, apply_url and employer_name."""
     host, linked = F.col("host"), F.col("host").isNotNull()
     fake, own = F.col("imitates").isNotNull(), F.col("own_domain").isNotNull()
     known = urls.is_hiring_system(host) | urls.is_public_board(host)
     kind = F.when(own, ", a domain of the employer.").when(urls.is_hiring_system(host), ", a common hiring system.").otherwise(", a public job board.")
     to, url = _said("Applications go to ", host), F.col("apply_url")
-    elsewhere = F.get(text.off_platform_contact(F.col("text")), F.lit(0))
-    money = F.get(text.upfront_payment(F.col("text")), F.lit(0))
-    vacancy = text.vacancy_statement(F.col("text"))
+    elsewhere, money, vacancy = F.col("elsewhere"), F.col("money"), F.col("vacancy")
     open_pool = F.when(vacancy.rlike(text.POOL), 0).otherwise(WEIGHTS["VACANCY_STATUS_DISCLOSED"])
     return [
         _signal("LOOKALIKE_DOMAIN", linked & fake, _said(to, ", which resembles ", F.col("imitates"), "."), now, url),
@@ -153,7 +164,7 @@ def _long(parts: list[Column], wide: DataFrame, key: str = "job_id") -> DataFram
 
 def text_signals(jobs: DataFrame, domains: DataFrame, now: Column) -> DataFrame:
     """Signals that apply links and texts give. jobs: job_id, employer_id, employer_name, apply_url, text; domains: employer_id, domain."""
-    return _long(text_parts(now), jobs.join(link_facts(jobs, domains), "job_id", "left"))
+    return _long(text_parts(now), text_facts(jobs).join(link_facts(jobs, domains), "job_id", "left"))
 
 
 def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: DataFrame, reports: DataFrame, domains: DataFrame, now: Column, boards: DataFrame | None = None) -> DataFrame:
@@ -165,7 +176,7 @@ def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: D
     """
     boards = last_board_check(sources).select("employer_id", "checked_at") if boards is None else boards
     wide = (
-        jobs.join(record_facts(records, sources), "job_id", "left")
+        text_facts(jobs).join(record_facts(records, sources), "job_id", "left")
         .join(pay_facts(salaries, sources), "job_id", "left")
         .join(distinct_reporters(reports), "job_id", "left")
         .join(link_facts(jobs, domains), "job_id", "left")

@@ -81,7 +81,7 @@ VIEWS = {
         p_type || ' made by ' || p_brand AS description, CASE WHEN p_partkey % 13 = 0 THEN 'ftp://x/' ELSE 'https://x.example/' || CAST(p_partkey AS STRING) END AS url,
         CASE WHEN p_partkey % 2 = 0 THEN 'https://apply.example/' || CAST(p_partkey AS STRING) END AS apply_url FROM part""",
     "b_search": """SELECT c_custkey AS search_id, c_custkey % 40 AS user_id, 'Search ' || CAST(c_custkey AS STRING) AS name,
-        CASE c_custkey % 4 WHEN 0 THEN 'ion_' || CAST(c_nationkey AS STRING) WHEN 1 THEN n_name WHEN 2 THEN upper(n_name) END AS f_city,
+        CASE WHEN c_custkey % 40 = 3 THEN NULL WHEN c_custkey % 3 = 0 THEN 'ion_' || CAST(c_nationkey AS STRING) WHEN c_custkey % 3 = 1 THEN n_name ELSE upper(n_name) END AS f_city,
         CASE WHEN c_custkey % 5 < 2 THEN substring(r_name, 1, 2) END AS f_province, CASE WHEN c_custkey % 3 = 0 THEN 'REMOTE' WHEN c_custkey % 11 = 1 THEN 'MARS' END AS f_remote,
         CASE WHEN c_custkey % 6 = 0 THEN 'Firm ' || CAST(c_custkey % 5 AS STRING) END AS f_employer, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 60 AS STRING) END AS f_posted,
         CASE WHEN c_custkey % 9 = 0 THEN CAST(100000 + c_custkey AS STRING) END AS f_salary,
