@@ -18,6 +18,7 @@ score is 0.5; other columns are never read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,13 +62,14 @@ def features(text: bytes) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct buckets of each text (as steps from the one before) and how often they occur, compressed: the driver gathers them."""
     for b in batches:
-        ids, shares = [], []
+        sizes, packed = [], []
         for t in b.column(2).to_pylist():
             u, c = np.unique(features(t or b""), return_counts=True)
-            ids.append(u.astype(np.int32).tobytes())
-            shares.append((c / c.sum()).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["at", "label", "ids", "shares"])
+            sizes.append(len(u))
+            packed.append(zlib.compress(np.diff(u, prepend=0).astype("<u4").tobytes() + c.astype("<u4").tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["at", "label", "size", "packed"])
 
 
 def train(labels: np.ndarray, ends: np.ndarray, buckets: np.ndarray, shares: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
@@ -113,16 +115,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("id")
         .agg(F.min("label").alias("label"), F.min("text").alias("text"))
         .select(F.xxhash64("id").alias("at"), "label", F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_vectors, "at long, label int, ids binary, shares binary")
+        .mapInArrow(_vectors, "at long, label int, size long, packed binary")
         .toArrow()
     )
     order = np.argsort(found.column("at").to_numpy(), kind="stable")  # the order of rows does not matter
-    parts = {n: [np.frombuffer(memoryview(x.as_buffer()), t) for x in found.column(n)] for n, t in (("ids", np.int32), ("shares", np.float32))}
-    ends = np.cumsum([0, *(len(parts["ids"][i]) for i in order)])
-    flat = {n: np.concatenate([p[i] for i in order]) if len(order) else np.zeros(0, np.int32) for n, p in parts.items()}
     kinds = found.column("label").to_numpy()[order]
-    del found, parts
-    return train(kinds, ends, flat["ids"], flat["shares"])
+    ends = np.cumsum(np.r_[0, found.column("size").to_numpy()[order]])
+    buckets, shares = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    for k, i in enumerate(order.tolist()):
+        n = ends[k + 1] - ends[k]
+        raw = np.frombuffer(zlib.decompress(found.column("packed")[i].as_buffer()), "<u4")
+        buckets[ends[k] : ends[k + 1]] = np.cumsum(raw[:n])
+        shares[ends[k] : ends[k + 1]] = raw[n:] / raw[n:].sum()
+    del found
+    return train(kinds, ends, buckets, shares)
 
 
 def scored(docs: DataFrame, worth: np.ndarray, name: str = "score", text_col: str = "text") -> DataFrame:
