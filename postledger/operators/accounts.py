@@ -86,6 +86,7 @@ def notifications(searches: DataFrame, found: DataFrame, jobs: DataFrame, now: C
 
     searches: search_id, user_id, name and those of alerts; jobs: job_id, title, employer_name, city.
     """
+    # the wording of notices is a fixed value
     named = found.join(searches.select("search_id", "user_id", "name"), "search_id").join(jobs.select("job_id", "title", "employer_name", "city"), "job_id")
     made = named.select(
         "user_id", "search_id", "job_id",

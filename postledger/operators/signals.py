@@ -57,7 +57,7 @@ def last_board_check(sources: DataFrame) -> DataFrame:
 
 
 def relative(now: Column, then: Column) -> Column:
-    """How long ago, in words."""
+    """How long ago, in words (fixed values)."""
     hours = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 3600 + 0.5)
     return (
         F.when(hours < 1, "less than an hour ago")
