@@ -1,15 +1,17 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the thirteen operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import packing, pieces, quality, secret_scan, token_count
+from postledger.llm import language, packing, pieces, quality, secret_scan, token_count
 from postledger.llm.exact_topk import exact_topk
 from postledger.llm.graph_ann import nearest
 from postledger.llm.jaccard_join import jaccard_components
 from postledger.llm.line_dedup import dedup_lines
+from postledger.llm.prefix_trie import prefix_trie, rebuilt_paths
+from postledger.llm.spelling import spelling_groups
 from postledger.llm.substrings import drop_repeats
 
 
@@ -78,6 +80,20 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_jaccard_join": op2_jaccard_join,
@@ -89,8 +105,12 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_pieces": op9_pieces,
     "op10_substrings": op10_substrings,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_language_id": op12_language_id,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
+
 def _secret_sql() -> str:
     """The same parts and range frames over DuckDB's lists."""
     names, parts = list(secret_scan.PATTERNS), []
@@ -128,7 +148,50 @@ def _secret_sql() -> str:
     )
 
 
+#: Table of the reflected CRC-32 polynomial, and the checksum of a list of bytes by it.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i)))"""
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce({octets}, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_TRIE_SQL = f"""WITH {_CRC_TABLE},
+    turns AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS size,
+        substr(sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32) AS mark FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, list({{'m': mark, 's': size}} ORDER BY turn NULLS FIRST, mark, size) AS own FROM turns GROUP BY c),
+    share AS (SELECT c, own, c - c % 5 AS b, {_crc("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ord(y) AS BIGINT))")} % 9 AS h FROM own, crc),
+    whole AS (SELECT s.c, list_concat(coalesce(l.own, [])[1:h], s.own[h+1:]) AS p FROM share s LEFT JOIN own l ON l.c = s.b),
+    steps AS (SELECT c, len(p) AS size, p, unnest(range(0, len(p) + 1)) AS d FROM whole),
+    nodes AS (SELECT p[1:d] AS p, d, min(c) AS conv_id, count(*) AS n, any_value(CASE WHEN d > 0 THEN p[d].s ELSE 0 END) AS size,
+        coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '') AS ids FROM steps GROUP BY 1, 2),
+    kids AS (SELECT p[1:d-1] AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+    told AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN kids ON kids.p = n.p),
+    sums AS (SELECT p[1:e] AS p, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * size) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM told) GROUP BY 1)
+    SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n AS n_convs, t.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+        CAST(saved AS BIGINT) AS saved_tokens, sha256(t.ids) AS ends_sha256
+    FROM told t JOIN sums ON sums.p = t.p LEFT JOIN nodes u ON u.d = t.d - 1 AND u.p = t.p[1:t.d-1]"""
+
+_SPELLING_SQL = f"""WITH RECURSIVE {_CRC_TABLE},
+    runs AS (SELECT CAST(doc_id AS VARCHAR) AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    said AS (SELECT id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY 1, 2),
+    marked AS (SELECT w, n, {_crc("flatten(list_transform(string_split(id || ':' || w, ''), lambda y: CASE WHEN ord(y) < 128 THEN [CAST(ord(y) AS BIGINT)] ELSE [195, CAST(ord(y) AS BIGINT) - 64] END))")} AS h FROM said, crc),
+    spoilt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM marked),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+    cuts AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+    pairs AS (SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.i = y.i AND x.d = y.d AND x.word <> y.word
+        UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.d = w.word UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.d = w.word),
+    best AS (SELECT a, count(*) OVER (PARTITION BY a) AS k, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs JOIN words ON b = word),
+    formed AS (SELECT w.word, w.n, coalesce(k, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN b END AS form, CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n
+        FROM words w LEFT JOIN best ON a = w.word AND r = 1),
+    walk AS (SELECT word, word AS at, form AS onto FROM formed UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN formed f ON walk.onto = f.word)
+    SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk ON walk.word = f.word AND walk.onto IS NULL"""
+
 SQL: dict[str, str] = {
+    "op11_prefix_trie": _TRIE_SQL,
+    "op13_spelling_groups": _SPELLING_SQL,
     "op1_secret_scan": _secret_sql(),
     "op8_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS z FROM embeddings WHERE embedding IS NOT NULL),
         s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.z, v.z) AS BIGINT) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
