@@ -30,6 +30,8 @@ from postledger.llm.common import cut, small_batches
 CLASSES = 6
 #: Words of a piece, at most about; fewer where words are long.
 PIECE = 512
+#: Pairs of pieces whose letters are counted at a time.
+FEW = 32
 RUN = "[A-Za-zÀ-ÿ]+"
 LETTERS = [*map(ord, ascii_lowercase), *range(0xC0, 0x100)]
 #: A form occurs so many times as often as its variant.
@@ -83,7 +85,7 @@ def pieces(words: DataFrame) -> DataFrame:
 
 def _codes(side: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Of one side of a batch: row offsets, letter counts, where letters of each word begin, words, letters."""
-    ends = np.diff(side.offsets.to_numpy(), prepend=0)[1:]
+    ends = np.diff(side.offsets.to_numpy())
     flat = side.flatten()
     words = flat.field("word").to_pylist()
     letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -107,7 +109,7 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(s, FEW) for whole in batches for s in range(0, whole.num_rows, FEW)):
         sides = [b.column(k) for k in (0, 1)]
         (ra, ca, la, wa, ta), (rb, cb, lb, wb, tb) = map(_codes, sides)
         na, nb = (s.flatten().field("n").to_numpy() for s in sides)
