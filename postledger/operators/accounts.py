@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.operators import search
+from postledger.sources import store
 
 
 def purge_expired(checks: DataFrame, reports: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -41,44 +42,72 @@ def daily_events(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("ts").alias("day"), "name").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-def alerts(searches: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+def _keys_of_searches(open_: DataFrame, fresh: DataFrame, asked: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """search_id, key: by which an open search meets jobs, one for each day since its last notice."""
+    days = F.sequence(F.to_date("since"), F.greatest(F.to_date(now), F.to_date("since")))
+    dated = lambda rows: rows.select("search_id", F.explode(F.transform(days, lambda d: F.concat_ws("|", "kind", d.cast("string")))).alias("key"))
+    key = lambda kind, c: F.concat(F.lit(kind), c)
+    rare = search.rarest_terms(asked, found)
+    by_word = open_.join(rare, "search_id").where("term IS NOT NULL").withColumn("kind", key("w", F.col("term")))
+    # without a text query, or with one of which a side wants no word
+    rest = open_.join(rare.where("term IS NULL"), "search_id", "left_semi").unionByName(open_.where("q IS NULL"))
+    places = search.matching_cities(rest.select(F.col("city").alias("needle")), fresh)
+    by_city = rest.where("city IS NOT NULL").join(places.select(F.col("needle").alias("city"), F.col("city").alias("place")), "city").withColumn("kind", key("c", F.col("place")))
+    other = F.coalesce(key("p", F.col("province")), key("r", F.col("remote_type")), F.lit("d"))
+    by_other = rest.where("city IS NULL").withColumn("kind", other)
+    return dated(by_word).unionByName(dated(by_city)).unionByName(dated(by_other)).distinct()
+
+
+def _keys_of_jobs(fresh: DataFrame, wanted: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """job_id, key: the words that some search is keyed by, city, province, arrangement and day."""
+    day = F.least(F.to_date("first_seen"), F.to_date(now)).cast("string")
+    key = lambda kind, c: F.concat_ws("|", F.concat(F.lit(kind), c), day)
+    own = F.array(*(F.when(F.col(c).isNotNull(), key(k, F.col(c))) for k, c in (("c", "city"), ("p", "province"), ("r", "remote_type"))), key("d", F.lit("")))
+    by_own = fresh.select("job_id", F.explode(F.array_compact(own)).alias("key"))
+    by_word = found.join(fresh.select("job_id", "first_seen"), "job_id").select("job_id", key("w", F.col("term")).alias("key")).distinct()
+    return by_own.unionByName(by_word).join(wanted.select("key").distinct(), "key", "left_semi")
+
+
+def alerts(searches: DataFrame, jobs: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """search_id, job_id: the new jobs of each valid saved search; a filter that is not set holds for every job.
 
     searches: search_id, valid, last_notified_at, created_at and the columns
     of search.parse_filters; jobs: job_id, first_seen, last_verified,
     expired_at, employer_name, city, province, remote_type, employment_type,
-    status, source_types (array) and salary_top (annual). A search meets jobs
-    by its most selective filter: the cities that contain its own, else
-    province, else arrangement, else the days since its last notice, so that
-    only new jobs meet it.
+    status, source_types (array) and salary_top (annual); found: terms of the
+    jobs (search.terms), best from a written index.
+
+    Stored text queries are indexed by the rarest wanted term of each of their
+    conjunctions, and jobs meet them by their terms; a search without a wanted
+    term meets jobs by the cities that contain its own, else province, else
+    arrangement. Every key carries the day, so that only jobs since the last
+    notice meet a search. Whole filters, phrases and absent words are then
+    held against each pair.
     """
-    since = F.coalesce("last_notified_at", "created_at")
-    open_ = searches.where("valid").withColumn("since", since)
+    # what several steps below read is written once
+    open_ = store.write(searches.where("valid").withColumn("since", F.coalesce("last_notified_at", "created_at")))
     first = open_.agg(F.min("since").alias("first"))  # one row
-    fresh = jobs.where("expired_at IS NULL").join(F.broadcast(first), F.col("first_seen") >= F.col("first"), "left_semi")
-    places = search.matching_cities(open_.select(F.col("city").alias("needle")), fresh)
-    key = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
-    by_city = open_.where("city IS NOT NULL").join(places.select(F.col("needle").alias("city"), F.col("city").alias("place")), "city").withColumn("key", key("c", F.col("place"))).drop("place")
-    rest = open_.where("city IS NULL")
-    exact = rest.where("province IS NOT NULL OR remote_type IS NOT NULL").withColumn("key", F.coalesce(key("p", F.col("province")), key("r", F.col("remote_type"))))
-    days = F.sequence(F.to_date("since"), F.greatest(F.to_date(now), F.to_date("since")))
-    by_day = rest.where("province IS NULL AND remote_type IS NULL").withColumn("key", F.explode(F.transform(days, lambda d: key("d", d))))
-    s = by_city.unionByName(exact).unionByName(by_day).alias("s")
-    keyed = fresh.withColumn(
-        "key", F.explode(F.array_compact(F.array(key("c", F.col("city")), key("p", F.col("province")), key("r", F.col("remote_type")), key("d", F.least(F.to_date("first_seen"), F.to_date(now))))))
-    )
-    j = keyed.alias("j")
+    fresh = store.write(jobs.where("expired_at IS NULL").join(F.broadcast(first), F.col("first_seen") >= F.col("first"), "left_semi"))
+    places = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+    found = store.write(found.join(fresh.select("job_id"), "job_id", "left_semi").groupBy("job_id", "term").agg(places))
+    asked = store.write(search.query_terms(open_, "search_id"))
+    keyed = store.write(_keys_of_searches(open_, fresh, asked, found, now))
+    pairs = keyed.join(_keys_of_jobs(fresh, keyed, found, now), "key").select("search_id", "job_id").distinct()
     within = lambda at, n: F.col(n).isNull() | (F.col(at) >= now - F.make_dt_interval(F.col(n)))
     equal = lambda n: F.col(f"s.{n}").isNull() | (F.col(f"s.{n}") == F.col(f"j.{n}"))
     holds = (
         (F.col("j.first_seen") >= F.col("s.since"))
         & equal("province") & equal("remote_type") & equal("employment_type") & equal("status")
         & (F.col("s.employer").isNull() | F.contains(F.lower("j.employer_name"), F.lower("s.employer")))
+        & (F.col("s.city").isNull() | F.contains(F.lower("j.city"), F.lower("s.city")))
         & within("j.first_seen", "s.posted_within_days") & within("j.last_verified", "s.confirmed_within_days")
         & (F.col("s.source_type").isNull() | F.array_contains("j.source_types", F.col("s.source_type")))
         & (F.col("s.salary_min").isNull() | (F.col("j.salary_top") >= F.col("s.salary_min")))
     )
-    return s.join(j, F.col("s.key") == F.col("j.key")).where(holds).select("s.search_id", "j.job_id")
+    s, j = open_.alias("s"), fresh.alias("j")
+    met = pairs.join(s, "search_id").join(j, "job_id").where(holds).select("search_id", "job_id", F.col("s.q").alias("q"))
+    texts = search.matching_pairs(met.where("q IS NOT NULL").select("search_id", "job_id"), asked, found)
+    return met.where("q IS NULL").select("search_id", "job_id").unionByName(texts)
 
 
 def notifications(searches: DataFrame, found: DataFrame, jobs: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +123,12 @@ def notifications(searches: DataFrame, found: DataFrame, jobs: DataFrame, now: C
         F.concat("title", F.lit(" at "), "employer_name", F.coalesce(F.concat(F.lit(" · "), "city"), F.lit(""))).alias("body"),
         F.concat(F.lit("/jobs/"), F.col("job_id").cast("string")).alias("link"),
     )
-    return made, searches.withColumn("last_notified_at", F.when(F.col("valid"), now).otherwise(F.col("last_notified_at")))
+    return made, advance(searches, now)
+
+
+def advance(searches: DataFrame, now: Column) -> DataFrame:
+    """Searches with their last notice moved on where they were valid, whether or not a job met them."""
+    return searches.withColumn("last_notified_at", F.when(F.col("valid"), now).otherwise(F.col("last_notified_at")))
 
 
 def health(jobs: DataFrame, records: DataFrame, salaries: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:

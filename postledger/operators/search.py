@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postledger.functions import pay, text
+from postledger.functions import pay, stems
+from postledger.sources import store
 
 PAGE = 20
 # Allowed values of a filter set.
@@ -136,74 +137,139 @@ def matching_cities(needles: DataFrame, cities: DataFrame) -> DataFrame:
 
 CLASS_WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 DESCRIPTION_CHARACTERS = 20_000
+#: Parts of a written index; a query reads those of its own terms.
+BUCKETS = 64
+WORD = r"[\p{L}\p{N}]+"
 
 
-def terms(docs: DataFrame, fields: dict[str, Column], words=text.tokens) -> DataFrame:
-    """Every word of a job's fields: term, class, pos, job_id. fields: text by class A to D."""
+def words(c: Column) -> Column:
+    """Lower-case runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
-    def placed(k: str, c: Column) -> Column:
-        found = F.transform(words(c), lambda w, i: F.struct(F.lit(k).alias("class"), w.alias("term"), i.alias("pos")))
-        return F.coalesce(found, F.array().cast("array<struct<class:string,term:string,pos:int>>"))
 
-    parts = [placed(k, c) for k, c in fields.items()]
-    return docs.select("job_id", F.explode(F.concat(*parts)).alias("t")).select("t.term", "job_id", "t.class", "t.pos")
+def terms(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Stems of a job's fields, by class A to D: job_id, class, term, positions (array, ascending).
+
+    Stop words have a place but no row. The places of a class follow the last
+    kept word of the class before it, so that a phrase may run on from field to
+    field, as it does in one weighted document.
+    """
+
+    def kept(k: str, c: Column) -> Column:
+        placed = F.transform(F.coalesce(words(c), F.array().cast("array<string>")), lambda w, i: F.struct(F.lit(k).alias("class"), w.alias("word"), i.alias("at")))
+        return F.filter(placed, lambda x: ~stems.is_stop(x["word"])).alias(k)
+
+    def moved(k: str, start: Column) -> Column:
+        return F.transform(F.col(k), lambda x: F.struct(x["class"].alias("class"), x["word"].alias("word"), (x["at"] + start).alias("at")))
+
+    rows = docs.select("job_id", *(kept(k, c) for k, c in fields.items()))
+    start, placed = F.lit(0), []
+    for k in fields:
+        placed.append(moved(k, start))
+        start = start + F.coalesce(F.try_element_at(F.col(k), F.lit(-1))["at"] + 1, F.lit(0))
+    found = rows.select("job_id", F.explode(F.concat(*placed)).alias("t")).groupBy("job_id", "t.class", "t.word").agg(F.collect_list("t.at").alias("at"))
+    # every different word is stemmed once; words of one stem meet again
+    return found.join(stems.stems_of(found), "word").groupBy("job_id", "class", "term").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("positions"))
+
+
+def bucket(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
+
+
+def write_index(found: DataFrame) -> DataFrame:
+    """The inverted index of terms, written in BUCKETS parts by hash of the term, rows of a term together; read again lazily."""
+    placed = found.select(bucket(F.col("term")).alias("bucket"), "term", "job_id", "class", "positions", F.size("positions").cast("long").alias("tf"))
+    # a very frequent term is dealt over several files, by job
+    dealt = placed.repartition("bucket", F.pmod(F.xxhash64("job_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "job_id")
+    return store.write(dealt, "bucket")
+
+
+def of_terms(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of some terms; only their parts of a written index are read."""
+    parts = sorted({zlib.crc32(t.encode()) % BUCKETS for t in wanted})
+    return index.where(F.col("bucket").isin(*parts) & F.col("term").isin(*wanted))
+
+
+def query_terms(queries: DataFrame, *keys: str) -> DataFrame:
+    """Terms of web-style queries (column q): keys, conj, run, need, neg, i, term.
+
+    Words and "phrases" are runs; - before a run asks that it be absent; `or`
+    between runs parts conjunctions, of which one must hold. Stop words keep
+    their place within a run but are not asked for; what is left empty goes.
+    """
+    pattern = F.lit('(-?)(?:"([^"]*)"|(\\S+))')
+    part = lambda k: F.regexp_extract_all(F.lower("q"), pattern, F.lit(k))
+    items = F.arrays_zip(part(1).alias("sign"), part(2).alias("quoted"), part(3).alias("plain"))
+    one = queries.where("q IS NOT NULL").select(*keys, F.posexplode(items).alias("run", "x"))
+    either = (F.col("x.plain") == "or") & (F.col("x.sign") == "")
+    before = Window.partitionBy(*keys).orderBy("run")  # a query has 200 characters at most
+    conj = one.withColumn("conj", F.sum(either.cast("int")).over(before)).where(~either)
+    runs = conj.select(*keys, "conj", "run", (F.col("x.sign") == "-").alias("neg"), F.posexplode(words(F.concat("x.quoted", "x.plain"))).alias("i", "word"))
+    kept = runs.where(~stems.is_stop(F.col("word")))
+    return kept.join(stems.stems_of(kept), "word").withColumn("need", F.count("*").over(Window.partitionBy(*keys, "run"))).select(*keys, "conj", "run", "need", "neg", "i", "term")
+
+
+def conjunctions(asked: DataFrame, *keys: str) -> DataFrame:
+    """keys, conj, wanted: how many runs each conjunction wants; 0 where it only asks that runs be absent."""
+    return asked.groupBy(*keys, "conj").agg(F.count_distinct(F.when(~F.col("neg"), F.col("run"))).alias("wanted"))
 
 
-def index_terms(found: DataFrame) -> DataFrame:
-    """Inverted index: term, class of the field, how often, by job."""
-    return found.groupBy("term", "job_id", "class").agg(F.count("*").alias("tf"))
+def whole_runs(met: DataFrame, *keys: str) -> DataFrame:
+    """keys, conj, has (wanted runs found), unwanted (how many of the others): of rows with run, need, neg, i and positions."""
+    begins = met.select(*keys, "conj", "run", "need", "neg", "i", F.explode("positions").alias("at")).withColumn("at", F.col("at") - F.col("i"))
+    whole = begins.groupBy(*keys, "conj", "run", "need", "neg", "at").agg(F.count_distinct("i").alias("n")).where("n = need")
+    return whole.groupBy(*keys, "conj").agg(F.count_distinct(F.when(~F.col("neg"), F.col("run"))).alias("has"), F.count_if("neg").alias("unwanted"))
 
 
-def query_groups(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
-    """Wanted groups (each a list of alternatives, each a list of words that follow each other) and unwanted ones, of a web-style query."""
-    wanted: list[list[list[str]]] = []
-    unwanted: list[list[str]] = []
-    either = False
-    for sign, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
-        words = re.findall(r"[a-z0-9$]+", quoted or plain)
-        if plain == "or" and not sign:
-            either = bool(wanted)
-        elif words and sign:
-            unwanted.append(words)
-        elif words and either:
-            wanted[-1].append(words)
-            either = False
-        elif words:
-            wanted.append([words])
-    return wanted, unwanted
+def _one(spark: SparkSession, query: str) -> tuple[DataFrame, list[str], list[int]]:
+    """Terms of a single query, the same as a list, and its conjunctions that want nothing."""
+    asked = query_terms(spark.createDataFrame([(query,)], "q string"))
+    rows = asked.collect()  # at most 200 characters' words
+    wanting = {r["conj"] for r in rows if not r["neg"]}
+    return spark.createDataFrame(rows, asked.schema), sorted({r["term"] for r in rows}), sorted({r["conj"] for r in rows} - wanting)
 
 
-def match(found: DataFrame, query: str) -> DataFrame:
-    """job_id of the jobs that a web-style query matches: words by AND, `or`, "phrases" and -words.
+def match(index: DataFrame, query: str, jobs: DataFrame | None = None) -> DataFrame:
+    """job_id of the jobs that a web-style query matches, by the rows of its own terms.
 
-    Only the rows of the query's own words are read; words that follow each
-    other agree in where they begin. One aggregate a job decides.
+    jobs (job_id) is needed for queries of which one side only asks that words be absent.
     """
-    wanted, unwanted = query_groups(query)
-    runs = [run for group in wanted for run in group] + unwanted
-    tagged = [F.when(F.col("term") == w, F.struct(F.lit(r).alias("run"), (F.col("pos") - i).alias("at"), F.lit(i).alias("i"))) for r, run in enumerate(runs) for i, w in enumerate(run)]
-    rows = found.where(F.col("term").isin(*{w for run in runs for w in run})).select("job_id", "class", F.explode(F.array_compact(F.array(*tagged))).alias("t")).select("job_id", "class", "t.*")
-    need = F.element_at(F.array(*(F.lit(len(run)) for run in runs)), F.col("run") + 1)
-    whole = rows.groupBy("job_id", "run", "class", "at").agg(F.count_distinct("i").alias("n")).where(F.col("n") == need)
-    has = whole.groupBy("job_id").agg(F.collect_set("run").alias("runs"))
-    out, at = F.lit(True), 0
-    for group in wanted:
-        out = out & F.arrays_overlap("runs", F.array(*(F.lit(at + k) for k in range(len(group)))))
-        at += len(group)
-    for k in range(len(unwanted)):
-        out = out & ~F.array_contains("runs", at + k)
-    return has.where(out).select("job_id")
-
-
-def rank(index: DataFrame, words: list[str]) -> DataFrame:
-    """Jobs that hold every word, by the sum of class weight times tf / (tf + 1)."""
+    asked, wanted, absent_only = _one(index.sparkSession, query)
+    met = of_terms(index, wanted).join(F.broadcast(asked), "term")  # the terms of one query
+    runs = whole_runs(met, "job_id")
+    need = F.broadcast(conjunctions(asked))
+    out = runs.join(need, "conj").where("has = wanted AND wanted > 0 AND unwanted = 0").select("job_id")
+    for conj in absent_only:
+        if jobs is None:
+            raise ValueError(f"{query!r} asks for jobs without some words: hand in all jobs")
+        out = out.unionByName(jobs.select("job_id").join(runs.where((F.col("conj") == conj) & (F.col("unwanted") > 0)), "job_id", "left_anti"))
+    return out.distinct()
+
+
+def matching_pairs(pairs: DataFrame, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Of pairs (search_id, job_id), each once, those where the job meets the search's text query."""
+    sides = pairs.join(conjunctions(asked, "search_id"), "search_id")
+    met = pairs.join(asked, "search_id").join(found.select("job_id", "term", "positions"), ["job_id", "term"])
+    runs = whole_runs(met, "search_id", "job_id")
+    held = F.coalesce("has", F.lit(0)) == F.col("wanted")
+    return sides.join(runs, ["search_id", "job_id", "conj"], "left").where(held & (F.coalesce("unwanted", F.lit(0)) == 0)).select("search_id", "job_id").distinct()
+
+
+def rarest_terms(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """search_id, term: of each conjunction its wanted term that the fewest jobs hold; term is null where it wants none."""
+    held = found.join(asked.where("NOT neg").select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("job_id").alias("jobs"))
+    known = asked.join(held, "term", "left").withColumn("jobs", F.coalesce("jobs", F.lit(0)))
+    least = F.min(F.when(~F.col("neg"), F.struct("jobs", "term")))
+    return known.groupBy("search_id", "conj").agg(least.alias("least")).select("search_id", F.col("least.term").alias("term")).distinct()
+
+
+def rank(index: DataFrame, query: str) -> DataFrame:
+    """Jobs that the query matches, by the sum of class weight times tf / (tf + 1) of its wanted terms."""
+    asked, wanted, _ = _one(index.sparkSession, query)
+    terms_wanted = asked.where("NOT neg").select("term").distinct()
     weight = F.lit(0.0)
     for k, v in CLASS_WEIGHT.items():
         weight = F.when(F.col("class") == k, v).otherwise(weight)
-    return (
-        index.where(F.col("term").isin(*words))
-        .groupBy("job_id")
-        .agg(F.count_distinct("term").alias("hits"), F.sum(weight * F.col("tf") / (F.col("tf") + 1)).alias("score"))
-        .where(F.col("hits") == len(set(words)))
-        .select("job_id", "score")
-    )
+    score = F.sum(weight * F.col("tf") / (F.col("tf") + 1)).alias("score")
+    rows = of_terms(index, wanted).join(F.broadcast(terms_wanted), "term")  # the terms of one query
+    return rows.groupBy("job_id").agg(score).join(match(index, query), "job_id", "left_semi")

@@ -57,6 +57,9 @@ VIEWS = {
     "b_case": """SELECT j.job_id, j.employer_id, j.city, j.province, j.first_seen, j.price, j.identity, j.remote_type, j.priority, j.last_verified, j.last_seen, j.expired_at,
         f.employer_name, f.identity_text, f.identity_url, f.identity_at, a.apply_url, a.text
         FROM b_job j JOIN b_firm f ON j.employer_id = f.employer_id JOIN b_ad a ON j.job_id = a.job_id""",
+    "b_advert": """SELECT a.job_id, substring(o_orderpriority, 3) || ' ' || coalesce(p_type, '') AS title, p_name AS skills, n_name AS city, r_name AS province, coalesce(d.text, a.text) AS description
+        FROM b_ad a JOIN orders ON o_orderkey = a.job_id JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        LEFT JOIN documents d ON d.doc_id = a.job_id LEFT JOIN part ON p_partkey = a.job_id""",
     "b_override": "SELECT job_id, CASE WHEN job_id % 2 = 0 THEN 'VERIFIED' ELSE 'HIGH_RISK' END AS override_status FROM b_order WHERE job_id % 97 = 0",
     "b_open": "SELECT job_id FROM b_order WHERE job_id % 41 = 1",
     "b_posting": """SELECT o_orderkey AS posting_id, o_custkey AS employer_id, o_orderkey % 7 AS source_id, 'r' || CAST(o_orderkey AS STRING) AS external_ref,
@@ -85,8 +88,11 @@ VIEWS = {
         CASE WHEN c_custkey % 5 < 2 THEN substring(r_name, 1, 2) END AS f_province, CASE WHEN c_custkey % 3 = 0 THEN 'REMOTE' WHEN c_custkey % 11 = 1 THEN 'MARS' END AS f_remote,
         CASE WHEN c_custkey % 6 = 0 THEN 'Firm ' || CAST(c_custkey % 5 AS STRING) END AS f_employer, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 60 AS STRING) END AS f_posted,
         CASE WHEN c_custkey % 9 = 0 THEN CAST(100000 + c_custkey AS STRING) END AS f_salary,
+        CASE c_custkey % 8 WHEN 0 THEN 'messaging Telegrams' WHEN 1 THEN '"training fees" or deposits -' || split_part(d.text, ' ', 4) WHEN 2 THEN split_part(d.text, ' ', 2) || ' or ' || split_part(d.text, ' ', 5)
+            WHEN 3 THEN '"' || split_part(d.text, ' ', 3) || ' ' || split_part(d.text, ' ', 4) || ' ' || split_part(d.text, ' ', 5) || '" or "good teams" -telegram or widget'
+            WHEN 4 THEN '-team -the' WHEN 5 THEN 'the and of' WHEN 6 THEN p_name || ' or starter-kit' END AS f_q,
         CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1998-06-20 00:00:00' END AS last_notified_at, TIMESTAMP '1998-06-10 00:00:00' AS created_at
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN documents d ON d.doc_id = c_custkey LEFT JOIN part ON p_partkey = c_custkey""",
     "b_employer": f"""SELECT c_custkey AS employer_id, c_name || ' Inc.' AS name, CASE c_custkey % 3 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'PROBABLE' ELSE 'CONFIRMED' END AS identity,
         CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 < 4 THEN {_TS} - INTERVAL 6 HOUR ELSE {_TS} - INTERVAL 2 DAY END AS identity_checked_at,
         CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN {_TS} - INTERVAL 40 DAY ELSE {_TS} - INTERVAL 10 DAY END AS proof_at FROM customer""",
@@ -122,8 +128,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **args)
 
 
-def with_views(sql: str) -> str:
-    """The same tables as common table expressions before a DuckDB statement."""
+def with_views(sql: str, tables: str = "") -> str:
+    """The same tables as common table expressions before further ones and a DuckDB statement."""
     need: list[str] = []
 
     def add(text: str) -> None:
@@ -133,5 +139,6 @@ def with_views(sql: str) -> str:
                 if v not in need:
                     need.append(v)
 
-    add(sql)
-    return ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in need) + " " if need else "") + sql
+    add(f"{sql} {tables}")
+    parts = [f"{v} AS ({VIEWS[v]})" for v in need] + [tables] * bool(tables)
+    return ("WITH " + ", ".join(parts) + " " if parts else "") + sql

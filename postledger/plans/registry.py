@@ -18,13 +18,13 @@ def now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def query(sql: str | None = None):
-    """Register a query by its function's name, with the DuckDB SQL that answers it over the same views."""
+def query(sql: str | None = None, tables: str = ""):
+    """Register a query by its function's name, with the DuckDB SQL that answers it over the same views and further tables (common table expressions)."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_views(sql)
+            SQL[f.__name__] = with_views(sql, tables)
         return f
 
     return register
