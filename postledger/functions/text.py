@@ -36,7 +36,11 @@ VACANCY = (
     r"(?iu)[^.\n]*(?<![A-Za-z0-9_])(existing vacancy|existing position|current vacancy|currently vacant|pool of (candidates|applicants)"
     r"|future (openings|opportunities|vacancies)|talent (pool|community)|poste vacant|vacance existante|poste existant)(?![A-Za-z0-9_])[^.\n]*\.?"
 )
-POOL = r"(?iu)pool of|future (openings|opportunities|vacancies)|talent (pool|community)|not (for )?an existing"
+# Fixed value: a vacancy statement that speaks of no existing vacancy.
+NOT_EXISTING = (
+    r"(?iu)(?<![A-Za-z0-9_])(not(?![A-Za-z0-9_]).{0,20}(?<![A-Za-z0-9_])existing vacancy|pool|future (openings|opportunities|vacancies)"
+    r"|n['’]est pas(?![A-Za-z0-9_]).{0,30}(?<![A-Za-z0-9_])vacant)(?![A-Za-z0-9_])"
+)
 # Fixed value: sentences of boards that say nothing of the job.
 BOILERPLATE = r"(?i)this is a fictional demo posting\.?|posted via [^.\n]+\(demo\)\.?"
 # \b knows letters of any script in Java's Unicode mode, so word ends are written out.

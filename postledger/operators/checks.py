@@ -84,7 +84,7 @@ def verify(checks: DataFrame, matches: DataFrame, jobs: DataFrame, records: Data
     nobody = subject.select(none.cast("long").alias("report_id"), none.cast("long").alias("user_id"), "job_id", F.lit("DISMISSED").alias("status"))
     board = strong.select(F.col("check_id").alias("job_id"), F.col("last_verified").alias("checked_at"))
     found = signals.compute(subject, lent, known, pasted_pay, nobody, domains, now, board)
-    return found.withColumnRenamed("job_id", "check_id"), signals.status(subject, found).withColumnRenamed("job_id", "check_id")
+    return found.withColumnRenamed("job_id", "check_id"), signals.status(subject, found, records=lent).withColumnRenamed("job_id", "check_id")
 
 
 def outcome(checks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postledger.functions import pay, text, urls
@@ -17,6 +17,17 @@ WEIGHTS = {
 }
 SCAM = ("UPFRONT_PAYMENT_REQUEST", "OFF_PLATFORM_CONTACT", "LOOKALIKE_DOMAIN", "APPLY_URL_MISMATCH")
 CONFIRMED_HOURS, STALE_DAYS, REPORTERS = 72, 14, 3
+# The status rules in their order; of each group of facts one must hold.
+RULES = [
+    ("R0", None, [["OVERRIDDEN"]]),
+    ("R1", "EXPIRED", [["JOB_EXPIRED", "ALL_RECORDS_EXPIRED"]]),
+    ("R2", "HIGH_RISK", [["TWO_SCAM_SIGNALS"]]),
+    ("R3", "REVIEW_REQUIRED", [["ONE_SCAM_SIGNAL", "USER_REPORTS", "SALARY_CONFLICT", "OPEN_CLUSTER"]]),
+    ("R4", "STALE", [["STALE"]]),
+    ("R5", "VERIFIED", [["NOTHING_NEGATIVE"], ["ON_EMPLOYER_ATS"], ["EMPLOYER_IDENTITY_CONFIRMED"], ["RECENTLY_CONFIRMED_LIVE"]]),
+    ("R6", "PARTIALLY_VERIFIED", [["NOTHING_NEGATIVE"], ["ON_EMPLOYER_ATS", "EMPLOYER_IDENTITY_CONFIRMED"]]),
+    ("R7", "UNVERIFIED", []),
+]
 
 
 def distinct_reporters(reports: DataFrame) -> DataFrame:
@@ -108,10 +119,10 @@ def link_facts(jobs: DataFrame, domains: DataFrame) -> DataFrame:
     return linked.join(lookalikes(linked.select("host").distinct(), domains), "host", "left").select("job_id", "host", "own_domain", "has_domain", "imitates")
 
 
-def _signal(code: str, when: Column, says: Column, at: Column, url: Column | None = None, source: Column | None = None, weight: Column | None = None) -> Column:
-    """Struct of one signal where its condition holds, else null."""
-    value = F.lit(WEIGHTS[code]) if weight is None else weight
-    polarity = F.when(value > 0, "POSITIVE").when(value < 0, "NEGATIVE").otherwise("NEUTRAL")
+def _signal(code: str, when: Column, says: Column, at: Column, url: Column | None = None, source: Column | None = None, polarity: Column | None = None) -> Column:
+    """Struct of one signal where its condition holds, else null; its weight's sign is its polarity unless one is given."""
+    value = F.lit(WEIGHTS[code])
+    polarity = F.lit("POSITIVE" if WEIGHTS[code] > 0 else "NEGATIVE") if polarity is None else polarity
     none = F.lit(None).cast("string")
     return F.when(
         when,
@@ -147,14 +158,14 @@ def text_parts(now: Column) -> list[Column]:
     kind = F.when(own, ", a domain of the employer.").when(urls.is_hiring_system(host), ", a common hiring system.").otherwise(", a public job board.")
     to, url = _said("Applications go to ", host), F.col("apply_url")
     elsewhere, money, vacancy = F.col("elsewhere"), F.col("money"), F.col("vacancy")
-    open_pool = F.when(vacancy.rlike(text.POOL), 0).otherwise(WEIGHTS["VACANCY_STATUS_DISCLOSED"])
+    existing = F.when(~vacancy.rlike(text.NOT_EXISTING), "POSITIVE").otherwise("NEUTRAL")
     return [
         _signal("LOOKALIKE_DOMAIN", linked & fake, _said(to, ", which resembles ", F.col("imitates"), "."), now, url),
         _signal("APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS", linked & ~fake & (own | known), _said(to, kind), now, url),
         _signal("APPLY_URL_MISMATCH", linked & ~fake & ~own & ~known & F.col("has_domain").isNotNull(), _said(to, ", neither a domain of ", F.col("employer_name"), " nor a known hiring system."), now, url),
         _signal("OFF_PLATFORM_CONTACT", elsewhere.isNotNull(), _said("“", elsewhere, "”"), now),
         _signal("UPFRONT_PAYMENT_REQUEST", money.isNotNull(), _said("“", money, "”"), now),
-        _signal("VACANCY_STATUS_DISCLOSED", vacancy.isNotNull(), _said("“", vacancy, "”"), now, weight=open_pool),
+        _signal("VACANCY_STATUS_DISCLOSED", vacancy.isNotNull(), _said("“", vacancy, "”"), now, polarity=existing),
     ]
 
 
@@ -208,37 +219,64 @@ def compute(jobs: DataFrame, records: DataFrame, sources: DataFrame, salaries: D
     return _long(parts, wide)
 
 
-def status(jobs: DataFrame, signals: DataFrame, overrides: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
-    """job_id, status, rule: the first rule that matches.
+def signal_catalog(spark: SparkSession) -> DataFrame:
+    """code, weight, polarity, scam: the fifteen signals as rows."""
+    rows = [(c, w, "POSITIVE" if w > 0 else "NEGATIVE", c in SCAM) for c, w in WEIGHTS.items()]
+    return spark.createDataFrame(rows, "code string, weight int, polarity string, scam boolean")
+
+
+def rule_catalog(spark: SparkSession) -> DataFrame:
+    """place, rule, status (null: as overridden), all_of: groups of facts, of each of which one must hold."""
+    return spark.createDataFrame([(i, r, s, groups) for i, (r, s, groups) in enumerate(RULES)], "place int, rule string, status string, all_of array<array<string>>")
+
+
+def threshold_catalog(spark: SparkSession) -> DataFrame:
+    """name, value of each threshold."""
+    return spark.createDataFrame([("confirmed_hours", CONFIRMED_HOURS), ("stale_days", STALE_DAYS), ("reporters", REPORTERS)], "name string, value int")
+
+
+def facts(jobs: DataFrame, signals: DataFrame, overrides: DataFrame | None = None, clusters: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """job_id, override_status, facts: what rules may ask of a job, as the codes of its signals and a few more names.
 
     jobs: job_id, expired_at; overrides: job_id, override_status; clusters:
-    job_id of jobs with an open duplicate cluster.
+    job_id of jobs with an open duplicate cluster; records: job_id, expired_at.
     """
-    has = lambda c: F.max(F.when(F.col("code") == c, 1).otherwise(0)).alias(c)
-    wide = signals.groupBy("job_id").agg(
-        F.count_if(F.col("code").isin(*SCAM)).alias("scam"),
-        F.count_if(F.col("weight") < 0).alias("negative"),
-        *(has(c) for c in ("USER_REPORTS", "SALARY_CONFLICT", "STALE", "ON_EMPLOYER_ATS", "EMPLOYER_IDENTITY_CONFIRMED", "RECENTLY_CONFIRMED_LIVE")),
+    told = signals.groupBy("job_id").agg(
+        F.collect_set("code").alias("codes"), F.count_if(F.col("code").isin(*SCAM)).alias("scam"), F.count_if(F.col("polarity") == "NEGATIVE").alias("negative")
     )
-    j = jobs.join(wide, "job_id", "left").fillna(0, [c for c in wide.columns if c != "job_id"])
+    j = jobs.select("job_id", "expired_at").join(told, "job_id", "left")
     nothing = F.lit(None).cast("string")
     j = j.withColumn("override_status", nothing) if overrides is None else j.join(overrides.where("override_status IS NOT NULL").select("job_id", "override_status"), "job_id", "left")
-    j = j.withColumn("open_cluster", F.lit(False)) if clusters is None else j.join(clusters.select("job_id").distinct().withColumn("open_cluster", F.lit(True)), "job_id", "left")
-    is_ = lambda c: F.col(c) == 1
-    clean = F.col("negative") == 0
-    rules = [
-        (F.col("override_status").isNotNull(), F.col("override_status"), "R0"),
-        (F.col("expired_at").isNotNull(), F.lit("EXPIRED"), "R1"),
-        (F.col("scam") >= 2, F.lit("HIGH_RISK"), "R2"),
-        ((F.col("scam") == 1) | is_("USER_REPORTS") | is_("SALARY_CONFLICT") | F.coalesce("open_cluster", F.lit(False)), F.lit("REVIEW_REQUIRED"), "R3"),
-        (is_("STALE"), F.lit("STALE"), "R4"),
-        (clean & is_("ON_EMPLOYER_ATS") & is_("EMPLOYER_IDENTITY_CONFIRMED") & is_("RECENTLY_CONFIRMED_LIVE"), F.lit("VERIFIED"), "R5"),
-        (clean & (is_("ON_EMPLOYER_ATS") | is_("EMPLOYER_IDENTITY_CONFIRMED")), F.lit("PARTIALLY_VERIFIED"), "R6"),
-    ]
-    rule, name = F.lit("R7"), F.lit("UNVERIFIED")
-    for when, status_, r in reversed(rules):
-        rule, name = F.when(when, r).otherwise(rule), F.when(when, status_).otherwise(name)
-    return j.select("job_id", name.alias("status"), rule.alias("rule"))
+    j = j.withColumn("open_cluster", F.lit(None).cast("boolean")) if clusters is None else j.join(clusters.select("job_id").distinct().withColumn("open_cluster", F.lit(True)), "job_id", "left")
+    gone = None if records is None else records.groupBy("job_id").agg(F.every(F.col("expired_at").isNotNull()).alias("gone"))
+    j = j.withColumn("gone", F.lit(None).cast("boolean")) if gone is None else j.join(gone, "job_id", "left")
+    named = {
+        "OVERRIDDEN": F.col("override_status").isNotNull(),
+        "JOB_EXPIRED": F.col("expired_at").isNotNull(),
+        "ALL_RECORDS_EXPIRED": F.col("gone"),
+        "TWO_SCAM_SIGNALS": F.col("scam") >= 2,
+        "ONE_SCAM_SIGNAL": F.col("scam") == 1,
+        "OPEN_CLUSTER": F.col("open_cluster"),
+        "NOTHING_NEGATIVE": F.coalesce("negative", F.lit(0)) == 0,
+    }
+    held = F.array_compact(F.array(*(F.when(c, n) for n, c in named.items())))
+    return j.select("job_id", "override_status", F.concat(F.coalesce("codes", F.array().cast("array<string>")), held).alias("facts"))
+
+
+def status(
+    jobs: DataFrame, signals: DataFrame, overrides: DataFrame | None = None, clusters: DataFrame | None = None, records: DataFrame | None = None, rules: DataFrame | None = None
+) -> DataFrame:
+    """job_id, status, rule: the first rule that matches. rules: a table like rule_catalog, of which a handful of rows is compiled; others as in facts."""
+    rules = rule_catalog(jobs.sparkSession) if rules is None else rules
+    told = facts(jobs, signals, overrides, clusters, records)
+    rule, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r in rules.orderBy(F.desc("place")).collect():  # a catalog: a row a rule
+        holds = F.lit(True)
+        for group in r["all_of"]:
+            holds = holds & F.arrays_overlap("facts", F.array(*map(F.lit, group)))
+        rule = F.when(holds, r["rule"]).otherwise(rule)
+        name = F.when(holds, F.col("override_status") if r["status"] is None else F.lit(r["status"])).otherwise(name)
+    return told.select("job_id", name.alias("status"), rule.alias("rule"))
 
 
 def history(previous: DataFrame, current: DataFrame, at: Column) -> DataFrame:

@@ -67,7 +67,7 @@ UNION ALL {_row("APPLY_URL_ON_EMPLOYER_OR_KNOWN_ATS", "'Applications go to ' ||
 UNION ALL {_row("APPLY_URL_MISMATCH", "'Applications go to ' || host || ', neither a domain of ' || employer_name || ' nor a known hiring system.'", url="apply_url")} led WHERE imitates IS NULL AND NOT (own OR ats OR public) AND has_domain
 UNION ALL {_row("OFF_PLATFORM_CONTACT", "'“' || off || '”'")} said WHERE off IS NOT NULL
 UNION ALL {_row("UPFRONT_PAYMENT_REQUEST", "'“' || pays || '”'")} said WHERE pays IS NOT NULL
-UNION ALL {_row("VACANCY_STATUS_DISCLOSED", "'“' || vacancy || '”'", weight=f"CASE WHEN regexp_matches(vacancy, {re2(text.POOL)}) THEN 0 ELSE 20 END")} said WHERE vacancy <> ''
+UNION ALL {_row("VACANCY_STATUS_DISCLOSED", "'“' || vacancy || '”'")} said WHERE vacancy <> ''
 UNION ALL {_row("RECENTLY_CONFIRMED_LIVE", "'Confirmed ' || " + _ago("last_verified") + " || '.'", "last_verified")} b_case WHERE last_verified >= {TS} - INTERVAL 72 HOUR
 UNION ALL {_row("STALE", "CASE WHEN last_verified IS NOT NULL THEN 'Confirmed ' || " + _ago("last_verified") + " || '.' ELSE 'Seen first ' || " + _ago("first_seen") + " || ' and not confirmed since.' END")} b_case
     WHERE expired_at IS NULL AND coalesce(last_verified, first_seen) < {TS} - INTERVAL 14 DAY
@@ -75,7 +75,9 @@ UNION ALL {_row("SALARY_STATED_BY_EMPLOYER", "'“' || evidence || '”'", sourc
 UNION ALL {_row("SALARY_CONFLICT", "'“' || one || '” against “' || other || '”'")} clash
 UNION ALL {_row("CONSISTENT_ACROSS_SOURCES", "'Title and place agree on ' || n || ' sources.'")} same WHERE job_id NOT IN (SELECT job_id FROM clash)
 UNION ALL {_row("USER_REPORTS", "n || ' people reported it; staff have yet to decide.'")} rep),
-kept AS (SELECT *, CASE WHEN weight > 0 THEN 'POSITIVE' WHEN weight < 0 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS polarity FROM sig WHERE job_id IN (SELECT job_id FROM b_case))
+kept AS (SELECT *, CASE WHEN code = 'VACANCY_STATUS_DISCLOSED' AND (regexp_matches(evidence_text, '(?i)\\b(pool|future (openings|opportunities|vacancies))\\b')
+    OR regexp_matches(evidence_text, '(?i)\\bnot\\b.{{0,20}}\\bexisting vacancy\\b') OR regexp_matches(evidence_text, '(?i)\\bn[''’]est pas\\b.{{0,30}}\\bvacant\\b')) THEN 'NEUTRAL'
+    WHEN weight > 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS polarity FROM sig WHERE job_id IN (SELECT job_id FROM b_case))
 """
 
 
@@ -107,13 +109,15 @@ SQL["signals_long"] = with_signals(" SELECT job_id, code, polarity, weight, evid
 @query()
 def job_status(spark, sf):
     jobs, found = case_signals(spark, sf)
-    return signals.status(jobs, found, view(spark, sf, "b_override"), view(spark, sf, "b_open"))
+    # every other job does not know that its records are gone
+    told = jobs.withColumn("expired_at", F.expr("CASE WHEN job_id % 2 = 1 THEN expired_at END"))
+    return signals.status(told, found, view(spark, sf, "b_override"), view(spark, sf, "b_open"), view(spark, sf, "b_record"))
 
 
 STATUS = """, w AS (SELECT job_id, count(*) FILTER (WHERE weight < 0) AS neg, count(*) FILTER (WHERE code IN ('UPFRONT_PAYMENT_REQUEST', 'OFF_PLATFORM_CONTACT', 'LOOKALIKE_DOMAIN', 'APPLY_URL_MISMATCH')) AS scam,
     bool_or(code = 'USER_REPORTS') AS u, bool_or(code = 'SALARY_CONFLICT') AS c, bool_or(code = 'STALE') AS s,
     bool_or(code = 'ON_EMPLOYER_ATS') AS o, bool_or(code = 'EMPLOYER_IDENTITY_CONFIRMED') AS i, bool_or(code = 'RECENTLY_CONFIRMED_LIVE') AS l FROM kept GROUP BY job_id),
-    d AS (SELECT j.job_id, override_status, CASE WHEN override_status IS NOT NULL THEN 'R0' WHEN expired_at IS NOT NULL THEN 'R1' WHEN scam >= 2 THEN 'R2'
+    d AS (SELECT j.job_id, override_status, CASE WHEN override_status IS NOT NULL THEN 'R0' WHEN expired_at IS NOT NULL OR j.job_id IN (SELECT job_id FROM b_record GROUP BY job_id HAVING bool_and(expired_at IS NOT NULL)) THEN 'R1' WHEN scam >= 2 THEN 'R2'
     WHEN scam = 1 OR u OR c OR j.job_id IN (SELECT job_id FROM b_open) THEN 'R3' WHEN s THEN 'R4' WHEN coalesce(neg, 0) = 0 AND o AND i AND l THEN 'R5'
     WHEN coalesce(neg, 0) = 0 AND (o OR i) THEN 'R6' ELSE 'R7' END AS rule FROM b_case j LEFT JOIN w ON j.job_id = w.job_id LEFT JOIN b_override v ON v.job_id = j.job_id),
     status AS (SELECT job_id, rule, CASE rule WHEN 'R0' THEN override_status WHEN 'R1' THEN 'EXPIRED' WHEN 'R2' THEN 'HIGH_RISK' WHEN 'R3' THEN 'REVIEW_REQUIRED' WHEN 'R4' THEN 'STALE' WHEN 'R5' THEN 'VERIFIED'

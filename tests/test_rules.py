@@ -225,3 +225,39 @@ def test_filter_sets(spark):
     rows = [(1, '{"city":" Toronto ","sort":"relevance"}'), (2, '{"province":"Ontario"}'), (3, '{"salaryMin":"-3"}'), (4, "no json"), (5, '{"postedWithinDays":7,"q":"a b"}'), (6, None), (7, "{}")]
     got = {r["id"]: (r["valid"], r["city"], r["link"]) for r in search.parse_filters(spark.createDataFrame(rows, "id int, filters string")).withColumn("link", search.canonical_query()).collect()}
     assert got == {1: (True, "Toronto", "?city=Toronto"), 2: (False, None, ""), 3: (False, None, ""), 4: (False, None, ""), 5: (True, None, "?q=a+b&postedWithinDays=7"), 6: (False, None, ""), 7: (True, None, "")}
+
+
+@pytest.mark.parametrize(
+    ("said", "polarity"),
+    [
+        ("This is an existing vacancy.", "POSITIVE"),
+        ("Ce poste est un poste vacant.", "POSITIVE"),
+        ("This is not a currently existing vacancy.", "NEUTRAL"),
+        ("Ce poste n'est pas un poste vacant.", "NEUTRAL"),
+        ("Ce poste n’est pas un poste vacant.", "NEUTRAL"),
+        ("We keep a talent pool.", "NEUTRAL"),
+        ("For future openings only.", "NEUTRAL"),
+        ("Join our talent community.", "POSITIVE"),
+    ],
+)
+def test_vacancy_wording(spark, said, polarity):
+    found, _ = _verdict(spark, job={"text": f"Good team. {said}"})
+    got = found["VACANCY_STATUS_DISCLOSED"]
+    assert (got["polarity"], got["weight"]) == (polarity, 20)
+
+
+def test_all_records_expired_is_expired(spark):
+    t = _tables(spark, records=[(1, 10, "https://b/1", None, NOW - H, "e", "t"), (1, 11, "https://b/2", None, NOW - H, "e", "t")])
+    found = signals.compute(*t, _now())
+    one = lambda records: signals.status(t[0], found, records=records).collect()[0]["rule"]
+    assert one(t[1]) == "R1"
+    assert one(t[1].withColumn("expired_at", F.when(F.col("source_id") == 10, F.col("expired_at")))) != "R1"
+    assert one(t[1].limit(0)) != "R1"  # no record: not all are gone
+
+
+def test_status_follows_the_rule_table(spark):
+    t = _tables(spark)
+    found = signals.compute(*t, _now())
+    rules = spark.createDataFrame([(0, "X1", "OWN", [["ON_EMPLOYER_ATS"], ["STALE", "NOTHING_NEGATIVE"]]), (1, "X2", "OTHER", [])], "place int, rule string, status string, all_of array<array<string>>")
+    assert tuple(signals.status(t[0], found, rules=rules).collect()[0])[1:] == ("OWN", "X1")
+    assert signals.rule_catalog(spark).count() == 8 and signals.signal_catalog(spark).where("scam").count() == 4 and signals.threshold_catalog(spark).count() == 3
