@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postledger.functions import text, urls
-from postledger.operators import dedup, freshness, signals
+from postledger.operators import dedup, freshness, incremental, signals
 from postledger.plans.binding import view, with_views
 from postledger.plans.registry import SQL, TS, day, now, query, re2
 
@@ -114,6 +114,26 @@ def job_status(spark, sf):
     return signals.status(told, found, view(spark, sf, "b_override"), view(spark, sf, "b_open"), view(spark, sf, "b_record"))
 
 
+def _two_runs(spark, sf):
+    """Jobs touched by records seen since June, and all signals after a full run without those records and a run over the touched jobs."""
+    jobs, records, sources, salaries, reports, domains = (view(spark, sf, n) for n in ("b_case", "b_record", "b_source", "b_salary", "b_report", "b_firm_domain"))
+    late = F.col("last_seen") >= F.lit("1998-05-01").cast("timestamp")
+    touched = records.where(late).select("job_id").distinct()
+    before = signals.compute(jobs, records.where(~late), sources, salaries, reports, domains, now())
+    fresh = incremental.verify(touched, jobs, records, sources, salaries, reports, domains, now())
+    return touched, incremental.supersede(before.withColumn("superseded_at", F.lit(None).cast("timestamp")), fresh, touched, now())
+
+
+@query()
+def verify_touched(spark, sf):
+    found = signals.current(_two_runs(spark, sf)[1])
+    return found.select("job_id", "code", "polarity", "weight", "evidence_text", "evidence_url", _minute("observed_at"), "source_id")
+
+
+# two runs end where one full run ends
+SQL["verify_touched"] = SQL["signals_long"]
+
+
 STATUS = """, w AS (SELECT job_id, count(*) FILTER (WHERE weight < 0) AS neg, count(*) FILTER (WHERE code IN ('UPFRONT_PAYMENT_REQUEST', 'OFF_PLATFORM_CONTACT', 'LOOKALIKE_DOMAIN', 'APPLY_URL_MISMATCH')) AS scam,
     bool_or(code = 'USER_REPORTS') AS u, bool_or(code = 'SALARY_CONFLICT') AS c, bool_or(code = 'STALE') AS s,
     bool_or(code = 'ON_EMPLOYER_ATS') AS o, bool_or(code = 'EMPLOYER_IDENTITY_CONFIRMED') AS i, bool_or(code = 'RECENTLY_CONFIRMED_LIVE') AS l FROM kept GROUP BY job_id),
