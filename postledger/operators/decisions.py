@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.operators.upsert import latest
+from postledger.sources import store
 
 NOTE = 500
 
@@ -27,17 +28,42 @@ def override_status(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def final_moves(moves: DataFrame) -> DataFrame:
+    """job_id, to: where each moved job ends, by pointer jumping. moves: job_id (once), to.
+
+    Every round doubles how far each job looks ahead, so rounds follow the
+    logarithm of the moves. Who still meets a moved job then is in a circle or
+    leads into one; the smallest job that it passes there is kept and moves
+    nowhere.
+    """
+    n = moves.count()
+    ahead = store.write(moves.where("job_id <> to").select("job_id", "to", F.col("to").alias("least"), F.lit(False).alias("done")))
+    for _ in range(max(1, n.bit_length())):
+        on = ahead.select(F.col("job_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("further"))
+        ahead = store.write(
+            ahead.join(on, "to", "left").select(
+                "job_id", F.coalesce("next", "to").alias("to"), F.least("least", "further").alias("least"), F.col("next").isNull().alias("done")
+            )
+        )
+    # after so many steps the job in sight lies on the circle, and what it has passed is all of it
+    circle = ahead.where("NOT done").select(F.col("job_id").alias("to"), F.col("least").alias("kept"))
+    out = ahead.join(circle, "to", "left").select("job_id", F.coalesce("kept", "to").alias("to"))
+    return out.where("job_id <> to")
+
+
 def resolve_clusters(clusters: DataFrame, records: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """clusters, records and expired losers (job_id, expired_at) after merging or keeping apart clusters that await review.
 
-    A merge moves the loser's records to the kept job; keeping apart detaches
-    the records from the cluster. Decisions on other clusters do nothing.
+    A merge moves the loser's records to the kept job, and where that is merged
+    in the same batch, on to the job that is kept last; of merges in a circle
+    the smallest job is kept. Keeping apart detaches the records from the
+    cluster. Decisions on other clusters do nothing.
     """
     d = _last(decisions, "cluster_id").join(clusters.where("status = 'REVIEW_REQUIRED'"), "cluster_id", "left_semi")
     closed = d.select("cluster_id", F.lit("RESOLVED").alias("__status"))
     after = clusters.join(closed, "cluster_id", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
     merged = d.where("action = 'MERGE'")
-    moves = merged.groupBy(F.col("drop_job_id").alias("job_id")).agg(F.min("keep_job_id").alias("__to"))
+    moves = final_moves(merged.groupBy(F.col("drop_job_id").alias("job_id")).agg(F.min("keep_job_id").alias("to"))).withColumnRenamed("to", "__to")
     apart = d.where("action = 'KEEP_SEPARATE'").select("cluster_id", F.lit(True).alias("__apart"))
     moved = (
         records.join(moves, "job_id", "left")

@@ -349,3 +349,20 @@ def user_export(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'click'").select("user_id", (F.col("event_id") % 50).alias("job_id"))
     told = view(spark, sf, "b_report").select("user_id", "report_id", "status", F.lit("kept private").alias("text"))
     return reports.export({"saved": e, "reports": told})
+
+
+_MOVES = """SELECT job_id, CASE WHEN job_id % 10 IN (1, 2, 3, 6) THEN job_id + 1 WHEN job_id % 10 IN (7, 8) THEN job_id - 1 END AS onto FROM b_order WHERE job_id % 10 IN (1, 2, 3, 6, 7, 8) AND employer_id % 5 <> 0"""
+
+
+@_query(
+    f"""SELECT job_id, onto FROM (SELECT w.job_id, CASE WHEN m.job_id IS NULL THEN at ELSE list_min(path[list_position(path, at):]) END AS onto FROM walk w LEFT JOIN moves m ON m.job_id = w.at
+    WHERE m.job_id IS NULL OR list_contains(path, at)) WHERE job_id <> onto""",
+    tables=f"""moves AS ({_MOVES}), walk AS (WITH RECURSIVE go AS (SELECT job_id, onto AS at, [job_id] AS path FROM moves
+    UNION ALL SELECT go.job_id, m.onto, list_append(path, at) FROM go JOIN moves m ON m.job_id = go.at WHERE NOT list_contains(path, at)) SELECT * FROM go)""",
+)
+def merge_chains(spark, sf):
+    """Where merged jobs end: chains of three, circles of two and jobs that lead into a circle."""
+    last = F.col("job_id") % 10
+    onto = F.when(last.isin(1, 2, 3, 6), F.col("job_id") + 1).when(last.isin(7, 8), F.col("job_id") - 1)
+    moves = view(spark, sf, "b_order").where("job_id % 10 IN (1, 2, 3, 6, 7, 8) AND employer_id % 5 <> 0").select("job_id", onto.alias("to"))
+    return decisions.final_moves(moves).withColumnRenamed("to", "onto")

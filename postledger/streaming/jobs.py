@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+#: Setting of a session that runs keyed state.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def landing_dedup(payloads: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -23,32 +25,64 @@ def event_daily(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return out.select(F.to_date("window.start").alias("day"), "name", "n")
 
 
-def liveness_state(observed: DataFrame) -> DataFrame:
-    """Freshness of each (source_id, external_ref) as keyed state, a row per batch that changed it.
+class Liveness(StatefulProcessor):
+    """Keyed state of one posting: when it was last proved live and when it expired; a timer expires what stays silent."""
 
-    observed: source_id, external_ref, observation, at. LIVE sets
-    last_verified and clears expired_at, GONE expires as of the check,
-    UNKNOWN changes nothing. Rows of one batch count in order of time.
-    """
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "verified_us long, expired_us long")
+
+    def _row(self, key: tuple, verified: int | None, expired: int | None) -> pd.DataFrame:
+        self.seen.update((verified, expired))
+        return pd.DataFrame({"source_id": [key[0]], "external_ref": [key[1]], "verified_us": pd.array([verified], "Int64"), "expired_us": pd.array([expired], "Int64")})
+
+    def _timer(self, at_us: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at_us is not None:
+            self.handle.registerTimer(at_us // 1000 + self.silent_ms)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        verified, expired = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["at", "observation"])
-        rows = rows[rows["observation"] != "UNKNOWN"]
-        if rows.empty:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        verified, expired = self.seen.get() if self.seen.exists() else (None, None)
+        told = pd.concat(list(rows)).sort_values(["at", "observation"])
+        told = told[told["observation"] != "UNKNOWN"]
+        if told.empty:
             return
-        for at, kind in zip(rows["at"], rows["observation"]):
+        for at, kind in zip(told["at"], told["observation"]):
             micros = at.value // 1000
-            if kind == "LIVE":
-                verified, expired = micros, None
-            else:
-                expired = micros
-        state.update((verified, expired))
-        yield pd.DataFrame({"source_id": [key[0]], "external_ref": [key[1]], "verified_us": pd.array([verified], "Int64"), "expired_us": pd.array([expired], "Int64")})
+            verified, expired = (micros, None) if kind == "LIVE" else (verified, micros)
+        self._timer(verified if expired is None else None)
+        yield self._row(key, verified, expired)
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        verified, expired = self.seen.get()
+        if expired is None:
+            yield self._row(key, verified, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def liveness_state(observed: DataFrame, delay: str = "1 day", silent_days: int = 30) -> DataFrame:
+    """Freshness of each (source_id, external_ref) as keyed state, a row per batch that changed it.
+
+    observed: source_id, external_ref, observation, at. LIVE sets
+    last_verified and clears expired_at, GONE expires as of the check,
+    UNKNOWN changes nothing. Rows of one batch count in order of time. A live
+    posting that nothing confirms for silent_days expires then, once the
+    watermark has passed that day. The query must be started with the RocksDB
+    state store (STATE_STORE).
+    """
     source = dict(observed.dtypes)["source_id"]
-    out = observed.groupBy("source_id", "external_ref").applyInPandasWithState(
-        step, f"source_id {source}, external_ref string, verified_us long, expired_us long", "verified long, expired long", "append", GroupStateTimeout.NoTimeout
+    out = (
+        observed.withWatermark("at", delay)
+        .groupBy("source_id", "external_ref")
+        .transformWithStateInPandas(
+            Liveness(silent_days * 86_400_000), f"source_id {source}, external_ref string, verified_us long, expired_us long", "append", "EventTime"
+        )
     )
     return out.select("source_id", "external_ref", F.timestamp_micros("verified_us").alias("last_verified"), F.timestamp_micros("expired_us").alias("expired_at"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postledger.functions import pasted
-from postledger.operators import checks, identity, reports, robots
+from postledger.operators import checks, decisions, dedup, identity, reports, robots
 from postledger.sources import registry
 from postledger.streaming import jobs as streams
 
@@ -83,7 +83,16 @@ def _files(path, name, rows):
     (path / name).write_text("\n".join(json.dumps(r) for r in rows))
 
 
-def test_streams(spark, tmp_path):
+@pytest.fixture
+def keyed_state(spark):
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in streams.STATE_STORE:
+        spark.conf.unset(k)
+
+
+def test_streams(spark, tmp_path, keyed_state):
     land, seen = tmp_path / "land", []
     schema = "source_id int, external_ref string, observation string, at timestamp"
     row = lambda ref, kind, day: {"source_id": 1, "external_ref": ref, "observation": kind, "at": f"2024-01-{day:02}T00:00:00Z"}
@@ -98,6 +107,15 @@ def test_streams(spark, tmp_path):
     _files(land, "2.json", [row("a", "GONE", 5), row("b", "LIVE", 6)])
     run()
     assert sorted((r.external_ref, r.last_verified.day, r.expired_at and r.expired_at.day) for r in seen[1:]) == [("a", 1, 5), ("b", 6, None)]
+    # started again from the checkpoint; what stays silent for thirty days expires then, once
+    seen.clear()
+    _files(land, "3.json", [{"source_id": 1, "external_ref": "c", "observation": "LIVE", "at": "2024-03-20T00:00:00Z"}])
+    run()
+    assert sorted((r.external_ref, str(r.expired_at)[:10]) for r in seen) == [("b", "2024-02-05"), ("c", "None")]
+    seen.clear()
+    _files(land, "4.json", [{"source_id": 1, "external_ref": "b", "observation": "LIVE", "at": "2024-03-21T00:00:00Z"}])
+    run()
+    assert [(r.external_ref, r.last_verified.day, r.expired_at) for r in seen] == [("b", 21, None)]
 
 
 def test_stream_landing(spark, tmp_path):
@@ -124,3 +142,30 @@ def test_stream_daily_counts(spark, tmp_path):
     _files(land, "3.json", [row("view", 1, 5), row("view", 5, 2)])  # too late, and in time
     run()
     assert {(r.day.day, r.name, r.n) for r in got} == {(1, "view", 2), (1, "click", 1), (2, "view", 1)}
+
+
+def test_chains_and_circles_of_merges(spark):
+    moves = {1: 2, 2: 3, 3: 4, 10: 11, 11: 12, 12: 10, 13: 12, 14: 13, 20: 21, 21: 20, 30: 30, **{k: k + 1 for k in range(100, 137)}}
+    df = spark.createDataFrame(list(moves.items()), "job_id long, to long")
+    got = {r["job_id"]: r["to"] for r in decisions.final_moves(df).collect()}
+    assert got == {1: 4, 2: 4, 3: 4, 11: 10, 12: 10, 13: 10, 14: 10, 21: 20, **{k: 137 for k in range(100, 137)}}
+    assert decisions.final_moves(df.limit(0)).count() == 0
+
+
+def test_records_follow_a_chain_of_merges(spark):
+    clusters = spark.createDataFrame([("x", "REVIEW_REQUIRED"), ("y", "REVIEW_REQUIRED"), ("z", "RESOLVED")], "cluster_id string, status string")
+    records = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "job_id long, cluster_id string")
+    now = F.lit("2026-01-01").cast("timestamp")
+    made = spark.createDataFrame(
+        [(1, "x", "MERGE", 1, 2, "2026-01-01"), (2, "y", "MERGE", 2, 3, "2026-01-02"), (3, "z", "MERGE", 3, 4, "2026-01-02")],
+        "decision_id long, cluster_id string, action string, drop_job_id long, keep_job_id long, decided_at string",
+    )
+    after, moved, lost = decisions.resolve_clusters(clusters, records, made, now)
+    assert {r["job_id"] for r in moved.collect()} == {3} and {r["job_id"] for r in lost.collect()} == {1, 2}
+
+
+def test_both_sides_of_a_cluster_are_stamped(spark):
+    made = spark.createDataFrame([(1, 2, 0.95, "MERGE"), (3, 2, 0.7, "REVIEW"), (4, None, 0.0, "NEW")], "posting_id long, candidate_id long, score double, decision string")
+    records = spark.createDataFrame([(1, None), (2, None), (3, "old"), (4, "old")], "posting_id long, cluster_id string")
+    got = {r["posting_id"]: r["cluster_id"] for r in dedup.stamp(records, dedup.cluster_members(made)).collect()}
+    assert got == {1: "2-1", 2: "2-1", 3: "2-3", 4: "old"}
