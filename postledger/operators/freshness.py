@@ -51,8 +51,10 @@ def recheck_due(records: DataFrame, sources: DataFrame, now: Column, limit: int
     )
 
 
-def missing_from_board(records: DataFrame, sources: DataFrame, seen: DataFrame) -> DataFrame:
-    """Active records of owned boards that the latest fetch did not bring."""
+def missing_from_board(records: DataFrame, sources: DataFrame, seen: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Active records of owned boards that the latest fetch did not bring. whole: source_id of the fetches that came in full; the others prove no absence."""
+    if whole is not None:
+        sources = sources.join(whole.select("source_id").distinct(), "source_id", "left_semi")
     return records.where("expired_at IS NULL").join(sources.where("owned"), "source_id", "left_semi").join(seen, ["job_id", "source_id"], "left_anti")
 
 

@@ -42,6 +42,7 @@ VIEWS = {
     "b_report": """SELECT event_id AS report_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, event_id % 200 AS job_id,
         CASE WHEN event_id % 5 = 0 THEN 'DISMISSED' ELSE 'PENDING' END AS status FROM events WHERE event_type = 'error'""",
     "b_event": "SELECT event_type AS name, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events",
+    "b_track": "SELECT event_id, event_type AS name, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events",
     "b_firm": f"""SELECT employer_id, 'Firm ' || CAST(employer_id AS STRING) AS employer_name, CASE WHEN employer_id % 5 <> 0 THEN 'acmefirm' || CAST(employer_id AS STRING) || '.com' END AS domain,
         CASE WHEN employer_id % 3 = 0 THEN 'Board linked from the careers page of firm ' || CAST(employer_id AS STRING) END AS identity_text,
         CASE WHEN employer_id % 3 = 0 THEN 'https://acmefirm' || CAST(employer_id AS STRING) || '.com/careers' END AS identity_url,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from postledger.functions import normalize, pay, text, urls
@@ -11,6 +13,8 @@ from postledger.plans.registry import TS as _TS
 from postledger.plans.registry import day as _day
 from postledger.plans.registry import now as _now
 from postledger.plans.registry import query as _query
+from postledger.sources import store
+from postledger.streaming import events
 
 @_query(
     "SELECT job_id, strftime(last_verified, '%Y-%m-%d') AS last_verified, strftime(last_seen, '%Y-%m-%d') AS last_seen, active_sources, all_sources, "
@@ -355,10 +359,10 @@ _MOVES = """SELECT job_id, CASE WHEN job_id % 10 IN (1, 2, 3, 6) THEN job_id + 1
 
 
 @_query(
-    f"""SELECT job_id, onto FROM (SELECT w.job_id, CASE WHEN m.job_id IS NULL THEN at ELSE list_min(path[list_position(path, at):]) END AS onto FROM walk w LEFT JOIN moves m ON m.job_id = w.at
-    WHERE m.job_id IS NULL OR list_contains(path, at)) WHERE job_id <> onto""",
-    tables=f"""moves AS ({_MOVES}), walk AS (WITH RECURSIVE go AS (SELECT job_id, onto AS at, [job_id] AS path FROM moves
-    UNION ALL SELECT go.job_id, m.onto, list_append(path, at) FROM go JOIN moves m ON m.job_id = go.at WHERE NOT list_contains(path, at)) SELECT * FROM go)""",
+    f"""SELECT job_id, onto FROM (SELECT w.job_id, CASE WHEN m.job_id IS NULL THEN here ELSE list_min(path[list_position(path, here):]) END AS onto FROM walk w LEFT JOIN moves m ON m.job_id = w.here
+    WHERE m.job_id IS NULL OR list_contains(path, here)) WHERE job_id <> onto""",
+    tables=f"""moves AS ({_MOVES}), walk AS (WITH RECURSIVE go AS (SELECT job_id, onto AS here, [job_id] AS path FROM moves
+    UNION ALL SELECT go.job_id, m.onto, list_append(path, here) FROM go JOIN moves m ON m.job_id = go.here WHERE NOT list_contains(path, here)) SELECT * FROM go)""",
 )
 def merge_chains(spark, sf):
     """Where merged jobs end: chains of three, circles of two and jobs that lead into a circle."""
@@ -366,3 +370,13 @@ def merge_chains(spark, sf):
     onto = F.when(last.isin(1, 2, 3, 6), F.col("job_id") + 1).when(last.isin(7, 8), F.col("job_id") - 1)
     moves = view(spark, sf, "b_order").where("job_id % 10 IN (1, 2, 3, 6, 7, 8) AND employer_id % 5 <> 0").select("job_id", onto.alias("to"))
     return decisions.final_moves(moves).withColumnRenamed("to", "onto")
+
+
+@_query("SELECT event_id, name, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, strftime(ts, '%Y-%m-%d') AS day FROM b_track")
+def events_append(spark, sf):
+    """Events appended in two overlapping batches, the first of them twice."""
+    path = f"{store.shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    found = view(spark, sf, "b_track")
+    for part in ("event_id % 3 < 2", "event_id % 3 < 2", "event_id % 3 > 0"):
+        events.append(found.where(part), path)
+    return events.read(spark, path).select("event_id", "name", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), _day("day"))

@@ -28,11 +28,16 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def board(spark: SparkSession, path: str, employer: str | None = None) -> DataFrame:
     """One document that holds all open jobs."""
-    j = _json(spark, path, BOARD).select(F.explode("jobs").alias("j")).select("j.*")
+    return board_postings(_json(spark, path, BOARD).select(F.explode("jobs").alias("j")).select("j.*"), employer)
+
+
+def board_postings(j: DataFrame, employer: str | None = None, *keep: str) -> DataFrame:
+    """Postings of jobs of a board document, with further columns to keep."""
     offices = F.array_join(F.transform("offices", lambda o: F.coalesce(o["location"], o["name"])), "; ")
     meta = lambda p: F.get(F.filter("metadata", lambda m: m["name"].rlike(p)), F.lit(0))["value"]
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     return j.select(
+        *keep,
         F.col("id").cast("string").alias("external_ref"),
         F.trim("title").alias("title"),
         F.coalesce(filled(F.col("company_name")), F.lit(employer)).alias("employer_name"),
@@ -48,13 +53,18 @@ def board(spark: SparkSession, path: str, employer: str | None = None) -> DataFr
 
 def paged(spark: SparkSession, path: str, employer: str) -> DataFrame:
     """A folder of pages, each an array of postings."""
-    j = _json(spark, path, PAGED)
+    return paged_postings(_json(spark, path, PAGED), employer)
+
+
+def paged_postings(j: DataFrame, employer: str | None = None, *keep: str) -> DataFrame:
+    """Postings of the rows of a paged board, with further columns to keep."""
     sections = F.transform("lists", lambda s: F.concat_ws("\n", s["text"], text.html_to_text(s["content"])))
     place = F.coalesce("categories.location", F.get("categories.allLocations", F.lit(0)))
     period = F.lit(None).cast("string")
     for name, p in INTERVALS.items():
         period = F.when(F.col("salaryRange.interval") == name, p).otherwise(period)
     return j.select(
+        *keep,
         F.col("id").alias("external_ref"),
         F.trim("text").alias("title"),
         F.lit(employer).alias("employer_name"),
@@ -85,7 +95,13 @@ def complete_pages(pages: DataFrame) -> DataFrame:
 
 def extract(spark: SparkSession, path: str) -> DataFrame:
     """A file with an array of flat records; pay text joins the description."""
-    return _json(spark, path, EXTRACT).select(
+    return extract_postings(_json(spark, path, EXTRACT))
+
+
+def extract_postings(j: DataFrame, employer: str | None = None, *keep: str) -> DataFrame:
+    """Postings of flat records, with further columns to keep."""
+    return j.select(
+        *keep,
         F.col("jobId").alias("external_ref"),
         F.trim("title").alias("title"),
         F.col("employerName").alias("employer_name"),
