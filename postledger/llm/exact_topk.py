@@ -8,8 +8,11 @@ is (|q|^2 + |v|^2 - |q - v|^2) / 2, and the triangle inequality bounds
 d(q, pivot) no vector can reach the k-th best score known so far. A query
 starts in the cells whose annuli promise most and stops in a cell where the
 bound falls below its k-th best. Pivots are a bounded sample (they decide
-speed only); every vector is indexed. Integer products are summed in doubles
-far below 2**53, so they are exact.
+speed only); every vector is indexed. Doubles only choose candidates: what may
+be among the k best within the error of their sums is summed again in 64-bit
+integers, whose overflows cancel out wherever the sum itself fits, and ranked
+by that. So scores are exact up to 63 bits; a product beyond them is cut to the
+range of a long, a component to 2**62 either way.
 
 Queries come in blocks and the index in slices of bounded size; a task meets
 one block and one slice and returns at most k rows per query.
@@ -27,12 +30,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postledger.llm.common import cut
 
 SCALE = 1024
+#: Stands where a query has fewer than k candidates; no id that takes part.
+NONE = np.iinfo(np.int64).max
 PIVOTS = 32
 #: Queries of a block; vectors of a slice (fewer while the table is small, so that all tasks have work).
 QUERY_BLOCK = 1024
@@ -60,9 +65,11 @@ def by_length(rows: DataFrame) -> list[tuple[DataFrame, int]]:
 
 def _expand(best_s: np.ndarray, best_v: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, dist: np.ndarray, dq: np.ndarray, k: int) -> None:
     """Improve each query's k best by one pivot's vectors, which are in order of `dist`; dq: distances of the queries from that pivot."""
-    worst, qq, most = best_s[:, -1], (q * q).sum(1), (x * x).sum(1).max()
-    reach2 = qq + most - 2 * worst  # |q - v|^2 at which a product still ties the k-th best
-    reach = np.sqrt(np.maximum(reach2, 0)) * (1 + 1e-12) + 1e-6
+    qq, most = (q * q).sum(1), (x * x).sum(1).max()
+    slack = (q.shape[1] + 4) * 2.0**-52 * (np.sqrt(qq * most) + qq + most)  # what doubles may be off by
+    worst = np.where(best_v[:, -1] == NONE, -np.inf, best_s[:, -1].astype(np.float64)) - slack
+    reach2 = qq + most - 2 * worst + slack  # |q - v|^2 at which a product still ties the k-th best
+    reach = np.sqrt(np.maximum(reach2, 0)) * (1 + 1e-12) + 1e-6 + np.sqrt(slack)
     lo = np.where(reach2 >= 0, np.searchsorted(dist, dq - reach, "left"), 0)
     hi = np.where(reach2 >= 0, np.searchsorted(dist, dq + reach, "right"), 0)
     want = np.flatnonzero(hi > lo)
@@ -72,15 +79,20 @@ def _expand(best_s: np.ndarray, best_v: np.ndarray, q: np.ndarray, own: np.ndarr
     ids = ids[a:e]
     score = q[want] @ x[a:e].T
     score[own[want][:, None] == ids[None, :]] = -np.inf
-    if len(ids) > 4 * k:  # columns below every row's k-th score go, ties stay
-        kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        keep = (score >= np.maximum(kth, worst[want])[:, None]).any(0)
-        ids, score = ids[keep], score[:, keep]
-    s = np.concatenate([best_s[want], score], 1)
-    v = np.concatenate([best_v[want], np.broadcast_to(ids, score.shape)], 1)
-    v = np.where(np.isfinite(s), v, np.iinfo(np.int64).max)
-    order = np.lexsort((v, -s), axis=1)[:, :k]
-    best_s[want], best_v[want] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+    floor = worst[want]
+    if len(ids) > k:
+        floor = np.maximum(floor, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 2 * slack[want])
+    row, col = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
+    near = score[row, col]
+    whole = (q[want].astype(np.int64)[row] * x[a:e].astype(np.int64)[col]).sum(1)
+    whole = np.where(near >= 2.0**63, np.iinfo(np.int64).max, np.where(near < -(2.0**63), np.iinfo(np.int64).min, whole))
+    # the k best of what was known and what is new, a run of rows for each query
+    at = np.concatenate([np.repeat(np.arange(len(want)), k), row])
+    s, v = np.concatenate([best_s[want].ravel(), whole]), np.concatenate([best_v[want].ravel(), ids[col]])
+    order = np.lexsort((v, ~s, v == NONE, at))
+    first = np.searchsorted(at[order], np.arange(len(want)))
+    take = order[first[:, None] + np.arange(k)]
+    best_s[want], best_v[want] = s[take], v[take]
 
 
 def _search_slice(centre: np.ndarray, k: int):
@@ -90,26 +102,33 @@ def _search_slice(centre: np.ndarray, k: int):
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(index) and len(asked):
             q, own = np.array(asked["v"].tolist()), asked["vec_id"].to_numpy()
-            best_s = np.full((len(q), k), -np.inf)
-            best_v = np.full((len(q), k), np.iinfo(np.int64).max)
+            best_s = np.full((len(q), k), np.iinfo(np.int64).min)
+            best_v = np.full((len(q), k), NONE)
             dq = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (centre * centre).sum(1) - 2 * q @ centre.T, 0))
             cells = {p: g.sort_values(["dist", "vec_id"]) for p, g in index.groupby("pivot")}
             # the pivots nearest to the queries first: they raise the k-th best score soonest
             for p in sorted(cells, key=lambda p: (dq[:, p].mean(), p)):
                 g = cells[p]
                 _expand(best_s, best_v, q, own, np.array(g["v"].tolist()), g["vec_id"].to_numpy(), g["dist"].to_numpy(), dq[:, p], k)
-            at = np.isfinite(best_s)
-            out = {"query_id": np.repeat(own, k)[at.ravel()], "vec_id": best_v[at], "score": best_s[at].astype(np.int64)}
+            at = best_v != NONE
+            out = {"query_id": np.repeat(own, k)[at.ravel()], "vec_id": best_v[at], "score": best_s[at]}
         return pd.DataFrame(out)
 
     return run
 
 
+def _scaled(x: Column) -> Column:
+    """floor(SCALE * x) as a double, within 2**62 either way."""
+    most = F.lit(2.0**62)
+    low = x * SCALE
+    return F.when(F.abs(low) < 2.0**52, F.floor(low).cast("double")).otherwise(F.greatest(F.least(low, most), -most))
+
+
 def exact_topk(
     vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by `every`."""
-    whole = valid_vectors(vectors, id_col, vec_col).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
+    whole = valid_vectors(vectors, id_col, vec_col).select("vec_id", F.transform("v", _scaled).alias("v"))
     rows = cut(whole)
     found = [_topk_of_length(part, n, every, k, pivots) for part, n in by_length(rows)]
     return reduce(DataFrame.unionByName, found) if found else rows.selectExpr("vec_id AS query_id", "0 AS rank", "vec_id", "0L AS score")

@@ -94,3 +94,25 @@ def test_scores_keep_columns(spark):
     out = quality.scored(df, worth, "score_")
     assert out.columns == [*df.columns, "score_"] and all(0 <= r["score_"] <= 1 for r in out.collect())
     assert quality.scored(df.limit(0), worth, "score_").count() == 0
+
+
+def test_large_components_are_summed_exactly(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [100003.7, 2.3]), (1, [100001.1, 9.71]), (2, [100001.1, 9.72]), (3, [100001.1, 9.72])]
+    rows += [(i, [float(x) for x in np.round(rng.normal(0, 1e6, 2), 3)]) for i in range(4, 90)]
+    rows += [(i, [1e6 + float(x) for x in rng.integers(0, 3, 2) / 1024]) for i in range(90, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    z = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 100):
+        best = sorted((-sum(a * b for a, b in zip(z[i], z[j])), j) for j in z if j != i)[:10]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, exact_topk(df).collect())) == want
+    assert exact_topk(df.where("vec_id < 2"), every=100).where("query_id = 0").collect()[0]["score"] == 10486263221281053
+
+
+def test_products_beyond_a_long_are_cut_to_it(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [1e12, 0.0])]
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect()
+    most = 2**63 - 1
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, most), (3, most), (2, -most - 1)]
