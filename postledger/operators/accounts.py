@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postledger.operators import search
@@ -186,6 +186,6 @@ def touched(*parts: DataFrame) -> DataFrame:
 
 
 def review_queue(members: DataFrame) -> DataFrame:
-    """Open clusters with their jobs, owned ones first."""
-    item = F.struct((~F.col("owned")).alias("later"), F.col("job_id").alias("job_id"))
-    return members.groupBy("cluster_id").agg(F.array_sort(F.collect_set(item)).alias("m")).select("cluster_id", F.col("m.job_id").alias("jobs"))
+    """Members of open clusters, a row each, with their place: owned ones first, then by job."""
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("owned"), "job_id")
+    return members.distinct().withColumn("place", F.row_number().over(order))

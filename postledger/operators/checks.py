@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,17 @@ def structured_score(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}.title_normalized") == F.col(f"{b}.title_normalized"), score).otherwise(0.0)
 
 
-def match(checks: DataFrame, jobs: DataFrame, *, lexical: Column | None = None) -> DataFrame:
+def match(checks: DataFrame, jobs: DataFrame, *, scorer: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Best active job of the check's employer and title stem: check_id, job_id, score, is_strong.
 
     Both sides hold employer_id, title_stem, title_normalized, city, lo, hi
-    (annual pay) and currency; `lexical` is an optional score over sides c
-    and j, of which the larger counts. Ties go to the smaller job.
+    (annual pay) and currency; a scorer (dedup.lexical, with the columns that
+    it reads) is a further score, of which the larger counts. Ties go to the
+    smaller job.
     """
     c, j = checks.alias("c"), jobs.where("expired_at IS NULL").alias("j")
     score = structured_score("c", "j")
-    score = F.floor((score if lexical is None else F.greatest(score, lexical)) * 10_000 + 0.5) / 10_000
+    score = F.floor((score if scorer is None else F.greatest(score, scorer("c", "j"))) * 10_000 + 0.5) / 10_000
     pairs = c.join(j, (F.col("c.employer_id") == F.col("j.employer_id")) & (F.col("c.title_stem") == F.col("j.title_stem")))
     # the best of a check is one aggregate with map-side combine
     best = pairs.groupBy("c.check_id").agg(F.min(F.struct((-score).alias("s"), F.col("j.job_id").alias("job_id"))).alias("best"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postledger.functions import normalize
+from postledger.functions import normalize, urls
 
 MESSAGE, ATTEMPTS = 2000, 3
+# What stands before a board's own token in links to it.
+BOARD_LINKS = {
+    "greenhouse": r"(?<![A-Za-z0-9-])(?:job-)?boards(?:-api)?[.]greenhouse[.]io/(?:v1/boards/)?|greenhouse[.]io/embed/job_board(?:/js)?[?]for=",
+    "lever": r"(?<![A-Za-z0-9-])jobs[.]lever[.]co/|(?<![A-Za-z0-9-])api[.]lever[.]co/v0/postings/",
+}
 
 
 def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -75,11 +80,17 @@ def last_success(sources: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def board_probe(employers: DataFrame, pages: DataFrame) -> DataFrame:
-    """employer_id, linked: whether a careers page of the employer links its board; null where none of its pages was read.
+    """employer_id, linked: whether the careers page of the employer links its board; null where none counts or it was not read.
 
-    employers: employer_id, domain, board_token; pages: host domain (registrable), html or null.
+    employers: employer_id, domain, careers_url, board (a key of BOARD_LINKS),
+    board_token; pages: url, html or null. A careers page counts only on the
+    employer's own domain.
     """
-    p = pages.where("html IS NOT NULL").select("domain", "html")
-    token = F.concat(F.lit("(?i)greenhouse[.]io/(v1/boards/|embed/job_board(/js)?[?]for=)?"), F.regexp_replace("board_token", r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"(?![A-Za-z0-9_])"))
-    found = employers.withColumn("pattern", token).join(p, "domain").select("employer_id", F.regexp_like("html", F.col("pattern")).alias("hit"))
+    own = urls.registrable(urls.hostname(F.col("careers_url"))) == urls.registrable(F.col("domain"))
+    token = F.regexp_replace("board_token", r"([^A-Za-z0-9_])", r"\\$1")
+    link = F.lit(None).cast("string")
+    for board, before in BOARD_LINKS.items():
+        link = F.when(F.col("board") == board, F.concat(F.lit(f"(?i)(?:{before})"), token, F.lit(r"(?![A-Za-z0-9_])"))).otherwise(link)
+    p = pages.where("html IS NOT NULL").select(F.col("url").alias("careers_url"), "html")
+    found = employers.where(own).withColumn("pattern", link).join(p, "careers_url").select("employer_id", F.regexp_like("html", F.col("pattern")).alias("hit"))
     return employers.select("employer_id").join(found.groupBy("employer_id").agg(F.bool_or("hit").alias("linked")), "employer_id", "left")

@@ -50,6 +50,7 @@ def find(
     posted_after: Column | None = None,
     confirmed_after: Column | None = None,
     owned: bool | None = None,
+    source_type: str | None = None,
     least_pay: float | None = None,
 ) -> DataFrame:
     """Jobs that are not expired and meet every given filter."""
@@ -65,6 +66,8 @@ def find(
             out = out.where(F.col(name) >= since)
     if owned is not None:
         out = out.join(records.join(sources.where(F.col("owned") == owned), "source_id", "left_semi"), "job_id", "left_semi")
+    if source_type is not None:
+        out = out.join(records.join(sources.where(F.col("source_type") == source_type), "source_id", "left_semi"), "job_id", "left_semi")
     if least_pay is not None:
         top = F.coalesce("high", "low") * F.coalesce(pay.factor(F.col("period")), F.lit(1.0))
         out = out.join(salaries.where(top >= least_pay), "job_id", "left_semi")

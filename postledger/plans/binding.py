@@ -7,12 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 NOW = "1998-07-01 00:00:00"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 _TS = f"TIMESTAMP '{NOW}'"
 
 VIEWS = {
     "b_source": """SELECT s_suppkey AS source_id, s_name AS source_name, s_suppkey % 3 = 0 AS owned, s_suppkey % 10 <> 9 AS enabled,
-        s_suppkey * 7 % 50 AS employer_id, CASE WHEN s_suppkey % 4 <> 1 THEN CAST(TIMESTAMP '1998-06-01 00:00:00' AS TIMESTAMP) END AS last_success_at
+        s_suppkey * 7 % 50 AS employer_id,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'EMPLOYER_CAREER_PAGE' WHEN s_suppkey % 5 = 1 THEN 'GOVERNMENT_OPEN_DATA' ELSE 'ATS_PUBLIC_BOARD' END AS source_type, CASE WHEN s_suppkey % 4 <> 1 THEN CAST(TIMESTAMP '1998-06-01 00:00:00' AS TIMESTAMP) END AS last_success_at
         FROM supplier""",
     "b_record": f"""SELECT job_id, source_id, last_seen, last_verified, expired_at, first_seen, title_stem, location_key,
         'https://board' || CAST(source_id AS STRING) || '.example.net/' || CAST(job_id AS STRING) AS url FROM (
@@ -43,6 +44,7 @@ VIEWS = {
         CASE WHEN event_id % 5 = 0 THEN 'DISMISSED' ELSE 'PENDING' END AS status FROM events WHERE event_type = 'error'""",
     "b_event": "SELECT event_type AS name, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events",
     "b_track": "SELECT event_id, event_type AS name, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events",
+    "b_vector": "SELECT vec_id AS posting_id, label AS block, embedding AS vector FROM embeddings",
     "b_firm": f"""SELECT employer_id, 'Firm ' || CAST(employer_id AS STRING) AS employer_name, CASE WHEN employer_id % 5 <> 0 THEN 'acmefirm' || CAST(employer_id AS STRING) || '.com' END AS domain,
         CASE WHEN employer_id % 3 = 0 THEN 'Board linked from the careers page of firm ' || CAST(employer_id AS STRING) END AS identity_text,
         CASE WHEN employer_id % 3 = 0 THEN 'https://acmefirm' || CAST(employer_id AS STRING) || '.com/careers' END AS identity_url,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postledger.functions import text, urls
-from postledger.operators import accounts, freshness, intake, reports, signals, upsert
+from postledger.operators import accounts, dedup, freshness, intake, reports, search, signals, upsert
 from postledger.plans.binding import view
 from postledger.plans.registry import SQL, TS, day, now, query
 from postledger.plans.signal_queries import STATUS, case_signals, with_signals
@@ -128,27 +128,50 @@ def touched_jobs(spark, sf):
 
 
 @query(
-    """SELECT r.source_id AS cluster_id, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY later, job_id) AS jobs FROM (SELECT source_id, job_id, job_id % 2 = 1 AS later FROM b_record WHERE job_id < 3000 GROUP BY 1, 2, 3) r GROUP BY 1"""
+    """SELECT source_id AS cluster_id, job_id, job_id % 2 = 0 AS owned, row_number() OVER (PARTITION BY source_id ORDER BY job_id % 2, job_id) AS place
+    FROM (SELECT DISTINCT source_id, job_id FROM b_record)"""
 )
 def review_queue(spark, sf):
-    m = view(spark, sf, "b_record").where("job_id < 3000").select(F.col("source_id").alias("cluster_id"), "job_id", (F.col("job_id") % 2 == 0).alias("owned"))
-    return accounts.review_queue(m).select("cluster_id", F.array_join("jobs", ",").alias("jobs"))
+    m = view(spark, sf, "b_record").select(F.col("source_id").alias("cluster_id"), "job_id", (F.col("job_id") % 2 == 0).alias("owned"))
+    return accounts.review_queue(m)
 
 
 @query(
-    """SELECT page_id, n > 0 AS linked FROM (SELECT p.page_id, count(*) FILTER (WHERE q.page_id % 3 > 0 AND q.page_id % 2 = 0) AS n, count(*) FILTER (WHERE q.page_id % 3 > 0) AS seen
-    FROM pages p JOIN pages q ON q.page_id = p.page_id GROUP BY p.page_id) WHERE seen > 0 UNION ALL SELECT page_id, NULL FROM pages WHERE page_id % 3 = 0"""
+    """SELECT page_id, CASE WHEN page_id % 7 = 0 OR html IS NULL OR page_id % 5 = 0 THEN NULL ELSE page_id % 2 = 0 END AS linked FROM pages"""
 )
 def board_probe(spark, sf):
+    """Careers pages that link the employer's board, another's, a host that only ends alike, that lie elsewhere (every seventh) or were not read (every fifth)."""
     p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
-    domain = F.concat(F.lit("firm"), F.col("page_id").cast("string"), F.lit(".example"))
-    token = F.concat(F.lit("firm-"), F.col("page_id").cast("string"))
-    employers = p.select(F.col("page_id").alias("employer_id"), domain.alias("domain"), token.alias("board_token"))
-    link = F.concat(F.lit("<a href='https://boards.greenhouse.io/"), F.when(F.col("page_id") % 2 == 0, token).otherwise(F.concat(token, F.lit("7"))), F.lit("'>"))
-    pages = p.where("page_id % 3 > 0").select(domain.alias("domain"), F.concat("html", link).alias("html"))
+    n = F.col("page_id")
+    name = n.cast("string")
+    domain = F.concat(F.lit("firm"), name, F.lit(".example"))
+    at = F.concat(F.lit("https://www."), F.when(n % 7 == 0, F.concat(F.lit("other"), name, F.lit(".example"))).otherwise(domain), F.lit("/careers"))
+    token = F.concat(F.lit("firm-"), name)
+    board = F.when(n % 3 == 0, "lever").otherwise("greenhouse")
+    employers = p.select(n.alias("employer_id"), domain.alias("domain"), at.alias("careers_url"), board.alias("board"), token.alias("board_token"))
+    host = F.when(board == "lever", "https://jobs.lever.co/").when(n % 4 == 0, "https://boards-api.greenhouse.io/v1/boards/").otherwise("https://job-boards.greenhouse.io/")
+    wrong = F.when(n % 3 == 1, F.concat(F.lit("https://notboards.greenhouse.io/"), token)).otherwise(F.concat(host, token, F.lit("7")))
+    link = F.concat(F.lit("<a href='"), F.when(n % 2 == 0, F.concat(host, token)).otherwise(wrong), F.lit("'>"))
+    pages = p.select(at.alias("url"), F.when(n % 5 != 0, F.concat("html", link)).alias("html"))
     return intake.board_probe(employers, pages).select(F.col("employer_id").alias("page_id"), "linked")
 
 
+@query("SELECT job_id FROM b_job WHERE expired_at IS NULL AND job_id IN (SELECT job_id FROM b_record JOIN b_source USING (source_id) WHERE source_type = 'GOVERNMENT_OPEN_DATA')")
+def source_type_semi(spark, sf):
+    records, sources = view(spark, sf, "b_record"), view(spark, sf, "b_source")
+    return search.find(view(spark, sf, "b_job"), records=records, sources=sources, source_type="GOVERNMENT_OPEN_DATA").select("job_id")
+
+
+@query(
+    """SELECT posting_id, candidate_id, round(score, 6) AS score FROM (SELECT a.posting_id, b.posting_id AS candidate_id,
+    list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) AS score FROM b_vector a JOIN b_vector b ON a.block = b.block AND b.posting_id < a.posting_id) WHERE score >= 0.25"""
+)
+def scored_by_vectors(spark, sf):
+    """Another scorer on the block join of duplicates: cosine of embeddings."""
+    pairs = dedup.block_pairs(view(spark, sf, "b_vector"), dedup.cosine, 0.25)
+    return pairs.withColumn("score", F.round("score", 6))
+
+
 @query(
     "SELECT url, regexp_replace(regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '^[a-z]+://(www[.])?', ''), '/+$', '') AS comparable FROM pages WHERE url IS NOT NULL"
 )

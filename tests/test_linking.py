@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postledger.functions import pasted
-from postledger.operators import checks, decisions, dedup, identity, reports, robots
+from postledger.operators import checks, decisions, dedup, identity, intake, reports, robots
 from postledger.sources import registry
 from postledger.streaming import jobs as streams
 
@@ -169,3 +169,46 @@ def test_both_sides_of_a_cluster_are_stamped(spark):
     records = spark.createDataFrame([(1, None), (2, None), (3, "old"), (4, "old")], "posting_id long, cluster_id string")
     got = {r["posting_id"]: r["cluster_id"] for r in dedup.stamp(records, dedup.cluster_members(made)).collect()}
     assert got == {1: "2-1", 2: "2-1", 3: "2-3", 4: "old"}
+
+
+def test_a_check_takes_the_larger_of_both_scores(spark):
+    side = "employer_id long, title_stem string, title_normalized string, city string, lo double, hi double, currency string"
+    text_ = "the baker bakes bread and cakes for the whole town every day of the week but monday"
+    more = lambda df, t: dedup.prepare(
+        df.select(
+            F.col(df.columns[0]).alias("posting_id"), "employer_id", "title_stem", "title_normalized", F.lit(t).alias("description"), "city", F.lit(None).cast("string").alias("province"),
+            F.lit("UNKNOWN").alias("remote_type"), "lo", "hi", "currency", F.array().cast("array<string>").alias("skills"), F.array().cast("array<string>").alias("urls"),
+        )
+    ).select(F.col("posting_id").alias(df.columns[0]), "province", "remote_type", "title", "shingles", "skills", "links")
+    checks_ = spark.createDataFrame([(1, 7, "baker", "baker", "Laval", None, None, None)], f"check_id long, {side}")
+    jobs = spark.createDataFrame([(5, 7, "baker", "head baker", "Laval", None, None, None, None)], f"job_id long, {side}, expired_at timestamp")
+    plain = checks.match(checks_, jobs).collect()[0]
+    both = checks.match(checks_.join(more(checks_, text_), "check_id"), jobs.join(more(jobs, text_), "job_id"), scorer=dedup.lexical).collect()[0]
+    assert plain["score"] == 0 and not plain["is_strong"]  # other titles score 0
+    assert both["score"] > 0.6  # the texts are the same
+
+
+def test_errors_become_dead_letters(spark):
+    failed = spark.createDataFrame([(1, "a", "timeout", False, 0), (1, "b", "timeout", False, 3), (1, "c", "bad", True, 0)], "source_id long, external_ref string, reason string, permanent boolean, retry_count int")
+    got = {r["payload_ref"]: r["dead_lettered_at"] is not None for r in intake.errors(failed, "FETCH", now()).collect()}
+    assert got == {"a": False, "b": True, "c": True}
+
+
+@pytest.mark.parametrize(
+    ("board", "careers", "html", "linked"),
+    [
+        ("greenhouse", "https://www.firm.com/careers", "<a href='https://boards.greenhouse.io/firm'>", True),
+        ("greenhouse", "https://jobs.firm.com/", "greenhouse.io/embed/job_board/js?for=firm\"", True),
+        ("greenhouse", "https://firm.com/c", "<a href='https://boards.greenhouse.io/firmware'>", False),
+        ("greenhouse", "https://firm.com/c", "<a href='https://notgreenhouse.io/firm'>", False),
+        ("lever", "https://firm.com/c", "https://api.lever.co/v0/postings/firm?mode=json", True),
+        ("lever", "https://firm.com/c", "https://boards.greenhouse.io/firm", False),
+        ("lever", "https://elsewhere.com/c", "https://jobs.lever.co/firm", None),
+        ("lever", None, "https://jobs.lever.co/firm", None),
+        ("lever", "https://firm.com/c", None, None),
+    ],
+)
+def test_board_links(spark, board, careers, html, linked):
+    employers = spark.createDataFrame([(1, "firm.com", careers, board, "firm")], "employer_id long, domain string, careers_url string, board string, board_token string")
+    pages = spark.createDataFrame([(careers or "https://firm.com/c", html)], "url string, html string")
+    assert intake.board_probe(employers, pages).collect()[0]["linked"] is linked
