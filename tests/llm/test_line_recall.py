@@ -1,0 +1,40 @@
+"""Every kind of change at 80 % similarity and more is found for nine lines of ten at least."""
+
+import random
+import re
+from collections import Counter
+
+from postledger.llm.line_dedup import dedup_lines
+from tests.llm.brute import _edits
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _changes(rng):
+    letters = lambda p: lambda line: "".join(rng.choice(LETTERS) if c != " " and rng.random() < p else c for c in line)
+    words = lambda p: lambda line: " ".join("".join(rng.choice(LETTERS) for _ in w) if rng.random() < p else w for w in line.split())
+
+    def ends(line):
+        w = line.split()
+        long = set(sorted(range(len(w)), key=lambda i: -len(w[i]))[: max(1, len(w) // 5)])
+        return " ".join(x[:-1] + rng.choice(LETTERS) if i in long else x for i, x in enumerate(w))
+
+    return {"letters 2": letters(0.02), "letters 5": letters(0.05), "letters 10": letters(0.1), "words 10": words(0.1), "words 15": words(0.15), "last letters": ends}
+
+
+def test_recall_by_kind_of_change(spark):
+    rng = random.Random(1)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("text").collect()
+    lines = {" ".join(re.sub("[^a-z ]+", " ", x.lower()).split()) for r in rows for x in (r["text"] or "").split("\n")}
+    lines = rng.sample(sorted(x for x in lines if 6 <= len(x.split()) <= 60), 250)
+    docs, kinds = list(enumerate(lines)), {}
+    for k, (name, change) in enumerate(_changes(rng).items()):
+        for i, line in enumerate(lines):
+            other = change(line)
+            if other != line and _edits(line, other) <= 0.2 * max(len(line), len(other)):
+                kinds[(k + 1) * 1000 + i] = name
+                docs.append(((k + 1) * 1000 + i, other))
+    got = {r["doc_id"]: r["n_removed_lines"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    all_, found = Counter(kinds.values()), Counter(n for d, n in kinds.items() if got[d])
+    share = {n: found[n] / all_[n] for n in all_}
+    assert min(all_.values()) > 150 and min(share.values()) >= 0.87 and sum(share.values()) / len(share) >= 0.95, share
