@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from postledger.functions import text
 
 
+def chosen(postings: DataFrame, derived: DataFrame, models: DataFrame) -> DataFrame:
+    """posting_id, kind, value, model, version: of the derived statements of each posting and kind the one to use.
+
+    derived: posting_id, kind, value, model, version, derived_at; models:
+    model, preference (smaller first). A statement counts only if the text of
+    the posting literally contains it and its model is listed. The preferred
+    model goes first, then its newest version, then the latest statement.
+    """
+    said = derived.where("value <> ''").join(models.select("model", "preference"), "model")  # models are a catalog; AQE broadcasts it
+    literal = said.join(postings.select("posting_id", "text"), "posting_id").where(F.contains("text", "value"))
+    order = F.struct("preference", (-F.col("version")).alias("v"), (-F.unix_micros("derived_at")).alias("at"), "value", "model")
+    best = literal.groupBy("posting_id", "kind").agg(F.min(order).alias("b"))
+    return best.select("posting_id", "kind", "b.value", "b.model", (-F.col("b.v")).alias("version"))
+
+
 def vacancies(postings: DataFrame, derived: DataFrame) -> DataFrame:
     """posting_id, vacancy_statement, derived, model.
 

@@ -380,3 +380,24 @@ def events_append(spark, sf):
     for part in ("event_id % 3 < 2", "event_id % 3 < 2", "event_id % 3 > 0"):
         events.append(found.where(part), path)
     return events.read(spark, path).select("event_id", "name", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), _day("day"))
+
+
+_DERIVED = """SELECT a.job_id AS posting_id, m.model, m.preference, m.version, CASE m.model WHEN 'm1' THEN split_part(description, '.', 1) WHEN 'm2' THEN CASE WHEN a.job_id % 2 = 0 THEN split_part(description, '.', 2)
+    ELSE upper(split_part(description, '.', 1)) || '!' END ELSE split_part(description, ' ', 1) END AS value, description
+    FROM b_advert a CROSS JOIN (VALUES ('m1', 2, 1), ('m1', 2, 2), ('m2', 1, 1), ('m3', 9, 1)) m(model, preference, version)"""
+
+
+@_query(
+    f"""SELECT posting_id, 'vacancy' AS kind, value, model, version FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY preference, version DESC, value) AS r FROM ({_DERIVED})
+    WHERE model <> 'm3' AND value <> '' AND contains(description, value)) WHERE r = 1"""
+)
+def derived_statements(spark, sf):
+    """Statements of two models over whole adverts: the preferred one is refused where the text does not contain its words; a third model is not listed."""
+    text_ = F.col("text")
+    part = lambda sep, n: F.split_part(text_, F.lit(sep), F.lit(n))
+    ads = view(spark, sf, "b_advert").select(F.col("job_id").alias("posting_id"), F.col("description").alias("text"))
+    second = F.when(F.col("posting_id") % 2 == 0, part(".", 2)).otherwise(F.concat(F.upper(part(".", 1)), F.lit("!")))
+    made = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(v).alias("version"), c.alias("value")) for m, v, c in (("m1", 1, part(".", 1)), ("m1", 2, part(".", 1)), ("m2", 1, second), ("m3", 1, part(" ", 1)))))
+    derived = ads.select("posting_id", F.lit("vacancy").alias("kind"), _now().alias("derived_at"), F.explode(made).alias("d")).select("posting_id", "kind", "derived_at", "d.*")
+    models = spark.createDataFrame([("m1", 2), ("m2", 1)], "model string, preference int")
+    return evidence.chosen(ads, derived, models)

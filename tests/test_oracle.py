@@ -20,7 +20,7 @@ def _norm(rows):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
@@ -35,6 +35,5 @@ def test_matches_sql(spark, duck, name):
     assert _norm(map(tuple, got.select(*cols).collect())) == _norm([tuple(r[i] for i in at) for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
-def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
