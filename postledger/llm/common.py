@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 #: Bits of a row filter: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
+#: Folders of written tables, for drop().
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _short_plans(spark: SparkSession) -> Iterator[None]:
-    """Within, the driver keeps short texts of the plans it ran: long loops would else fill its memory with them."""
-    short = {"spark.sql.maxPlanStringLength": "4096", "spark.sql.ui.explainMode": "simple"}
-    old = {k: spark.conf.get(k, None) for k in short}
-    for k, v in short.items():
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """Within, the driver keeps short texts of the plans it ran (long loops would else fill its memory with them), and a write's shuffle files go when it ends."""
+    during = {
+        "spark.sql.maxPlanStringLength": "4096",
+        "spark.sql.ui.explainMode": "simple",
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    old = {k: spark.conf.get(k, None) for k in during}
+    for k, v in during.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -52,9 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     schema = df.schema
-    with _short_plans(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    written = spark.read.schema(schema).parquet(path)
+    _places[written] = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() returned, once all that reads them has been written itself."""
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_places.pop(table))
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -141,7 +157,8 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = cut(small)
+        last, e = e, cut(small)
+        drop(last)
         after = _state(e)
         if after == before:
             break
