@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.functions import normalize, urls
+from postledger.functions.steps import spread
 
 MESSAGE, ATTEMPTS = 2000, 3
 # What stands before a board's own token in links to it.
@@ -20,7 +21,7 @@ def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     The three parts are filters of one projection; write it once if more than one is read.
     """
-    rows = normalize.checked(normalize.posting(parsed))
+    rows = normalize.checked(normalize.posting(spread(parsed)))
     part = lambda o: rows.where(F.col("outcome") == o)
     return part("VALID").drop("outcome", "reason"), part("SKIPPED").drop("outcome"), part("INVALID").drop("outcome")
 

@@ -8,6 +8,7 @@ from postledger.functions import normalize, pay, urls
 from postledger.operators import accounts, intake, upsert
 from postledger.plans.binding import view
 from postledger.plans.registry import TS, day, now, query
+from postledger.sources import store
 
 _q = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 _SMALL = _q([*normalize.NOISE, *(p.lower() for p in normalize.PROVINCES), "nights", "days", "weekends"])
@@ -85,7 +86,7 @@ def quarantine(spark, sf):
 
 @query(f"SELECT source_id, count(*) FILTER (WHERE CAST(substr(external_ref, 2) AS BIGINT) % 3 > 0) AS open FROM ({_OUTCOME}) WHERE failed <> '' GROUP BY source_id")
 def dead_letters(spark, sf):
-    found = intake.errors(intake.split(view(spark, sf, "b_parsed"))[2], "VALIDATE", now())
+    found = store.write(intake.errors(intake.split(view(spark, sf, "b_parsed"))[2], "VALIDATE", now()))  # read twice
     done = found.where(F.substring("payload_ref", 2, 20).cast("long") % 3 == 0).select("source_id", "payload_ref", now().alias("decided_at"))
     return accounts.dead_letters(intake.resolve_errors(found, done))
 
