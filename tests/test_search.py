@@ -97,3 +97,10 @@ def test_stored_queries_meet_jobs_by_a_wanted_word(spark, index):
 def test_rank_counts_wanted_terms_by_class(index):
     got = {r["job_id"]: round(r["score"], 6) for r in search.rank(index, "nurse -driver").collect()}
     assert got == {1: round(1.0 * 1 / 2 + 0.1 * 2 / 3, 6)}
+
+
+def test_words_are_dealt_once(spark):
+    ads = spark.createDataFrame(ADS, "job_id long, title string, skills string, city string, province string, description string")
+    found = search.terms(ads, {"A": F.col("title"), "D": F.col("description")})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
