@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postledger.operators import checks, evidence
 from postledger.plans.binding import view, with_views
 from postledger.plans.registry import SQL, TS, now, query
-from postledger.plans.signal_queries import _SIGNALS, STATUS
+from postledger.plans.signal_queries import _SIGNALS, STATUS, cases
 
 # The tables that a check stands for: its own text and link, and what a strong match (every third) lends it.
 _TABLES = f"""
@@ -34,14 +34,14 @@ def _with_checks(sql: str) -> str:
 
 
 def _verified(spark, sf):
-    cases = view(spark, sf, "b_case")
+    known = cases(spark, sf)
     paid = F.col("job_id") % 5 == 0
-    asked = cases.select(
+    asked = known.select(
         F.col("job_id").alias("check_id"), "text", "apply_url", "employer_id", "employer_name", "identity", F.when(paid, 50000.0).alias("low"), F.when(paid, 60000.0).alias("high"),
         F.when(paid, "YEAR").alias("period"), F.when(paid, "CAD").alias("currency"), F.when(paid, "50 to 60K").alias("pay_text"),
     )
-    matches = cases.where("job_id % 3 < 2").select(F.col("job_id").alias("check_id"), "job_id", (F.col("job_id") % 3 == 0).alias("is_strong"))
-    return checks.verify(asked, matches, cases, view(spark, sf, "b_record"), view(spark, sf, "b_source"), view(spark, sf, "b_firm_domain"), now())
+    matches = known.where("job_id % 3 < 2").select(F.col("job_id").alias("check_id"), "job_id", (F.col("job_id") % 3 == 0).alias("is_strong"))
+    return checks.verify(asked, matches, known, view(spark, sf, "b_record"), view(spark, sf, "b_source"), view(spark, sf, "b_firm_domain"), now())
 
 
 @query()

@@ -1,5 +1,7 @@
 """Scalar operators against literal cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,12 @@ def test_lookalikes(spark):
     hosts = spark.createDataFrame([("northwindlabs-careers.test",), ("northwindlab.example",), ("jobs.northwindlabs.example",), ("other.example",), ("boards.greenhouse.io",)], "host string")
     got = {r["host"] for r in dedup.lookalikes(hosts, known).collect()}
     assert got == {"northwindlabs-careers.test", "northwindlab.example"}
+
+
+def test_vacancy_of_a_long_text_takes_no_square_of_its_length(spark):
+    long_ = "word " * 16_000
+    rows = spark.createDataFrame([(1, long_), (2, "Good team. Join our talent pool now. More."), (3, long_ + ". This is an existing vacancy.")], "id long, t string")
+    begun = time.time()
+    got = {r["id"]: r["v"] for r in rows.select("id", text.vacancy_statement(F.col("t")).alias("v")).collect()}
+    assert got == {1: None, 2: "Join our talent pool now.", 3: "This is an existing vacancy."}
+    assert time.time() - begun < 20
