@@ -92,3 +92,10 @@ def test_vacancy_of_a_long_text_takes_no_square_of_its_length(spark):
     got = {r["id"]: r["v"] for r in rows.select("id", text.vacancy_statement(F.col("t")).alias("v")).collect()}
     assert got == {1: None, 2: "Join our talent pool now.", 3: "This is an existing vacancy."}
     assert time.time() - begun < 20
+
+
+def test_lengths_of_vectors_are_taken_once_a_row(spark):
+    rows = spark.createDataFrame([(1, 1, [3.0, 4.0]), (2, 1, [4.0, 3.0]), (3, 1, [0.0, 0.0]), (4, 1, None), (5, 1, [1.0, None])], "posting_id long, block int, vector array<float>")
+    ready = dedup.measured(rows)
+    assert {r["posting_id"]: r["norm"] for r in ready.collect()} == {1: 5.0, 2: 5.0, 3: 0.0, 4: None, 5: None}
+    assert [tuple(r) for r in dedup.block_pairs(ready, dedup.cosine, 0.25).collect()] == [(2, 1, 0.96)]
