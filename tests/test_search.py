@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postledger.functions.stems import stems_of
-from postledger.operators import search
+from postledger.operators import accounts, search
 
 # Pairs of the public vocabulary of the Porter2 stemmer, word and stem in turn.
 KNOWN = """consign consign consigned consign consignment consign consistency consist consolation consol consolatory consolatori consolingly consol
@@ -104,3 +104,27 @@ def test_words_are_dealt_once(spark):
     found = search.terms(ads, {"A": F.col("title"), "D": F.col("description")})
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_equal_searches_are_held_against_a_job_once(spark, index, monkeypatch):
+    day = "1998-06-{:02d} 00:00:00".format
+    rows = [
+        (1, "nursing", None, None, day(1)), (2, "nursing", None, None, day(1)), (3, "nursing", None, None, day(9)), (4, None, "hal", None, day(1)), (5, None, "HAL", None, day(1)),
+        (6, "-train", None, None, day(1)), (7, "-train or nursing", None, None, day(1)), (8, "-train or nursing", None, None, day(1)), (9, None, None, 50, day(1)), (10, "the", None, None, day(1)),
+    ]
+    searches = spark.createDataFrame(rows, "search_id long, q string, city string, salary_min int, created_at string").selectExpr(
+        "search_id", "q", "city", "salary_min", "CAST(created_at AS timestamp) AS created_at", "CAST(NULL AS timestamp) AS last_notified_at", "true AS valid", "CAST(NULL AS int) AS posted_within_days",
+        "CAST(NULL AS int) AS confirmed_within_days", *(f"CAST(NULL AS string) AS {c}" for c in ("employer", "province", "remote_type", "employment_type", "status", "source_type")),
+    )
+    jobs = spark.createDataFrame([(1, "Halifax", 40, day(5)), (2, "Laval", 60, day(6)), (3, None, 70, day(10)), (4, None, None, day(11))], "job_id long, city string, salary_top int, at string").selectExpr(
+        "job_id", "city", "salary_top", "CAST(at AS timestamp) AS first_seen", "CAST(NULL AS timestamp) AS last_verified", "CAST(NULL AS timestamp) AS expired_at", "'Acme' AS employer_name", "'T' AS title",
+        "array('x') AS source_types", *(f"CAST(NULL AS string) AS {c}" for c in ("province", "remote_type", "employment_type", "status")),
+    )
+    asked, held = [], search.matching_pairs
+    monkeypatch.setattr(search, "matching_pairs", lambda pairs, *rest: asked.append(pairs) or held(pairs, *rest))
+    found = accounts.alerts(searches, jobs, index, F.lit(day(30)).cast("timestamp"), of_job=("title",))
+    got = {(r["search_id"], r["job_id"]) for r in found.collect()}
+    nurse, no_train = {1, 3}, {4}
+    assert got == {(s, j) for s, js in ((1, nurse), (2, nurse), (3, {3}), (4, {1}), (5, {1}), (6, no_train), (7, nurse | no_train), (8, nurse | no_train), (9, {2, 3})) for j in js}
+    assert found.count() == len(got) and found.columns == ["search_id", "job_id", "title"]
+    assert {r["search_id"] for p in asked for r in p.collect()} == {1, 6, 7}
