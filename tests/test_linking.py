@@ -212,3 +212,16 @@ def test_board_links(spark, board, careers, html, linked):
     employers = spark.createDataFrame([(1, "firm.com", careers, board, "firm")], "employer_id long, domain string, careers_url string, board string, board_token string")
     pages = spark.createDataFrame([(careers or "https://firm.com/c", html)], "url string, html string")
     assert intake.board_probe(employers, pages).collect()[0]["linked"] is linked
+
+
+def test_cosines_by_tiles_are_those_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE", 7)
+    monkeypatch.setattr(dedup, "STRIP", 3)
+    rows = [(i, i % 2, [float(i * k % 11 - 5) for k in range(1, 5)]) for i in range(60)]
+    rows += [(100, 0, None), (101, 0, [0.0] * 4), (102, 0, [1.0, 2.0]), (103, 0, [2.0, 4.0]), (104, 0, [1.0, None, 2.0, 3.0]), (105, 0, []), (106, None, [1.0] * 4), (107, 0, [float("nan")] * 4)]
+    for kind in ("float", "double"):
+        table = spark.createDataFrame(rows, f"posting_id long, block int, vector array<{kind}>")
+        pairs = lambda df: sorted(map(repr, df.collect()))
+        want = pairs(dedup.block_pairs(dedup.measured(table), dedup.cosine, 0.25))
+        assert pairs(dedup.cosine_pairs(table, 0.25)) == want and len(want) > 200
+    assert dedup.cosine_pairs(table.limit(0), 0.25).count() == 0
