@@ -54,8 +54,9 @@ PERCENT = 75
 LONGS = 8
 #: Members of its buckets that a class which is still apart is compared with before all of them.
 DRAWS = 6
-#: Documents of the sample that finds common shingles, about, and how many are kept at most.
-SAMPLE, COMMON = 4096, 1 << 16
+#: The sample that finds common shingles: this many documents, about, and of large tables one in SHARE, so that a
+#: shingle counts as common from the same number of documents at every size; how many are kept at most.
+SAMPLE, SHARE, COMMON = 4096, 12, 1 << 18
 _ONE = np.uint64(1)
 
 
@@ -82,6 +83,11 @@ def difference_bound(n: int, m: int, percent: int = PERCENT) -> int:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
+def sampled(rows: int) -> int:
+    """One document in so many is read for common shingles; a fixed number of documents would let buckets grow with the table."""
+    return min(max(1, rows // SAMPLE), SHARE)
+
+
 def largest_partner(n: int, percent: int = PERCENT) -> int:
     return n * 100 // percent
 
@@ -260,7 +266,7 @@ def jaccard_components(
     )
     slim = classes.select("cls", "rep", "n", *sketch)
 
-    share = max(1, feats.count() // SAMPLE)
+    share = sampled(feats.count())
     common = (
         rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
         .select("text")

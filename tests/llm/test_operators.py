@@ -221,3 +221,8 @@ def test_nearest(vectors):
         assert all(abs(score - s[i]) < 1e-9 for i, score in got[q]) and q not in {i for i, _ in got[q]}
     assert np.mean(hits) >= 0.9 and 1200 not in got
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_the_sample_of_shingles_grows_with_the_table():
+    assert [jaccard_join.sampled(n) for n in (0, 4096, 10_000)] == [1, 1, 2]
+    assert jaccard_join.sampled(256_410) == jaccard_join.sampled(51_282) == jaccard_join.sampled(10**8) == jaccard_join.SHARE
