@@ -32,20 +32,31 @@ def final_moves(moves: DataFrame) -> DataFrame:
     """job_id, to: where each moved job ends, by pointer jumping. moves: job_id (once), to.
 
     Every round doubles how far each job looks ahead, so rounds follow the
-    logarithm of the moves. Who still meets a moved job then is in a circle or
-    leads into one; the smallest job that it passes there is kept and moves
-    nowhere.
+    logarithm of the longest way, not of the moves. Who still meets a moved job
+    then is in a circle or leads into one; the smallest job that it passes
+    there is kept and moves nowhere.
+
+    A job whose next stretch has the same smallest job as the one after it has
+    met a job twice, so it reaches its circle within one stretch, which goes
+    all round it. Rounds end once that holds for every job in sight.
     """
-    n = moves.count()
-    ahead = store.write(moves.where("job_id <> to").select("job_id", "to", F.col("to").alias("least"), F.lit(False).alias("done")))
-    for _ in range(max(1, n.bit_length())):
-        on = ahead.select(F.col("job_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("further"))
+    ahead = store.write(
+        moves.where("job_id <> to").select("job_id", "to", F.col("to").alias("least"), F.lit(False).alias("done"), F.lit(False).alias("round"), F.lit(True).alias("open"))
+    )
+    while not ahead.where("open").isEmpty():
+        on = ahead.select(F.col("job_id").alias("to"), F.col("to").alias("next"), F.col("least").alias("further"), F.col("round").alias("seen"))
+        moved = F.col("next").isNotNull()
         ahead = store.write(
             ahead.join(on, "to", "left").select(
-                "job_id", F.coalesce("next", "to").alias("to"), F.least("least", "further").alias("least"), F.col("next").isNull().alias("done")
+                "job_id",
+                F.coalesce("next", "to").alias("to"),
+                F.least("least", "further").alias("least"),
+                (~moved).alias("done"),
+                F.coalesce(F.col("least") == F.col("further"), F.lit(False)).alias("round"),
+                (moved & ~F.coalesce("seen", F.lit(False))).alias("open"),
             )
         )
-    # after so many steps the job in sight lies on the circle, and what it has passed is all of it
+    # the job in sight lies on the circle, and what it has passed is all of it
     circle = ahead.where("NOT done").select(F.col("job_id").alias("to"), F.col("least").alias("kept"))
     out = ahead.join(circle, "to", "left").select("job_id", F.coalesce("kept", "to").alias("to"))
     return out.where("job_id <> to")
