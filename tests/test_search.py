@@ -1,10 +1,14 @@
 """Stems, text queries and the written index over literal rows."""
 
+import os
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from postledger.functions.stems import stems_of
 from postledger.operators import accounts, search
+from postledger.plans import catalog, search_queries
 
 # Pairs of the public vocabulary of the Porter2 stemmer, word and stem in turn.
 KNOWN = """consign consign consigned consign consignment consign consistency consist consolation consol consolatory consolatori consolingly consol
@@ -128,3 +132,36 @@ def test_equal_searches_are_held_against_a_job_once(spark, index, monkeypatch):
     assert got == {(s, j) for s, js in ((1, nurse), (2, nurse), (3, {3}), (4, {1}), (5, {1}), (6, no_train), (7, nurse | no_train), (8, nurse | no_train), (9, {2, 3})) for j in js}
     assert found.count() == len(got) and found.columns == ["search_id", "job_id", "title"]
     assert {r["search_id"] for p in asked for r in p.collect()} == {1, 6, 7}
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """The small tables, in which long texts end in words that queries ask for."""
+    sf, folder = "/root/testdata/sf0.001", tmp_path_factory.mktemp("long")
+    for name in os.listdir(sf):
+        if name != "documents.parquet":
+            os.symlink(f"{sf}/{name}", folder / name)
+    end = "or messages urgent starters zebrafish training fees first promo rings"
+    known = f"SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN repeat('ordinary text of teams ', 1000) || '{end}' ELSE text END AS text) FROM '{sf}/documents.parquet'"
+    duckdb.connect().execute(f"COPY ({known}) TO '{folder / 'documents.parquet'}' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["term_index", "search_words", "search_without_words", "search_ranked", "search_by_relevance"])
+def test_whole_descriptions_are_searched(spark, long_texts, name):
+    """Words past the 20,000th character count, in the query and in its SQL."""
+    duck = duckdb.connect()
+    for table in os.listdir(long_texts):
+        duck.execute(f"CREATE VIEW {table[:-8]} AS SELECT * FROM '{long_texts}/{table}'")
+    got = catalog.QUERIES[name](spark, long_texts)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    rows = order(got.collect())
+    assert rows == order(duck.sql(catalog.SQL[name]).project(", ".join(got.columns)).fetchall())
+    long = {r["job_id"] for r in search_queries.view(spark, long_texts, "b_advert").where("length(description) > 20000").select("job_id").collect()}
+    assert len(long) > 5
+    if name == "term_index":
+        assert {r["job_id"] for r in got.where("term = 'zebrafish'").collect()} == long
+    elif name == "search_by_relevance":
+        assert {r["job_id"] for r in got.collect()} & long
+    else:
+        assert {r["job_id"] for r in got.collect()} >= long
