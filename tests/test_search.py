@@ -165,3 +165,23 @@ def test_whole_descriptions_are_searched(spark, long_texts, name):
         assert {r["job_id"] for r in got.collect()} & long
     else:
         assert {r["job_id"] for r in got.collect()} >= long
+
+
+def test_a_search_moves_words_of_its_own_terms_alone(spark, index):
+    ads = spark.createDataFrame(ADS, "job_id long, title string, skills string, city string, province string, description string")
+    fields = {"A": F.col("title"), "B": F.col("skills"), "C": F.concat_ws(" ", "city", "province"), "D": F.col("description")}
+    for query in ("nurse halifax or plumber laval", '"ward of mercy" -absent', "the of"):
+        only = search.asked_terms(spark, query)
+        part = search.write_index(search.terms(ads, fields, only))
+        row = lambda r: (r["bucket"], r["term"], r["job_id"], r["class"], r["positions"], r["tf"])
+        assert sorted(map(row, part.collect())) == sorted(map(row, index.where(F.col("term").isin(*only)).collect()))
+
+
+def test_searches_write_no_whole_index(spark, monkeypatch):
+    written, write = [], search.write_index
+    monkeypatch.setattr(search, "write_index", lambda found: written.append(write(found)) or written[-1])
+    for name in ("search_words", "search_without_words", "search_ranked", "search_by_relevance"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    got = [{r["term"] for r in w.select("term").distinct().collect()} for w in written]
+    assert got[0] <= {"messag", "urgent", "train", "fee", "first", "widget", "good", "team", "medium"} and got[1] <= {"team", "starter"}
+    assert got[2] == got[3] <= {"promo", "ring", "urgent", "telegram"}
