@@ -185,3 +185,8 @@ def test_searches_write_no_whole_index(spark, monkeypatch):
     got = [{r["term"] for r in w.select("term").distinct().collect()} for w in written]
     assert got[0] <= {"messag", "urgent", "train", "fee", "first", "widget", "good", "team", "medium"} and got[1] <= {"team", "starter"}
     assert got[2] == got[3] <= {"promo", "ring", "urgent", "telegram"}
+
+
+def test_searches_of_a_set_may_go_in_several_rows(spark, index, monkeypatch):
+    monkeypatch.setattr(accounts, "SHARING", 1)
+    test_equal_searches_are_held_against_a_job_once(spark, index, monkeypatch)
